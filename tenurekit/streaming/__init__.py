@@ -1,0 +1,5 @@
+"""Intentionally empty: every operator in scope works on bounded tables.
+
+The event log is consumed as a landed table, so there is no stream reader, watermark or
+stateful operator to provide.
+"""
