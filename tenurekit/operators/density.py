@@ -87,8 +87,7 @@ def quantiles(counted: DataFrame, probabilities: dict[str, float]) -> DataFrame:
 
     Positions are looked up in running counts, so no task holds a group's values.
     """
-    totals = counted.groupBy("group").agg(F.sum("n").alias("total"))
-    ranked = running_totals(counted, "value", ["n"], ["group"]).join(totals, "group")
+    ranked = running_totals(counted, "value", ["n"], ["group"])
 
     def value_at(index):
         here = (F.col("n_before") <= index) & (index < F.col("n_before") + F.col("n"))
@@ -96,12 +95,12 @@ def quantiles(counted: DataFrame, probabilities: dict[str, float]) -> DataFrame:
 
     out = []
     for name, q in probabilities.items():
-        position = (F.col("total") - 1) * F.lit(float(q))
+        position = (F.col("n_total") - 1) * F.lit(float(q))
         low = F.floor(position)
-        high = F.least(low + 1, F.col("total") - 1)
+        high = F.least(low + 1, F.col("n_total") - 1)
         part = F.max(position - low)
         out.append((value_at(low) + (value_at(high) - value_at(low)) * part).alias(name))
-    return ranked.groupBy("group").agg(F.max("total").alias("n"), *out)
+    return ranked.groupBy("group").agg(F.max("n_total").alias("n"), *out)
 
 
 def box_summary(

@@ -12,7 +12,7 @@ from tenurekit.config import Calendar
 from tenurekit.functions.buckets import channel_group, dose_group, strength_group
 from tenurekit.functions.columns import as_date, count_where, mean
 from tenurekit.operators.cohort import SUB, TERM, latest_plan
-from tenurekit.operators.labels import weekly_snapshots, with_snapshot
+from tenurekit.operators.labels import term_outcomes, weekly_snapshots, with_snapshot
 from tenurekit.operators.lookback import (
     by_day,
     changed,
@@ -159,9 +159,9 @@ def days_deferred_per_snapshot(
 def static_profile(bounds: DataFrame, plan_terms: DataFrame, subscriptions: DataFrame, cal: Calendar) -> DataFrame:
     """Distinct subscriptions by strength, dose, regimen, channel and outcome.
 
-    A term's snapshots are folded to its (at most two) outcomes before the joins.
+    A term enters with its (at most two) outcomes, not with its snapshots.
     """
-    outcomes = with_outcome(weekly_snapshots(bounds, cal)).select(SUB, TERM, "group").distinct()
+    outcomes = with_outcome(term_outcomes(bounds, cal)).drop("label")
     plans = latest_plan(
         plan_terms,
         strength_group("drug_strength").alias("strength_group"),
@@ -275,9 +275,7 @@ def window_candidates(
 
     zero = F.lit(0).cast("bigint")
     everyone = (
-        weekly_snapshots(bounds, cal)
-        .select(SUB, "label")
-        .distinct()
+        term_outcomes(bounds, cal)
         .select(SUB, "label", F.lit(0).alias("age_days"), zero.alias("deferred"), zero.alias("reminded"))
     )
     event_parts = [
@@ -308,17 +306,15 @@ def snapshot_feature_table(
 ) -> DataFrame:
     """One row per term and snapshot: look-back counts no later than the snapshot, and the label.
 
-    Every source and the snapshots themselves are brought to the same shape and folded together in
-    one grouped pass, so snapshots without activity keep their row with zeros.
+    Every source is brought to the same shape and all are folded in one grouped pass over the
+    snapshots they touch; the left join that follows uses that pass's partitioning and gives
+    snapshots without activity their zeros.
 
     Invoice flags are current states. ``strict=True`` counts a payment, failure or refund only once
     its own date has come, and leaves out delinquency and charge counts, which carry no date.
     """
     longest = max(windows)
-    static = {"first_platform": F.col("first_platform"), "channel_group": channel_group("first_channel_grouping")}
-    # Joined to the one-row-per-term bounds, before the snapshots fan out.
-    bounds = bounds.join(subscriptions.select(SUB, *(c.alias(name) for name, c in static.items())), SUB)
-    keys = [SUB, TERM, "term_started_at", "cancel_requested_at", *static, "week_number"]
+    keys = [TERM, "week_number"]
     invoice_names = ["invoices", "failed", "paid", "refunded"] + ([] if strict else ["delinquent", "charges"])
     names = [*invoice_names, "deferrals", "days_deferred", "reminders", "plan_starts", "plan_changes"]
 
@@ -339,10 +335,6 @@ def snapshot_feature_table(
     reminder_rows = spread_over_snapshots(event_days(reminders(events)), bounds, SUB, cal, longest)
     later_plans = by_day(plan_terms, TERM, "plan_term_started_at", later=count_where(F.col("plan_term_number") > 1))
     plan_rows = spread_over_snapshots(later_plans, bounds, TERM, cal, longest)
-    snapshots = bounds.withColumns(
-        {"week_number": F.explode(F.sequence(F.lit(0), F.col("last_week"))), "age_days": F.lit(0)}
-    )
-
     rows = reduce(
         DataFrame.unionByName,
         [
@@ -350,9 +342,9 @@ def snapshot_feature_table(
             shaped(deferral_rows, {"deferrals": F.col("n"), "days_deferred": F.col("days_deferred")}),
             shaped(reminder_rows, {"reminders": F.col("n")}),
             shaped(plan_rows, {"plan_starts": F.col("n"), "plan_changes": F.col("later")}),
-            shaped(snapshots, {}),
         ],
     )
+    features = [f"{c}_{w}d" for c in names for w in windows]
     folded = rows.groupBy(*keys).agg(
         *(
             F.sum(F.when(F.col("age_days") <= w, F.col(c)).otherwise(0)).alias(f"{c}_{w}d")
@@ -360,13 +352,24 @@ def snapshot_feature_table(
             for w in windows
         )
     )
-    return with_snapshot(folded, cal).select(
-        SUB,
-        TERM,
-        "snapshot_date",
-        "week_number",
-        (F.col("week_number") * cal.step_days).alias("days_since_term_start"),
-        *static,
-        *(f"{c}_{w}d" for c in names for w in windows),
-        "label",
+    # Joined to the one-row-per-term bounds, before the snapshots fan out.
+    static = subscriptions.select(
+        SUB, "first_platform", channel_group("first_channel_grouping").alias("channel_group")
+    )
+    weeks = F.explode(F.sequence(F.lit(0), F.col("last_week")))
+    snapshots = with_snapshot(bounds.join(static, SUB).withColumn("week_number", weeks), cal)
+    return (
+        snapshots.join(folded, keys, "left")
+        .fillna(0, subset=features)
+        .select(
+            SUB,
+            TERM,
+            "snapshot_date",
+            "week_number",
+            (F.col("week_number") * cal.step_days).alias("days_since_term_start"),
+            "first_platform",
+            "channel_group",
+            *features,
+            "label",
+        )
     )

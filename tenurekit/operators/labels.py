@@ -78,6 +78,17 @@ def with_snapshot(bounds: DataFrame, cal: Calendar) -> DataFrame:
     )
 
 
+def term_outcomes(bounds: DataFrame, cal: Calendar) -> DataFrame:
+    """The distinct labels among each term's snapshots, without listing the snapshots.
+
+    A label never falls back from 1 to 0 as weeks pass, so the first and the last week show them all.
+    """
+    started, cancelled = F.col("term_started_at"), F.col("cancel_requested_at")
+    last = F.date_add(started, F.col("last_week") * cal.step_days)
+    ends = [cancels_within(cancelled, snapshot, cal.horizon_days) for snapshot in (started, last)]
+    return bounds.select(SUB, TERM, F.explode(F.array_distinct(F.array(*ends))).alias("label"))
+
+
 def weekly_snapshots(bounds: DataFrame, cal: Calendar) -> DataFrame:
     """One row per term and week from the start on: a narrow map, no join and no wasted rows."""
     weeks = F.explode(F.sequence(F.lit(0), F.col("last_week"))).alias("week_number")

@@ -14,7 +14,7 @@ _BLOCKS = 256
 
 
 def running_totals(df: DataFrame, order: str, measures: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
-    """Add ``<measure>_before``: the measure's total over smaller values of ``order``.
+    """Add ``<measure>_before``, its total over smaller values of ``order``, and ``<measure>_total``.
 
     Rows must be unique per value. Values are cut into equal-width blocks; each block is summed on
     its own, and only the block totals (at most 257 per group) are scanned in one place.
@@ -23,7 +23,9 @@ def running_totals(df: DataFrame, order: str, measures: Sequence[str], within: S
         grouped = running_totals(df.withColumn("_all", F.lit(1)), order, measures, ["_all"])
         return grouped.drop("_all")
     within = list(within)
-    extent = df.groupBy(*within).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    extent = df.groupBy(*within).agg(
+        F.min(order).alias("_lo"), F.max(order).alias("_hi"), *(F.sum(m).alias(f"{m}_total") for m in measures)
+    )
     width = (F.col("_hi") - F.col("_lo")) / _BLOCKS
     block = F.when(width > 0, F.floor((F.col(order) - F.col("_lo")) / width)).otherwise(F.lit(0).cast("bigint"))
     cut = df.join(extent, within).withColumn("_block", block).drop("_lo", "_hi")
