@@ -99,7 +99,7 @@ def chi2_test(table: str, by: str = "") -> str:
                                  FROM ({table}) x {group}) m ON {same}) cells {group}) tests"""
 
 
-from oracles import base, cancellation, deferrals, first_month, lifecycle, overview, published, sanity, temporal  # noqa: E402, F401
+from oracles import base, cancellation, deferrals, first_month, ingest, lifecycle, overview, published, sanity, temporal  # noqa: E402, F401
 
 
 def oracle_sql() -> dict[str, str]:

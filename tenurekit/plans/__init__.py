@@ -3,7 +3,7 @@
 from importlib import import_module
 
 _MODULES = (
-    "tables", "sanity", "overview", "lifecycle", "cancellation", "first_month", "temporal", "deferrals", "published",
+    "ingest", "tables", "sanity", "overview", "lifecycle", "cancellation", "first_month", "temporal", "deferrals", "published",
 )
 
 
