@@ -71,13 +71,19 @@ class TableNames:
         return replace(names, prefixes=prefixes, **plain)
 
 
+# AQE settings the raw-row joins count on. The forced form splits a hot key even where the split costs
+# one more exchange, which is cheaper than one task holding a third of the rows. The zero ratio lets a
+# side that turns out tiny (one row per label, say) be broadcast by its measured size, however few of
+# the shuffle's partitions it fills; otherwise a join on two labels would stay a two-task join.
+RUNTIME_DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.nonEmptyPartitionRatioForBroadcastJoin": "0",
+}
+
+
 def apply_runtime_defaults(spark: SparkSession) -> SparkSession:
-    """Turn on the adaptive skew handling that the raw-row joins count on.
-
-    The forced form lets AQE split a hot key even where the split costs one more exchange, which is
-    cheaper than one task holding a third of the rows.
-    """
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    for key, value in RUNTIME_DEFAULTS.items():
+        spark.conf.set(key, value)
     return spark

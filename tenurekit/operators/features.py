@@ -47,7 +47,8 @@ def _total(name: str, condition: Column | None = None) -> Column:
 def invoice_series(invoices: DataFrame, bounds: DataFrame, cal: Calendar, window: int, max_week: int | None) -> DataFrame:
     """Per week and outcome, over the invoices of each snapshot's window: failure, delinquency and
     refund rates, charges per invoice, and fills and refills per invoice day."""
-    rows = with_outcome(up_to_week(spread_over_snapshots(invoice_days(invoices), bounds, TERM, cal, window), max_week))
+    bounds = up_to_week(bounds, max_week)
+    rows = with_outcome(spread_over_snapshots(invoice_days(invoices), bounds, TERM, cal, window))
     sums = rows.groupBy(*WEEK).agg(
         F.count("*").alias("n_days"),
         *(_total(c) for c in ("n", "failed", "delinquent", "paid", "refunded", "charges", "n_charges")),
@@ -70,7 +71,8 @@ def event_series(events: DataFrame, bounds: DataFrame, cal: Calendar, window: in
     A snapshot contributes one row per event day in its window, and one empty row when it has none.
     Only matched snapshots are shuffled; the empty ones follow from the count of all snapshots.
     """
-    hits = with_outcome(up_to_week(spread_over_snapshots(event_days(events), bounds, SUB, cal, window), max_week))
+    bounds = up_to_week(bounds, max_week)
+    hits = with_outcome(spread_over_snapshots(event_days(events), bounds, SUB, cal, window))
     per_snapshot = hits.groupBy(SUB, TERM, *WEEK).agg(F.count("*").alias("matched"), _total("n"), _total("days_deferred"))
     matched = per_snapshot.groupBy(*WEEK).agg(
         F.sum("matched").alias("matched"),
@@ -80,7 +82,7 @@ def event_series(events: DataFrame, bounds: DataFrame, cal: Calendar, window: in
     )
     zero = F.lit(0).cast("bigint")
     everyone = (
-        with_outcome(up_to_week(weekly_snapshots(bounds, cal), max_week))
+        with_outcome(weekly_snapshots(bounds, cal))
         .groupBy(*WEEK)
         .agg(F.count("*").alias("empty"))
         .select(*WEEK, zero.alias("matched"), zero.alias("n"), zero.alias("days_deferred"), "empty")
@@ -127,7 +129,8 @@ def plan_change_series(
     plan_terms: DataFrame, bounds: DataFrame, cal: Calendar, window: int, max_week: int | None
 ) -> DataFrame:
     """Per week and outcome: share of plan starts in the window that were a change, by kind."""
-    rows = with_outcome(up_to_week(spread_over_snapshots(plan_days(plan_terms), bounds, TERM, cal, window), max_week))
+    bounds = up_to_week(bounds, max_week)
+    rows = with_outcome(spread_over_snapshots(plan_days(plan_terms), bounds, TERM, cal, window))
     kinds = ["has_plan_change", *PLAN_ATTRIBUTES]
     sums = rows.groupBy(*WEEK).agg(_total("n"), *(_total(k) for k in kinds))
     return sums.select(*WEEK, *(mean(k, "n").alias(k) for k in kinds))

@@ -87,8 +87,11 @@ def spread_over_snapshots(daily: DataFrame, bounds: DataFrame, key: str, cal: Ca
     )
 
 
-def up_to_week(df: DataFrame, max_week: int | None) -> DataFrame:
-    return df if max_week is None else df.filter(F.col("week_number") <= max_week)
+def up_to_week(bounds: DataFrame, max_week: int | None) -> DataFrame:
+    """Bounds without the weeks after ``max_week``, so that those are never generated."""
+    if max_week is None:
+        return bounds
+    return bounds.withColumn("last_week", F.least(F.col("last_week"), F.lit(max_week)))
 
 
 def with_outcome(df: DataFrame) -> DataFrame:

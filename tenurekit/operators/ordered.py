@@ -5,37 +5,38 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenurekit.functions.columns import as_date
 
-_BLOCKS = 256
+# Blocks per power of two, and an offset that keeps the block of any positive double positive.
+_PER_OCTAVE, _SHIFT = 16, 16 * 1100
+
+
+def _ordered_block(value: Column) -> Column:
+    """A block number that never falls as the value grows, and needs no knowledge of the data."""
+    size = F.floor(F.log2(F.abs(value)) * _PER_OCTAVE) + _SHIFT
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("bigint"))
 
 
 def running_totals(df: DataFrame, order: str, measures: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
     """Add ``<measure>_before``, its total over smaller values of ``order``, and ``<measure>_total``.
 
-    Rows must be unique per value. Values are cut into equal-width blocks; each block is summed on
-    its own, and only the block totals (at most 257 per group) are scanned in one place.
+    Rows must be unique per value. Values are cut into blocks by magnitude; each block is scanned on
+    its own, and only the block totals (sixteen per power of two) are scanned in one place.
     """
-    if not within:
-        grouped = running_totals(df.withColumn("_all", F.lit(1)), order, measures, ["_all"])
-        return grouped.drop("_all")
-    within = list(within)
-    extent = df.groupBy(*within).agg(
-        F.min(order).alias("_lo"), F.max(order).alias("_hi"), *(F.sum(m).alias(f"{m}_total") for m in measures)
-    )
-    width = (F.col("_hi") - F.col("_lo")) / _BLOCKS
-    block = F.when(width > 0, F.floor((F.col(order) - F.col("_lo")) / width)).otherwise(F.lit(0).cast("bigint"))
-    cut = df.join(extent, within).withColumn("_block", block).drop("_lo", "_hi")
-
-    earlier_blocks = Window.partitionBy(*within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    cut = df.withColumn("_block", _ordered_block(F.col(order).cast("double")))
+    everything = Window.partitionBy(*within)
+    earlier_blocks = everything.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.groupBy(*within, "_block")
         .agg(*(F.sum(m).alias(m) for m in measures))
         .select(
-            *within, "_block", *(F.coalesce(F.sum(m).over(earlier_blocks), F.lit(0)).alias(f"_{m}") for m in measures)
+            *within,
+            "_block",
+            *(F.coalesce(F.sum(m).over(earlier_blocks), F.lit(0)).alias(f"_{m}") for m in measures),
+            *(F.sum(m).over(everything).alias(f"{m}_total") for m in measures),
         )
     )
     earlier_rows = Window.partitionBy(*within, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
