@@ -40,6 +40,8 @@ oracle("q00_16_labelled_30_days", """
     FROM refined r LEFT JOIN labels l ON l.subscription_term_id = r.subscription_term_id""")
 oracle("q00_17_several_latest_plans", """SELECT subscription_id, count(DISTINCT subscription_term_id) AS n_latest_terms
     FROM cohort_plan_terms WHERE is_latest_plan_term GROUP BY subscription_id HAVING n_latest_terms > 1""")
+oracle("q00_17_latest_plans_per_term", """SELECT 'terms_with_several_latest_plans' AS check_name, count(*) AS n_bad
+    FROM (SELECT subscription_term_id FROM latest GROUP BY 1 HAVING count(*) > 1) x""")
 oracle("q00_18_plans_of_one_subscription", """SELECT subscription_id, subscription_term_id, subscription_plan_term_id,
     term_number, is_latest_plan_term FROM cohort_plan_terms WHERE subscription_id = 1""")
 oracle("q00_19_plans_of_fell_out", """SELECT p.subscription_id, subscription_term_id, subscription_plan_term_id, plan_term_number,

@@ -84,11 +84,6 @@ def funnel(df: DataFrame, steps: dict[str, Column], *, subject: str = SUB, entry
     return reached.select(*out)
 
 
-def count_histogram(df: DataFrame, subject: str, n_events: str, n_subjects: str) -> DataFrame:
-    """How many subjects have one, two, three… rows."""
-    return counts(counts(df, [subject], n=n_events), [n_events], n=n_subjects)
-
-
 def spread_columns(df: DataFrame, rows: str, columns: str, values: dict, measure: Column) -> DataFrame:
     """Pivot over a known value list, so Spark needs no extra pass to discover it."""
     wide = df.groupBy(rows).pivot(columns, list(values)).agg(measure)

@@ -145,6 +145,14 @@ def _(lake):
     return per_sub.filter(F.col("n_latest_terms") > 1)
 
 
+@named("q00_17_latest_plans_per_term")
+def _(lake):
+    """Terms with several latest plans: none, or joins to the latest plan repeat rows."""
+    latest = lake.source["subscription_plan_terms"].filter(F.col("is_latest_plan_term"))
+    per_term = latest.groupBy(TERM).agg(F.count("*").alias("n"))
+    return checks.run_checks(per_term, {"terms_with_several_latest_plans": F.col("n") > 1})
+
+
 @named("q00_18_plans_of_one_subscription")
 def _(lake):
     rows = lake.plan_terms.filter(F.col(SUB) == EXAMPLE_SUBSCRIPTION)
