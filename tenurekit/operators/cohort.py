@@ -27,28 +27,38 @@ def qualified_terms(terms: DataFrame, subscriptions: DataFrame, cal: Calendar) -
     return cohort_terms(terms, subscriptions, cal).select(SUB, TERM).distinct()
 
 
-def many_first_terms(terms: DataFrame) -> DataFrame:
-    """Subscriptions with more than one first term.
+def only_first_terms(terms: DataFrame) -> DataFrame:
+    """The first term of every subscription that has exactly one.
 
-    "More than one distinct id" is "smallest differs from largest", which combines map-side.
+    "Exactly one distinct id" is "smallest equals largest", which combines map-side.
     """
     return (
         terms.filter(F.col("term_number") == 1)
         .groupBy(SUB)
-        .agg(F.min(TERM).alias("lo"), F.max(TERM).alias("hi"))
-        .filter(F.col("lo") != F.col("hi"))
-        .select(SUB)
+        .agg(F.min(TERM).alias(TERM), F.max(TERM).alias("hi"))
+        .filter(F.col(TERM) == F.col("hi"))
+        .select(TERM)
     )
 
 
 def refine(cohort: DataFrame, terms: DataFrame) -> DataFrame:
-    """Drop subscriptions with several first terms."""
-    return cohort.join(many_first_terms(terms), SUB, "left_anti")
+    """Drop subscriptions with several first terms.
+
+    Said from the other side, as a semi-join on the term: a subscription with very many first terms
+    is never one task, and the result is laid out by term for the joins that follow.
+    """
+    return cohort.join(only_first_terms(terms), TERM, "left_semi")
 
 
 def restrict_to(rows: DataFrame, cohort: DataFrame, key: str = SUB) -> DataFrame:
-    """Rows whose key is in the cohort, each once."""
-    return rows.join(cohort.select(key), key, "left_semi")
+    """Rows whose key is in the cohort, each once.
+
+    The key's hash joins along, so that a cohort planned in the same query is exchanged right below
+    this join. AQE splits a hot key only between two such exchanges; without it, the cohort would
+    stay in its own layout and a key with a third of the rows would be one task.
+    """
+    members = cohort.select(key).distinct().withColumn("_hash", F.xxhash64(key))
+    return rows.withColumn("_hash", F.xxhash64(key)).join(members, [key, "_hash"], "left_semi").drop("_hash")
 
 
 def with_cancellation_type(terms: DataFrame, cal: Calendar) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tenurekit.config import Calendar
 from tenurekit.functions.columns import as_date, day, days_between, percent
-from tenurekit.operators.cohort import SUB, restrict_to
+from tenurekit.operators.cohort import SUB, TERM, restrict_to
 from tenurekit.operators.lookback import RENEWAL_MOVED, user_deferrals
 
 
@@ -53,11 +53,14 @@ def moved_renewals(events: DataFrame) -> DataFrame:
     return events.filter((F.col("event_name") == RENEWAL_MOVED) & F.col("old_renewal_at").isNotNull())
 
 
-def renewal_outcomes(events: DataFrame, invoices: DataFrame, cal: Calendar) -> DataFrame:
+def renewal_outcomes(
+    events: DataFrame, invoices: DataFrame, cal: Calendar, cohort: DataFrame | None = None
+) -> DataFrame:
     """Per deferring subscription: its latest new date and the paid invoices from that day on.
 
-    Only dates that leave a whole horizon to observe are kept. Invoices are counted per (subscription,
-    day) before the join, so a hot subscription brings one row per day.
+    Only dates that leave a whole horizon to observe are kept. With ``cohort``, only invoices of its
+    terms count. Invoices are counted per term and day before any join, so a hot subscription brings
+    one row per day.
     """
     latest = (
         user_deferrals(events)
@@ -67,9 +70,11 @@ def renewal_outcomes(events: DataFrame, invoices: DataFrame, cal: Calendar) -> D
     )
     paid_days = (
         invoices.filter(F.col("is_paid"))
-        .groupBy(SUB, as_date("created_at").alias("paid_day"))
+        .groupBy(SUB, TERM, as_date("created_at").alias("paid_day"))
         .agg(F.count("*").alias("n"))
     )
+    if cohort is not None:
+        paid_days = restrict_to(paid_days, cohort, TERM)
     after = F.when(F.col("paid_day") >= as_date("new_renewal_at"), F.col("n")).otherwise(0)
     return (
         latest.join(paid_days, SUB, "left")
@@ -95,7 +100,7 @@ def outcome_by_deferral(
     """
     moved = user_deferrals(events) if user_only else events.filter(F.col("event_name") == RENEWAL_MOVED)
     deferred = moved.select(SUB).distinct().withColumn("did", F.lit(1))
-    rows = restrict_to(terms, cohort).select(SUB, "term_status", "termination_type").distinct()
+    rows = restrict_to(terms.select(SUB, "term_status", "termination_type").distinct(), cohort)
     grouped = rows.join(deferred, SUB, "left").withColumn(
         "deferral_group", F.when(F.col("did") == 1, "deferred").otherwise("never deferred")
     )

@@ -71,7 +71,7 @@ def _with_canceller(lake, rows):
 @named("q03_8_all_attempts_failed")
 def _(lake):
     unpaid = lake.cohort_rows("subscription_charges").filter(is_false("was_paid") & (F.col("attempt_number") == 8))
-    exhausted = _involuntary(lake).join(unpaid.select(SUB), SUB, "left_semi")
+    exhausted = _involuntary(lake).join(unpaid.select(SUB).distinct(), SUB, "left_semi")
     by = [FAILED_FLAG, "termination_type", "changed_by"]
     return sm.counts(_with_canceller(lake, exhausted), by, distinct=SUB, n="n_subs").orderBy(F.desc("n_subs"))
 

@@ -45,7 +45,8 @@ def _(lake):
 
 
 def _outcomes(lake):
-    return df_.renewal_outcomes(lake.raw_events, lake.invoices, lake.calendar)
+    invoices = lake.cohort_rows("subscription_invoices")
+    return df_.renewal_outcomes(lake.raw_events, invoices, lake.calendar, lake.qualified)
 
 
 def _renewed(lake, per_subscriber):

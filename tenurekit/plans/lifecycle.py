@@ -31,8 +31,9 @@ def _(lake):
 
 
 def _first_rx(lake):
-    written = lake.events.filter(F.col("event_name") == RX_WRITTEN)
-    return written.groupBy(SUB).agg(F.min("occurred_at").alias("rx_at"))
+    """First prescription event per cohort subscription, found before the cohort is joined."""
+    written = lake.cohort_events.filter(F.col("event_name") == RX_WRITTEN)
+    return co.restrict_to(written.groupBy(SUB).agg(F.min("occurred_at").alias("rx_at")), lake.qualified)
 
 
 @named("q02_3_days_signup_to_rx")
@@ -90,7 +91,8 @@ def _(lake):
 
 def _days_to_cancel_by_cadence(lake):
     plans = co.single_plan_subscriptions(lake.source["subscription_plan_terms"])
-    return sm.share(_days_to_cancel(lake).join(plans, SUB), ["term_months", "days_to_cancel"])
+    per_sub = sm.counts(_days_to_cancel(lake), [SUB, "days_to_cancel"])
+    return sm.share(per_sub.join(plans, SUB), ["term_months", "days_to_cancel"], weight="n")
 
 
 @named("q02_10_days_to_cancel_by_cadence")
@@ -147,8 +149,8 @@ def _(lake):
     return sm.share(_fell_out(lake).select(status.alias("rx_status")), ["rx_status"])
 
 
-def _order_status(lake, invoices):
-    ordered = invoices.select(SUB).distinct().withColumn("ordered", F.lit(1))
+def _order_status(lake, ordered):
+    ordered = ordered.select(SUB).distinct().withColumn("ordered", F.lit(1))
     rows = _fell_out(lake).select(SUB).join(ordered, SUB, "left")
     status = F.when(F.col("ordered") == 1, "has_order").otherwise("no_order")
     return sm.share(rows.select(status.alias("order_status")), ["order_status"])
@@ -157,7 +159,8 @@ def _order_status(lake, invoices):
 @named("q02_21_fell_out_order_placed")
 def _(lake):
     """On the conformed invoices, which hold activated subscriptions only."""
-    return _order_status(lake, lake.invoices)
+    terms = lake.cohort_rows("subscription_invoices").select(SUB, TERM).distinct()
+    return _order_status(lake, co.restrict_to(terms, lake.qualified, TERM))
 
 
 @named("q02_21_fell_out_order_placed_all_invoices")

@@ -8,7 +8,7 @@ from tenurekit.functions.buckets import subscriber_type
 from tenurekit.functions.columns import is_true, percent
 from tenurekit.operators import checks
 from tenurekit.operators import summaries as sm
-from tenurekit.operators.cohort import SUB, TERM
+from tenurekit.operators.cohort import SUB, TERM, restrict_to
 from tenurekit.operators.conform import with_cancel_before_cutoff
 from tenurekit.plans.registry import named
 
@@ -53,9 +53,8 @@ def _(lake):
 def _(lake):
     """Distinct terms on both sides, each side counted on its own after a semi-join."""
     first = lake.all_terms.filter(F.col("term_number") == 1)
-    cohort = lake.qualified
-    mine = cohort.join(first.select(SUB), SUB, "left_semi").select(F.lit("mine").alias("side"), TERM)
-    theirs = first.join(cohort.select(SUB), SUB, "left_semi").select(F.lit("theirs").alias("side"), TERM)
+    mine = restrict_to(lake.qualified, first).select(F.lit("mine").alias("side"), TERM)
+    theirs = restrict_to(first, lake.qualified).select(F.lit("theirs").alias("side"), TERM)
     sides = mine.unionByName(theirs).distinct()
     return sides.agg(
         F.count_if(F.col("side") == "mine").alias("n_terms_in_qualified"),

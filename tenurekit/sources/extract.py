@@ -58,4 +58,4 @@ def orders_of(orders: DataFrame, invoices: DataFrame, condition: str, how: str =
     ``inner`` repeats an order for each invoice that names it; ``left_semi`` gives it once.
     """
     named = invoices_of(invoices, condition).select(F.col("latest_order_id").alias("order_id"))
-    return orders.join(named, "order_id", how)
+    return orders.join(named.distinct() if how == "left_semi" else named, "order_id", how)
