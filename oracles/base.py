@@ -178,5 +178,11 @@ def _gold(strict):
       JOIN {counted('p', 'subscription_plan_terms', 'plan_term_started_at', 'subscription_term_id', plans)} USING {key}"""
 
 
+oracle("g1_plan_at_snapshot", """
+    SELECT t.subscription_id, t.subscription_term_id, t.week_number, t.snapshot_date, x.term_months, x.drug_name, x.regimen
+    FROM snapshots t LEFT JOIN subscription_plan_terms x ON x.subscription_term_id = t.subscription_term_id
+     AND CAST(x.plan_term_started_at AS DATE) <= t.snapshot_date
+    QUALIFY row_number() OVER (PARTITION BY t.subscription_term_id, t.week_number
+                               ORDER BY x.plan_term_started_at DESC, x.plan_term_number DESC) = 1""")
 oracle("g1_snapshot_features", _gold(strict=False))
 oracle("g1_snapshot_features_strict", _gold(strict=True))

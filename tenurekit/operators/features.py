@@ -296,6 +296,49 @@ def window_candidates(
 
 # ---------------------------------------------------------------- gold
 
+PLAN_AS_OF = ("term_months", "drug_name", "regimen")
+
+
+def plan_at_snapshots(
+    bounds: DataFrame, plan_terms: DataFrame, cal: Calendar, attributes: Sequence[str] = PLAN_AS_OF
+) -> DataFrame:
+    """Per term and snapshot, the plan current on it: the last one started by that day, or nulls.
+
+    Plans are folded to the last one per day, then per week, so a term's list is never longer than
+    its snapshots; it is looked up on the term's single row, before the snapshots fan out.
+    """
+    order = F.struct("plan_term_started_at", "plan_term_number")
+    per_day = (
+        plan_terms.filter(F.col("plan_term_started_at").isNotNull())
+        .groupBy(TERM, as_date("plan_term_started_at").alias("day"))
+        .agg(F.max_by(F.struct(*attributes), order).alias("plan"))
+    )
+    since = F.greatest(F.lit(0), F.ceil(F.datediff("day", "term_started_at") / cal.step_days).cast("int"))
+    periods = (
+        per_day.join(bounds.select(TERM, "term_started_at", "last_week"), TERM)
+        .withColumn("first_week", since)
+        .filter(F.col("first_week") <= F.col("last_week"))
+        .groupBy(TERM, "first_week")
+        .agg(F.max_by("plan", "day").alias("plan"))
+        .groupBy(TERM)
+        .agg(F.sort_array(F.collect_list(F.struct("first_week", "plan"))).alias("periods"))
+    )
+
+    def entry(week: Column) -> Column:
+        so_far = F.filter("periods", lambda period: period["first_week"] <= week)
+        return F.struct(week.alias("week_number"), F.try_element_at(so_far, F.lit(-1))["plan"].alias("plan"))
+
+    entries = F.explode(F.transform(F.sequence(F.lit(0), F.col("last_week")), entry)).alias("entry")
+    listed = bounds.join(periods, TERM, "left").select(SUB, TERM, "term_started_at", entries)
+    week = F.col("entry.week_number")
+    return listed.select(
+        SUB,
+        TERM,
+        week.alias("week_number"),
+        F.date_add("term_started_at", week * cal.step_days).alias("snapshot_date"),
+        *(F.col(f"entry.plan.{a}").alias(a) for a in attributes),
+    )
+
 
 def snapshot_feature_table(
     bounds: DataFrame,
@@ -310,8 +353,8 @@ def snapshot_feature_table(
     """One row per term and snapshot: look-back counts no later than the snapshot, and the label.
 
     Every source is brought to the same shape and all are folded in one grouped pass over the
-    snapshots they touch; the left join that follows uses that pass's partitioning and gives
-    snapshots without activity their zeros.
+    snapshots they touch. The left join that follows uses that pass's layout and gives snapshots
+    without activity their zeros. Plans are looked up on the term's row, before its snapshots fan out.
 
     Invoice flags are current states. ``strict=True`` counts a payment, failure or refund only once
     its own date has come, and leaves out delinquency and charge counts, which carry no date.
@@ -348,31 +391,34 @@ def snapshot_feature_table(
         ],
     )
     features = [f"{c}_{w}d" for c in names for w in windows]
-    folded = rows.groupBy(*keys).agg(
+    zero = F.lit(0).cast("bigint")
+    sums = rows.groupBy(*keys).agg(
         *(
             F.sum(F.when(F.col("age_days") <= w, F.col(c)).otherwise(0)).alias(f"{c}_{w}d")
             for c in names
             for w in windows
         )
     )
-    # Joined to the one-row-per-term bounds, before the snapshots fan out.
+    # One never-null struct keeps the code generated for the join small enough to be compiled.
+    folded = sums.select(*keys, F.struct(*(F.coalesce(F.col(c), zero).alias(c) for c in features)).alias("counts"))
+    no_counts = F.struct(*(zero.alias(c) for c in features))
     static = subscriptions.select(
         SUB, "first_platform", channel_group("first_channel_grouping").alias("channel_group")
     )
+    # Joined to the one-row-per-term bounds, before the snapshots fan out.
     weeks = F.explode(F.sequence(F.lit(0), F.col("last_week")))
-    snapshots = with_snapshot(bounds.join(static, SUB).withColumn("week_number", weeks), cal)
-    return (
-        snapshots.join(folded, keys, "left")
-        .fillna(0, subset=features)
-        .select(
-            SUB,
-            TERM,
-            "snapshot_date",
-            "week_number",
-            (F.col("week_number") * cal.step_days).alias("days_since_term_start"),
-            "first_platform",
-            "channel_group",
-            *features,
-            "label",
-        )
+    snapshots = bounds.join(static, SUB).withColumn("week_number", weeks)
+    week = F.col("week_number")
+    joined = with_snapshot(snapshots, cal).join(folded, keys, "left")
+    looked_up = joined.withColumn("counts", F.coalesce("counts", no_counts))
+    return looked_up.select(
+        SUB,
+        TERM,
+        "snapshot_date",
+        "week_number",
+        (week * cal.step_days).alias("days_since_term_start"),
+        "first_platform",
+        "channel_group",
+        *(F.col(f"counts.{c}").alias(c) for c in features),
+        "label",
     )

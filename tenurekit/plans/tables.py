@@ -8,6 +8,7 @@ from pyspark.sql.types import DecimalType
 
 from tenurekit.functions.buckets import subscriber_type
 from tenurekit.operators import cohort as co
+from tenurekit.operators.features import plan_at_snapshots
 from tenurekit.plans.pipeline import feature_table
 from tenurekit.plans.registry import named
 from tenurekit.sources import extract
@@ -197,6 +198,11 @@ def _(lake):
     return feature_table(lake, strict=True)
 
 
+@named("g1_plan_at_snapshot")
+def _(lake):
+    return plan_at_snapshots(lake.bounds, lake.cohort_rows("subscription_plan_terms"), lake.calendar)
+
+
 @named("bk5_subscriber_types_per_term")
 def _(lake):
     kind = subscriber_type("cancel_requested_at", "term_ended_at")

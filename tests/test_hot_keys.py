@@ -53,7 +53,7 @@ def world(spark, make_terms, make_subs, cal):
             occurred_at timestamp, old_renewal_at timestamp, new_renewal_at timestamp"""),
         "plans": spark.createDataFrame(plans, """subscription_id string, subscription_term_id string, plan_term_number int,
             plan_term_started_at timestamp, drug_name string, regimen string, drug_strength string, monthly_dose int,
-            starting_fulfillment_type string"""),
+            starting_fulfillment_type string""").withColumn("term_months", F.lit(1)),
     }
     members = cohort.cohort_terms(terms, make_subs(*subs), cal)
     frames["bounds"] = labels.snapshot_bounds(members, cal)
@@ -158,6 +158,17 @@ def test_feature_table_sees_nothing_after_the_snapshot(world, spark, cal, strict
             assert row[f"plan_starts_{w}d"] == len(started)
 
 
+def test_plan_at_snapshot_is_the_last_one_started(world, cal):
+    frames, raw = world
+    got = features.plan_at_snapshots(frames["bounds"], frames["plans"], cal).collect()
+    rows = {(r.subscription_term_id, r.snapshot_date): (r.drug_name, r.regimen) for r in got}
+    assert len(got) == len(rows) == len(frames["snapshots"])
+    for s in frames["snapshots"]:
+        known = [p for p in raw["plans"] if p[1] == s["subscription_term_id"] and p[3].date() <= s["snapshot_date"]]
+        current = max(known, key=lambda p: (p[3], p[2])) if known else (None,) * 6
+        assert rows[s["subscription_term_id"], s["snapshot_date"]] == (current[4], current[5])
+
+
 def test_renewals_count_every_paid_invoice_once(world, cal):
     frames, raw = world
     outcomes = deferral.renewal_outcomes(frames["events"], frames["invoices"], cal)
@@ -171,6 +182,34 @@ def test_renewals_count_every_paid_invoice_once(world, cal):
     assert got == want
 
 
+def test_raw_rows_of_a_hot_key_are_split(spark, capsys):
+    """Restricting raw rows to a cohort planned in the same query: AQE may still split the hot key."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key, None) for key in small}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        hot = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000)
+        rows = spark.range(0, 300_000, 1, 8).select(hot.alias("subscription_id"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+        terms = spark.range(5000).select(F.col("id").alias("subscription_id"), (F.col("id") % 2).alias("kept"))
+        people = spark.range(5000).select(F.col("id").alias("subscription_id"))
+        members = terms.filter("kept = 1").join(people, "subscription_id", "left_semi")
+        kept = cohort.restrict_to(rows, members).agg(F.count("x"), F.max("x"))
+        want = sum(1 for i in range(300_000) if (7 if i % 3 == 0 else i % 5000) % 2 == 1)
+        assert kept.collect()[0][0] == want
+        kept.explain("simple")
+        assert "skew=true" in capsys.readouterr().out
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_spread_is_bounded_per_day(world, cal):
     frames, _ = world
     daily = lookback.invoice_days(frames["invoices"])

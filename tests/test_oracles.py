@@ -10,6 +10,10 @@ import __spark_entry__ as entry
 
 TABLES = """region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels
     conversations""".split()
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE",
+    "timestamp": "TIMESTAMP",
+}
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
@@ -41,6 +45,8 @@ def test_every_analysis_has_an_oracle():
 def test_same_rows(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     ours = canonical(df.columns, df.collect())
+    types = {row[0]: row[1] for row in duck.execute(f"DESCRIBE {ORACLES[name]}").fetchall()}
+    assert {c: TYPES[t] for c, t in df.dtypes} == types
     cursor = duck.execute(ORACLES[name])
     theirs = canonical([c[0] for c in cursor.description], cursor.fetchall())
     assert ours == theirs
