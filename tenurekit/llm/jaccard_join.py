@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenurekit.llm.batches import ids_and_texts, rows
+from tenurekit.llm.bits import bit_table, in_table
 from tenurekit.llm.components import components
 from tenurekit.llm.scratch import staged
 from tenurekit.llm.words import mixed, set_key, shingle_sets
@@ -88,20 +89,6 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from tally()
 
 
-def _common_table(tokens: DataFrame) -> bytes:
-    """A bit for each slot of token hashes that a common token falls in; at most 2**COMMON_BITS / 64 rows reach the driver."""
-    slot = F.col("token").bitwiseAND((1 << COMMON_BITS) - 1)
-    words = (
-        tokens.groupBy("token").agg(F.sum("found").alias("found")).where(F.col("found") >= COMMON)
-        .select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(token & 63 as int))").alias("bit"))
-        .groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    )
-    table = np.zeros(1 << (COMMON_BITS - 6), np.int64)
-    for word, bits in words.collect():
-        table[word] = bits
-    return table.tobytes()
-
-
 _EMITTED = "token bigint, share int, member bigint"
 
 
@@ -109,7 +96,6 @@ def _leading(table: object) -> Callable:
     """Rows (token, share, member) of each set's leading tokens; common tokens come last and their rows are dealt into shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(table.value, np.uint64)
         seen: set[bytes] = set()
         for _, sets in _with_sets(batches):
             tokens, shares, members = [], [], []
@@ -119,12 +105,11 @@ def _leading(table: object) -> Callable:
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(key)
-                slots = items & np.uint64((1 << COMMON_BITS) - 1)
-                common = (bits[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1)
+                common = in_table(items, table.value)
                 first = np.argsort(common, kind="stable")[: len(items) // 5 + 1]
                 member = _member(key)
                 tokens.append(items[first].view(np.int64))
-                shares.append(np.where(common[first] > 0, member % SALTS, -1))
+                shares.append(np.where(common[first], member % SALTS, -1))
                 members.append(np.full(len(first), member))
             if tokens:
                 yield rows(_EMITTED, token=np.concatenate(tokens), share=np.concatenate(shares), member=np.concatenate(members))
@@ -207,7 +192,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def _candidate_clusters(docs: DataFrame, profile: DataFrame) -> DataFrame:
     """(member, root): sets that meet at a leading token, directly or through others."""
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(_common_table(profile.where("token is not null").select("token", "found")))
+    common = profile.where("token is not null").groupBy("token").agg(F.sum("found").alias("found")).where(F.col("found") >= COMMON)
+    table = spark.sparkContext.broadcast(bit_table(common, "token", COMMON_BITS))
     block = Window.partitionBy("token", "share")
     met = (
         docs.select("doc_id", "text").mapInArrow(_leading(table), _EMITTED)

@@ -5,6 +5,60 @@ from __future__ import annotations
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
+_TERMS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP3 = f"""
+WITH iw AS (SELECT item_id, {_TERMS.format(_LOWER.format("text"))} AS ws FROM benchmark),
+item AS (
+    SELECT DISTINCT item_id, least(len(ws), 10) AS n,
+        unnest(list_transform(range(1, greatest(len(ws) - 10, 0) + 2), lambda i: array_to_string(ws[i:i + 9], ' '))) AS span
+    FROM iw WHERE len(ws) > 0
+),
+dw AS (SELECT doc_id, {_TERMS.format(_LOWER.format("text"))} AS ws FROM documents),
+spans AS (
+    SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS at_, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS span
+    FROM dw, (SELECT DISTINCT n FROM item) WHERE len(ws) >= n
+),
+hit AS (SELECT s.doc_id, s.n, at_, item_id FROM spans s JOIN item i ON s.span = i.span AND s.n = i.n),
+words AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(at_, at_ + n)) AS place FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_NORMAL = r"trim(regexp_replace(regexp_replace(lower({0}), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'))"
+
+#: (doc_id, the counts, base_failed, kept) of the table `documents`
+_OP4_CTES = f"""
+text_words AS (SELECT doc_id, source, text, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+tri AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS p, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) AS g FROM text_words WHERE len(ws) > 2),
+twice AS (SELECT doc_id, p FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM twice) GROUP BY doc_id),
+line AS (
+    SELECT doc_id, coalesce(source, '') AS host, text, line, {_NORMAL.format("line")} AS norm, len({_WORDS.format("line")}) AS n
+    FROM (SELECT doc_id, source, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM line GROUP BY doc_id),
+host_docs AS (SELECT coalesce(source, '') AS host, count(DISTINCT coalesce(text, chr(1))) AS host_docs FROM documents GROUP BY 1),
+frequent AS (
+    SELECT host, norm FROM line JOIN host_docs USING (host) GROUP BY host, norm, host_docs
+    HAVING count(DISTINCT text) >= 20 AND count(DISTINCT text) >= 0.1 * host_docs
+),
+gone AS (SELECT doc_id, sum(n)::BIGINT AS n_gone FROM line JOIN frequent USING (host, norm) GROUP BY doc_id),
+counted AS (
+    SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+        (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')))::BIGINT AS n_symbols,
+        coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_gone, 0) AS n_gone
+    FROM text_words w LEFT JOIN repeated USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id)
+),
+judged AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_gone >= 0.5 * n_words AS kept FROM counted
+)"""
+
+OP4 = f"WITH {_OP4_CTES} SELECT * EXCLUDE (n_gone) FROM judged"
+
 OP8 = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format("text"))} AS ws FROM documents),
 s AS (
@@ -21,4 +75,4 @@ FROM w LEFT JOIN size USING (doc_id) JOIN reach ON reach.doc_id = w.doc_id GROUP
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_jaccard_join": OP8}
+    return {"op3_winnowing": OP3, "op4_line_frequency": OP4, "op8_jaccard_join": OP8}
