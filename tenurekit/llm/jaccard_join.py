@@ -4,14 +4,16 @@ Method. A document is its set of distinct 5-word shingles; two link when their J
 
 1. Equal sets fold to one class before anything is compared, so groups of copies cost one row.
 2. Sets that link share one of their first ``n // 5 + 1`` tokens in any common order of tokens. The order puts tokens
-   that many documents hold last, so a shared passage hardly ever brings documents together. Documents that meet at
-   such a token form candidate clusters (star edges, connected components); no pairs are listed.
-3. A cluster is dealt out in tiles of bounded size. In a tile, tokens are hashed into groups; a set is the point of
-   its group counts. Points are packed by size into the leaves of an R-tree. The summed coordinate minima of two
-   points bound their overlap from above, and so do those of a point and a leaf's upper corner; what survives both
+   that many documents hold last, so a shared passage hardly ever brings documents together.
+3. Tokens are hashed into groups; a set is the point of its group counts. The summed coordinate minima of two points
+   bound their overlap from above. Sets that meet at a leading token and pass the bound form candidate clusters
+   (connected components of a spanning forest for each token; no pairs are listed). Where very many sets meet, they
+   are joined without the bound.
+4. A cluster is dealt out in tiles of bounded size. In a tile the points are packed by size into the leaves of an
+   R-tree, whose upper corners bound the overlap with any point of the leaf; what survives the bounds of leaf and point
    is verified on the sets. Pairs already known to be connected are skipped, so a group of m near copies takes about
    m checks.
-4. Clusters of several tiles: the cluster's first set visits every tile, which joins near copies across tiles.
+5. Clusters of several tiles: the cluster's first set visits every tile, which joins near copies across tiles.
    Members that stay outside its component then visit all tiles, in bounded chunks; so no pair is left out.
 
 Nothing is capped: sizes and frequencies only decide the order of tokens and the layout of tiles.
@@ -37,8 +39,10 @@ from tenurekit.llm.words import mixed, set_key, shingle_sets
 #: Two sets link when 100 * overlap >= PERCENT * union.
 PERCENT = 80
 SHINGLE = 5
-#: Documents of one task's tally that make a token common, summed over tasks. Only the order of tokens rests on it.
+#: Sets that make a token common, as tasks tally them. Only the order of tokens rests on it.
 COMMON = 24
+#: Sets that may meet at a token and still be compared one by one.
+BLOCK = 256
 #: Bits of the table of common tokens that every task gets (1 MB).
 COMMON_BITS = 23
 #: Tokens whose hashes a task gathers before it reports the repeated ones.
@@ -56,12 +60,34 @@ def _member(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+def _point(items: np.ndarray) -> bytes:
+    """Group counts of a set, behind a byte that tells the bytes of a count. The number of groups is a power of two."""
+    n = len(items)
+    groups = 1 << max(5, math.ceil(math.log2(n / (8 if n <= 2048 else 16))))
+    counts = np.bincount((mixed(items) >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups)
+    width = 1 if counts.max() < 256 else 4
+    return bytes([width]) + counts.astype(np.uint8 if width == 1 else np.uint32).tobytes()
+
+
+def _counts(point: bytes) -> np.ndarray:
+    return np.frombuffer(point, np.uint8 if point[0] == 1 else np.uint32, offset=1).astype(np.int64)
+
+
+def _may_link(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether the summed minima allow a link: 0.8 of the union is 4/9 of both sizes together."""
+    while len(p) > len(q):
+        p = p.reshape(2, -1).sum(0)
+    while len(q) > len(p):
+        q = q.reshape(2, -1).sum(0)
+    return 9 * int(np.minimum(p, q).sum()) >= 4 * int(p.sum() + q.sum())
+
+
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     for ids, texts in ids_and_texts(batches):
         yield ids, shingle_sets(texts, SHINGLE)
 
 
-_PROFILE = "doc_id bigint, n bigint, key binary, member bigint, token bigint, found bigint"
+_PROFILE = "doc_id bigint, n bigint, key binary, member bigint, point binary, token bigint, found bigint"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +105,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for ids, sets in _with_sets(batches):
         keys = [set_key(s) if len(s) else None for s in sets]
-        yield rows(_PROFILE, doc_id=ids, n=[len(s) for s in sets], key=keys, member=[key and _member(key) for key in keys])
+        yield rows(_PROFILE, doc_id=ids, n=[len(s) for s in sets], key=keys, member=[key and _member(key) for key in keys], point=[_point(s) if len(s) else None for s in sets])
         for key, items in zip(keys, sets, strict=True):
             if key is not None and key not in seen:
                 seen.add(key)
@@ -117,6 +143,52 @@ def _leading(table: object) -> Callable:
     return run
 
 
+_MET = "a bigint, b bigint"
+
+
+def _block_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that connect what may link at each token. Rows (token, member, point) come in the order of tokens."""
+    decided: dict[tuple[int, int], bool] = {}
+    points: dict[int, np.ndarray] = {}
+
+    def joined(block: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
+        if len(block) > BLOCK:
+            return [(block[0][0], member) for member, _ in block[1:]]
+        label, found = list(range(len(block))), []
+        for member, point in block:
+            if member not in points:
+                points[member] = _counts(point)
+        for i in range(1, len(block)):
+            for j in range(i):
+                a, b = sorted((block[i][0], block[j][0]))
+                if a == b or label[i] == label[j]:
+                    continue
+                if (a, b) not in decided:
+                    decided[a, b] = _may_link(points[a], points[b])
+                    if decided[a, b]:
+                        found.append((a, b))
+                if decided[a, b]:
+                    old = label[i]
+                    label = [label[j] if x == old else x for x in label]
+        if len(decided) > 500_000 or len(points) > 20_000:
+            decided.clear()
+            points.clear()
+        return found
+
+    token, block = None, []
+    for batch in batches:
+        found = []
+        for own, member, point in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if own != token:
+                found += joined(block) if len(block) > 1 else []
+                token, block = own, []
+            block.append((member, point))
+        if found:
+            yield rows(_MET, a=[a for a, _ in found], b=[b for _, b in found])
+    if len(block) > 1 and (found := joined(block)):
+        yield rows(_MET, a=[a for a, _ in found], b=[b for _, b in found])
+
+
 def _tree_links(sets: list[np.ndarray], asking: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets (distinct, sorted hashes). asking: only links with one of these count."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
@@ -176,9 +248,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     profile = staged(docs.mapInArrow(_profile, _PROFILE), "jaccard-profile")
     documents = profile.where("n is not null").select("doc_id", "n", "key")
     held = profile.where("key is not null").groupBy("key")
-    classes = held.agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("member").alias("member"), F.count("*").alias("n_copies"))
+    classes = held.agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("member").alias("member"), F.max("point").alias("point"), F.count("*").alias("n_copies"))
     classes = staged(classes, "jaccard-classes")
-    clusters = _candidate_clusters(docs, profile)
+    clusters = _candidate_clusters(docs, profile, classes)
     links = _verified_links(docs, classes, clusters)
     roots = components(links, "jaccard-links")
     labelled = classes.join(roots, classes.key == roots.node, "left").select("key", "rep", "n_copies", F.coalesce("root", "key").alias("root"))
@@ -189,8 +261,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return documents.join(found, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
-def _candidate_clusters(docs: DataFrame, profile: DataFrame) -> DataFrame:
-    """(member, root): sets that meet at a leading token, directly or through others."""
+def _candidate_clusters(docs: DataFrame, profile: DataFrame, classes: DataFrame) -> DataFrame:
+    """(member, root): sets that may link, directly or through others."""
     spark = docs.sparkSession
     common = profile.where("token is not null").groupBy("token").agg(F.sum("found").alias("found")).where(F.col("found") >= COMMON)
     table = spark.sparkContext.broadcast(bit_table(common, "token", COMMON_BITS))
@@ -201,11 +273,13 @@ def _candidate_clusters(docs: DataFrame, profile: DataFrame) -> DataFrame:
         .where("hub < last or share >= 0")
     )
     met = staged(met.select("token", "share", "member", "hub"), "jaccard-met")
-    within = met.where("member <> hub").select(F.col("hub").alias("a"), F.col("member").alias("b"))
+    few = met.where("share < 0").select("token", "member").join(classes.select("member", "point"), "member")
+    few = few.select("token", "member", "point").repartition("token").sortWithinPartitions("token").mapInArrow(_block_edges, _MET)
+    within = met.where("share >= 0 and member <> hub").select(F.col("hub").alias("a"), F.col("member").alias("b"))
     hubs = met.where("share >= 0").groupBy("token", "share").agg(F.min("hub").alias("hub"))
     least = hubs.groupBy("token").agg(F.min("hub").alias("a"))
     across = hubs.join(least, "token").where("a <> hub").select("a", F.col("hub").alias("b"))
-    return components(within.union(across).distinct(), "jaccard-candidates").select(F.col("node").alias("member"), "root")
+    return components(few.union(within).union(across), "jaccard-candidates").select(F.col("node").alias("member"), "root")
 
 
 def _pieces(n: str, docs: str) -> F.Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenurekit.llm.apportion import mix
 from tenurekit.llm.jaccard_join import jaccard_components
 from tenurekit.llm.line_frequency import judged
 from tenurekit.llm.winnowing import contamination
@@ -33,5 +34,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_apportion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_winnowing, op4_line_frequency, op8_jaccard_join)}
+    return {f.__name__: f for f in (op3_winnowing, op4_line_frequency, op8_jaccard_join, op9_apportion)}

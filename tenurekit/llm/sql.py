@@ -74,5 +74,65 @@ FROM w LEFT JOIN size USING (doc_id) JOIN reach ON reach.doc_id = w.doc_id GROUP
 """
 
 
+def _mix(documents: str) -> str:
+    """CTEs down to mixed(doc_id, source, size, source_size, target, taken, spin, text) of a relation of documents."""
+    place = "('0x' || substr(md5('mix-1|' || {0}), 1, 15))::BIGINT"
+    chosen = "((({0} + first) * extra) // greatest(n_blocks, 1) - (first * extra) // greatest(n_blocks, 1))"
+    at = "({0} // block)"
+
+    def before(word: str) -> str:
+        own = at.format(word)
+        here = f"({chosen.format(f'({own} + 1)')} - {chosen.format(own)})"
+        return f"(rounds * {word} + {chosen.format(own)} * block + {here} * ({word} - {own} * block))"
+
+    return f"""
+sized AS (
+    SELECT doc_id, source, text, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size, CASE WHEN source IS NULL THEN '~' ELSE '=' || source END AS key,
+        {place.format("doc_id::VARCHAR")} AS spin FROM {documents}
+),
+by_source AS (SELECT key, source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM sized GROUP BY ALL),
+weighted AS (SELECT *, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 3 * source_size AS most FROM by_source),
+levels AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER ratio, 0))::BIGINT AS rest, (sum(weight) OVER () - coalesce(sum(weight) OVER ratio, 0))::BIGINT AS rest_weight
+    FROM weighted WINDOW ratio AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+filled AS (SELECT *, most * rest_weight <= weight * rest AS is_full FROM levels),
+first_free AS (SELECT rest AS free_rest, rest_weight AS free_weight FROM filled WHERE NOT is_full ORDER BY most / weight, source NULLS LAST LIMIT 1),
+targeted AS (
+    SELECT key, source, source_size, n_docs, CASE WHEN is_full THEN most::DOUBLE ELSE (weight * free_rest)::DOUBLE / free_weight::DOUBLE END AS target,
+        greatest(1, ceil((sum(source_size) OVER ())::DOUBLE / 65536))::BIGINT AS block, (sum(source_size) OVER ())::BIGINT AS all_words, ceil(n_docs / 20000)::BIGINT AS n_shards
+    FROM filled LEFT JOIN first_free ON true
+),
+dealt AS (SELECT s.*, s.spin % n_shards AS shard, t.source_size, t.target, t.block FROM sized s JOIN targeted t USING (key)),
+by_shard AS (
+    SELECT key, shard, sum(size)::BIGINT AS shard_size, max(block) AS block, ceil(sum(size)::DOUBLE / max(block))::BIGINT AS n_blocks FROM dealt GROUP BY ALL
+),
+source_votes AS (SELECT key, target, round(all_words / block)::BIGINT AS total, least((SELECT sum(3 * n_blocks) FROM by_shard b WHERE b.key = t.key), round(all_words / block)) AS most FROM targeted t),
+source_seats AS (
+    SELECT key, count(*) AS total FROM (
+        SELECT key, total, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, key, k) AS place
+        FROM (SELECT key, target, total, unnest(range(0, most::BIGINT)) AS k FROM source_votes WHERE target > 0)
+    ) WHERE place <= total GROUP BY key
+),
+shard_seats AS (
+    SELECT key, shard, count(*) AS quota FROM (
+        SELECT key, shard, total, row_number() OVER (PARTITION BY key ORDER BY shard_size / (2 * k + 1) DESC, shard, k) AS place
+        FROM (SELECT key, shard, shard_size, total, unnest(range(0, least(total, 3 * n_blocks))) AS k FROM by_shard JOIN source_seats USING (key) WHERE shard_size > 0)
+    ) WHERE place <= total GROUP BY key, shard
+),
+plan AS (
+    SELECT key, shard, n_blocks, coalesce(quota, 0) // greatest(n_blocks, 1) AS rounds, coalesce(quota, 0) % greatest(n_blocks, 1) AS extra,
+        {place.format("key || '|' || shard")} % greatest(n_blocks, 1) AS first
+    FROM by_shard LEFT JOIN shard_seats USING (key, shard)
+),
+laid AS (SELECT *, (sum(size) OVER (PARTITION BY key, shard ORDER BY spin, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS e FROM dealt),
+mixed AS (
+    SELECT doc_id, source, text, size, source_size, target, spin, ({before("e")} - {before("(e - size)")})::BIGINT AS taken FROM laid JOIN plan USING (key, shard)
+)"""
+
+
+OP9 = f"WITH {_mix('documents')} SELECT doc_id, size, source_size, target, taken FROM mixed"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_winnowing": OP3, "op4_line_frequency": OP4, "op8_jaccard_join": OP8}
+    return {"op3_winnowing": OP3, "op4_line_frequency": OP4, "op8_jaccard_join": OP8, "op9_apportion": OP9}
