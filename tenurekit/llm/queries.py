@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenurekit.llm.apportion import mix
+from tenurekit.llm.hilbert import shard_numbers
 from tenurekit.llm.jaccard_join import jaccard_components
 from tenurekit.llm.line_frequency import judged
 from tenurekit.llm.winnowing import contamination
@@ -39,5 +40,11 @@ def op9_apportion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    found = shard_numbers(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_winnowing, op4_line_frequency, op8_jaccard_join, op9_apportion)}
+    return {f.__name__: f for f in (op3_winnowing, op4_line_frequency, op8_jaccard_join, op9_apportion, op10_hilbert)}
