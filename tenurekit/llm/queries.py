@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from tenurekit.llm.apportion import mix
 from tenurekit.llm.hilbert import shard_numbers
 from tenurekit.llm.jaccard_join import jaccard_components
 from tenurekit.llm.line_frequency import judged
+from tenurekit.llm.token_counts import token_counts
+from tenurekit.llm.url_terms import judged_urls
 from tenurekit.llm.winnowing import contamination
 
 
@@ -30,6 +33,21 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "documents")).drop("t", "n_left")
 
 
+def op6_two_tier(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Token counts of every document. tokenizer: the JSON file, by default that of the installed public vocabularies."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    found = token_counts(_table(spark, sf_dir, "documents"), Path(tokenizer).read_text())
+    return found.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op7_url_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return judged_urls(_table(spark, sf_dir, "pages"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of 0.8 Jaccard similarity of 5-word shingles."""
     return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -47,4 +65,4 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_winnowing, op4_line_frequency, op8_jaccard_join, op9_apportion, op10_hilbert)}
+    return {f.__name__: f for f in (op3_winnowing, op4_line_frequency, op6_two_tier, op7_url_terms, op8_jaccard_join, op9_apportion, op10_hilbert)}

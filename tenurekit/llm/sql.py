@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tenurekit.llm.url_terms import SOFT, STRICT
+
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
@@ -59,6 +61,24 @@ judged AS (
 
 OP4 = f"WITH {_OP4_CTES} SELECT * EXCLUDE (n_gone) FROM judged"
 
+_FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS_IN = "len(list_filter({1}::VARCHAR[], lambda t: regexp_matches({0}, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)')))::BIGINT"
+
+OP7 = f"""
+WITH u AS (
+    SELECT page_id, {_FOLD.format("coalesce(url, '')")} AS folded, {_FOLD.format("coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")} AS host,
+        coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+),
+rules AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) r(verdict, domain, prefix)),
+fits AS (
+    SELECT page_id, host, path, max_by(domain || prefix, length(domain || prefix)) AS rule, max_by(verdict, length(domain || prefix)) AS verdict
+    FROM (SELECT DISTINCT page_id, host, path FROM u) JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix) GROUP BY ALL
+),
+found AS (SELECT *, {_TERMS_IN.format("folded", list(STRICT))} AS n_strict, {_TERMS_IN.format("folded", list(SOFT))} AS n_soft FROM u)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN 2 * n_strict + n_soft >= 2 THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft
+FROM found LEFT JOIN fits USING (page_id, host, path)
+"""
+
 OP8 = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format("text"))} AS ws FROM documents),
 s AS (
@@ -135,4 +155,4 @@ OP9 = f"WITH {_mix('documents')} SELECT doc_id, size, source_size, target, taken
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_winnowing": OP3, "op4_line_frequency": OP4, "op8_jaccard_join": OP8, "op9_apportion": OP9}
+    return {"op3_winnowing": OP3, "op4_line_frequency": OP4, "op7_url_terms": OP7, "op8_jaccard_join": OP8, "op9_apportion": OP9}
