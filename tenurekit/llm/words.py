@@ -38,13 +38,27 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _hashed(buffer: np.ndarray, word_bytes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each word in a buffer."""
+#: Kinds of a byte: 0 letter, 1 digit, 2 from 0x80, 3 end of a sentence, 4 other
+_KIND = np.full(256, 4)
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 0
+_KIND[0x30:0x3A] = 1
+_KIND[0x80:] = 2
+_KIND[list(b".!?")] = 3
+SHAPES = 5 * 5 * 3
+
+
+def _shapes(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A number below SHAPES for the kinds of a word's first and last byte and its length."""
+    return (_KIND[buffer[starts]] * 5 + _KIND[buffer[starts + lengths - 1]]) * 3 + np.digitize(lengths, [4, 8])
+
+
+def _hashed(buffer: np.ndarray, word_bytes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash, shape) of each word in a buffer."""
     inside = word_bytes[buffer]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return starts, np.empty(0, np.uint64)
+        return starts, np.empty(0, np.uint64), starts
     lengths = ends - starts
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
@@ -52,7 +66,7 @@ def _hashed(buffer: np.ndarray, word_bytes: np.ndarray, table: np.ndarray) -> tu
     value = table[index]
     if lengths.max() > _PLACES:
         value = value * (2 * (place // _PLACES) + 1).astype(np.uint64)
-    return starts, mixed(np.add.reduceat(value, first) + lengths.astype(np.uint64))
+    return starts, mixed(np.add.reduceat(value, first) + lengths.astype(np.uint64)), _shapes(buffer, starts, lengths)
 
 
 def _pieces(texts: list[bytes | None], word_bytes: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -75,19 +89,30 @@ def _pieces(texts: list[bytes | None], word_bytes: np.ndarray) -> Iterator[tuple
 
 def word_hashes(texts: list[bytes | None], word_bytes: np.ndarray = NOT_BLANK, *, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and offsets: text i has ``hashes[offsets[i]:offsets[i + 1]]``. None has no words."""
+    return _words(texts, word_bytes, fold)[:2]
+
+
+def word_shapes(texts: list[bytes | None], word_bytes: np.ndarray = NOT_BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, and the shape of each word."""
+    return _words(texts, word_bytes, True)
+
+
+def _words(texts: list[bytes | None], word_bytes: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     table = _TABLE_FOLDED if fold else _TABLE_EXACT
     counts = np.zeros(len(texts) + 1, np.int64)
     parts: list[np.ndarray] = []
+    shapes: list[np.ndarray] = []
     batch: list[tuple[int, bytes]] = []
 
     def flush() -> None:
         if not batch:
             return
         buffer = np.frombuffer(b"\n".join(x for _, x in batch), np.uint8)
-        starts, hashes = _hashed(buffer, word_bytes, table)
+        starts, hashes, kinds = _hashed(buffer, word_bytes, table)
         bounds = np.cumsum([len(x) + 1 for _, x in batch])
         np.add.at(counts, np.array([i for i, _ in batch]) + 1, np.diff(np.searchsorted(starts, bounds), prepend=0))
         parts.append(hashes)
+        shapes.append(kinds)
         batch.clear()
 
     size = 0
@@ -98,7 +123,8 @@ def word_hashes(texts: list[bytes | None], word_bytes: np.ndarray = NOT_BLANK, *
         batch.append((i, piece))
         size += len(piece) + 1
     flush()
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.cumsum(counts)
+    joined = [np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((parts, np.uint64), (shapes, np.int64))]
+    return joined[0], np.cumsum(counts), joined[1]
 
 
 def grams(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
