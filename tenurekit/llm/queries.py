@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenurekit.llm.apportion import mix
+from tenurekit.llm.chaining import repeated_passages
 from tenurekit.llm.hilbert import shard_numbers
+from tenurekit.llm.hmm import scored
 from tenurekit.llm.jaccard_join import jaccard_components
 from tenurekit.llm.line_frequency import judged
 from tenurekit.llm.token_counts import token_counts
@@ -21,6 +23,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents share, up to small differences."""
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and hidden Markov scores of every document."""
+    return scored(_table(spark, sf_dir, "documents"))
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in a window of a benchmark item."""
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -65,4 +77,4 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_winnowing, op4_line_frequency, op6_two_tier, op7_url_terms, op8_jaccard_join, op9_apportion, op10_hilbert)}
+    return {f.__name__: f for f in (op1_chaining, op2_hmm, op3_winnowing, op4_line_frequency, op6_two_tier, op7_url_terms, op8_jaccard_join, op9_apportion, op10_hilbert)}
