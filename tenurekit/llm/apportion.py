@@ -21,8 +21,8 @@ BLOCKS = 65_536
 #: A source's target is at most this many times its size.
 MOST = 3
 WEIGHTS = (1, 2, 3)
-#: Documents in one shard of a source, about.
-SHARD_DOCS = 20_000
+#: A source has a shard for so many documents, but no more shards than leave each so many blocks.
+SHARD_DOCS, SHARD_BLOCKS = 1_000, 64
 SEED = "mix-1"
 
 
@@ -87,7 +87,8 @@ def mix(docs: DataFrame) -> DataFrame:
     sources = light.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     sources = targets(sources).withColumn("all_words", F.sum("source_size").over(Window.partitionBy()))
     block = F.greatest(F.lit(1), F.ceil(F.col("all_words") / BLOCKS)).cast("bigint")
-    sources = staged(sources.withColumns({"block": block, "n_shards": F.ceil(F.col("n_docs") / SHARD_DOCS).cast("bigint")}), "mix-sources")
+    n_shards = F.greatest(F.lit(1), F.least(F.ceil(F.col("n_docs") / SHARD_DOCS), F.expr(f"source_size div ({SHARD_BLOCKS} * block)"))).cast("bigint")
+    sources = staged(sources.withColumn("block", block).withColumn("n_shards", n_shards), "mix-sources")
 
     # one row a shard of a source
     dealt = light.join(sources.select("key", "n_shards"), "key").withColumn("shard", F.pmod("spin", "n_shards"))

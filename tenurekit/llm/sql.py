@@ -118,11 +118,12 @@ levels AS (
 ),
 filled AS (SELECT *, most * rest_weight <= weight * rest AS is_full FROM levels),
 first_free AS (SELECT rest AS free_rest, rest_weight AS free_weight FROM filled WHERE NOT is_full ORDER BY most / weight, source NULLS LAST LIMIT 1),
-targeted AS (
+by_target AS (
     SELECT key, source, source_size, n_docs, CASE WHEN is_full THEN most::DOUBLE ELSE (weight * free_rest)::DOUBLE / free_weight::DOUBLE END AS target,
-        greatest(1, ceil((sum(source_size) OVER ())::DOUBLE / 65536))::BIGINT AS block, (sum(source_size) OVER ())::BIGINT AS all_words, ceil(n_docs / 20000)::BIGINT AS n_shards
+        greatest(1, ceil((sum(source_size) OVER ())::DOUBLE / 65536))::BIGINT AS block, (sum(source_size) OVER ())::BIGINT AS all_words
     FROM filled LEFT JOIN first_free ON true
 ),
+targeted AS (SELECT *, greatest(1, least(ceil(n_docs / 1000), source_size // (64 * block)))::BIGINT AS n_shards FROM by_target),
 dealt AS (SELECT s.*, s.spin % n_shards AS shard, t.source_size, t.target, t.block FROM sized s JOIN targeted t USING (key)),
 by_shard AS (
     SELECT key, shard, sum(size)::BIGINT AS shard_size, max(block) AS block, ceil(sum(size)::DOUBLE / max(block))::BIGINT AS n_blocks FROM dealt GROUP BY ALL
