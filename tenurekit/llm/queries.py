@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tenurekit.llm.apportion import mix
 from tenurekit.llm.chaining import repeated_passages
+from tenurekit.llm.dom_boosting import main_texts
 from tenurekit.llm.hilbert import shard_numbers
 from tenurekit.llm.hmm import scored
 from tenurekit.llm.jaccard_join import jaccard_components
@@ -45,6 +46,11 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "documents")).drop("t", "n_left")
 
 
+def op5_dom_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op6_two_tier(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Token counts of every document. tokenizer: the JSON file, by default that of the installed public vocabularies."""
     if tokenizer is None:
@@ -77,4 +83,4 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chaining, op2_hmm, op3_winnowing, op4_line_frequency, op6_two_tier, op7_url_terms, op8_jaccard_join, op9_apportion, op10_hilbert)}
+    return {f.__name__: f for f in (op1_chaining, op2_hmm, op3_winnowing, op4_line_frequency, op5_dom_boosting, op6_two_tier, op7_url_terms, op8_jaccard_join, op9_apportion, op10_hilbert)}
