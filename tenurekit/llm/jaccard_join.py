@@ -261,6 +261,20 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return documents.join(found, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component: the one with its smallest doc_id, with all its columns.
+
+    Rows that repeat an id and a text are one document. Rows without doc_id, which no component can name, all stay.
+    """
+    found = staged(jaccard_components(docs).select("doc_id", "component_id"), "jaccard-kept")
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    kept = packed.join(keep, "doc_id", "left_semi")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
+        kept = kept.withColumn("t", F.xxhash64("row.text")).dropDuplicates(["doc_id", "t"])
+    return kept.select("row.*").union(docs.where("doc_id is null"))
+
+
 def _candidate_clusters(docs: DataFrame, profile: DataFrame, classes: DataFrame) -> DataFrame:
     """(member, root): sets that may link, directly or through others."""
     spark = docs.sparkSession

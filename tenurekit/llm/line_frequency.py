@@ -85,15 +85,41 @@ def judged(docs: DataFrame, host: str = "source") -> DataFrame:
     Extra columns do not matter.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("source"))
-    # written, so that joins find both inputs exchanged for them and AQE can split a hot line or a hot text
-    lines = staged(lines_of(docs), "lines")
-    frequent = staged(frequent_lines(docs, lines), "lines-frequent")
-    gone = staged(lines.join(frequent, ["host", "h"]).groupBy("host", "t").agg(F.sum("n_words").alias("n_gone")), "lines-gone")
+    gone = _gone(docs)
     counted = text_counts(docs.select("doc_id", _host(docs, "source").alias("host"), F.xxhash64("text").alias("t"), "text")).drop("text")
     out = counted.join(gone, ["host", "t"], "left").withColumn("n_left", F.col("n_words") - F.coalesce("n_gone", F.lit(0)))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    kept = ~failed & (F.col("n_left") >= MIN_LEFT * F.col("n_words"))
-    return out.select("doc_id", "t", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_left", failed.alias("base_failed"), kept.alias("kept"))
+    kept = ~_failed() & (F.col("n_left") >= MIN_LEFT * F.col("n_words"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_left", _failed().alias("base_failed"), kept.alias("kept"))
+
+
+def _failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _gone(docs: DataFrame) -> DataFrame:
+    """(host, t, n_gone, n_all): words in boilerplate lines, and all words, of texts with such lines.
+
+    Written, as are the tables it comes from: so joins find both inputs exchanged for them and AQE can split a hot line
+    or a hot text.
+    """
+    lines = staged(lines_of(docs), "lines")
+    frequent = staged(frequent_lines(docs, lines), "lines-frequent")
+    marked = lines.join(frequent.withColumn("boilerplate", F.lit(True)), ["host", "h"], "left")
+    sums = marked.groupBy("host", "t").agg(F.sum(F.when(F.col("boilerplate"), F.col("n_words"))).alias("n_gone"), F.sum("n_words").alias("n_all"))
+    return staged(sums.where("n_gone > 0"), "lines-gone")
+
+
+def kept_documents(docs: DataFrame, host: str = "source") -> DataFrame:
+    """The rows of docs that ``judged`` keeps, with all their columns.
+
+    Texts are told apart by host and 64-bit hash.
+    """
+    gone = _gone(docs.select(F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("source")))
+    depleted = gone.where(F.col("n_all") - F.col("n_gone") < MIN_LEFT * F.col("n_all")).select("host", "t")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"), _host(docs, host).alias("host"), F.xxhash64(F.col("text").cast("string")).alias("t"))
+    # a filter on the counts alone would be pushed below them, and then count anew for every use of a word; it isn't past a row number
+    counted = text_counts(packed).withColumn("at", F.monotonically_increasing_id())
+    return counted.where(~_failed() & (F.col("at") >= 0)).join(depleted, ["host", "t"], "left_anti").select("row.*")
 
 
 def without_frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:

@@ -43,7 +43,7 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every document."""
-    return judged(_table(spark, sf_dir, "documents")).drop("t", "n_left")
+    return judged(_table(spark, sf_dir, "documents")).drop("n_left")
 
 
 def op5_dom_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:

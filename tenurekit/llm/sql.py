@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tenurekit.llm.hilbert import BITS, curve_table
 from tenurekit.llm.url_terms import SOFT, STRICT
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -9,19 +10,24 @@ _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
 _TERMS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-OP3 = f"""
-WITH iw AS (SELECT item_id, {_TERMS.format(_LOWER.format("text"))} AS ws FROM benchmark),
+def _hits(documents: str) -> str:
+    """CTEs down to hit(doc_id, n, at_, item_id) of a relation of documents."""
+    return f"""
+iw AS (SELECT item_id, {_TERMS.format(_LOWER.format("text"))} AS ws FROM benchmark),
 item AS (
     SELECT DISTINCT item_id, least(len(ws), 10) AS n,
         unnest(list_transform(range(1, greatest(len(ws) - 10, 0) + 2), lambda i: array_to_string(ws[i:i + 9], ' '))) AS span
     FROM iw WHERE len(ws) > 0
 ),
-dw AS (SELECT doc_id, {_TERMS.format(_LOWER.format("text"))} AS ws FROM documents),
+dw AS (SELECT doc_id, {_TERMS.format(_LOWER.format("text"))} AS ws FROM {documents}),
 spans AS (
     SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS at_, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS span
     FROM dw, (SELECT DISTINCT n FROM item) WHERE len(ws) >= n
 ),
-hit AS (SELECT s.doc_id, s.n, at_, item_id FROM spans s JOIN item i ON s.span = i.span AND s.n = i.n),
+hit AS (SELECT s.doc_id, s.n, at_, item_id FROM spans s JOIN item i ON s.span = i.span AND s.n = i.n)"""
+
+
+OP3 = f"""WITH {_hits("documents")},
 words AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(at_, at_ + n)) AS place FROM hit) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
 SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
@@ -31,18 +37,20 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 _NORMAL = r"trim(regexp_replace(regexp_replace(lower({0}), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'))"
 
-#: (doc_id, the counts, base_failed, kept) of the table `documents`
-_OP4_CTES = f"""
-text_words AS (SELECT doc_id, source, text, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+
+def _judged(documents: str) -> str:
+    """CTEs down to judged(doc_id, the counts, n_gone, base_failed, kept) of a relation of documents."""
+    return f"""
+text_words AS (SELECT doc_id, source, text, {_WORDS.format("coalesce(text, '')")} AS ws FROM {documents}),
 tri AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS p, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) AS g FROM text_words WHERE len(ws) > 2),
 twice AS (SELECT doc_id, p FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 repeated AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM twice) GROUP BY doc_id),
 line AS (
     SELECT doc_id, coalesce(source, '') AS host, text, line, {_NORMAL.format("line")} AS norm, len({_WORDS.format("line")}) AS n
-    FROM (SELECT doc_id, source, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+    FROM (SELECT doc_id, source, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM {documents}) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
 ),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM line GROUP BY doc_id),
-host_docs AS (SELECT coalesce(source, '') AS host, count(DISTINCT coalesce(text, chr(1))) AS host_docs FROM documents GROUP BY 1),
+host_docs AS (SELECT coalesce(source, '') AS host, count(DISTINCT coalesce(text, chr(1))) AS host_docs FROM {documents} GROUP BY 1),
 frequent AS (
     SELECT host, norm FROM line JOIN host_docs USING (host) GROUP BY host, norm, host_docs
     HAVING count(DISTINCT text) >= 20 AND count(DISTINCT text) >= 0.1 * host_docs
@@ -59,7 +67,8 @@ judged AS (
         NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_gone >= 0.5 * n_words AS kept FROM counted
 )"""
 
-OP4 = f"WITH {_OP4_CTES} SELECT * EXCLUDE (n_gone) FROM judged"
+
+OP4 = f"WITH {_judged('documents')} SELECT * EXCLUDE (n_gone) FROM judged"
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERMS_IN = "len(list_filter({1}::VARCHAR[], lambda t: regexp_matches({0}, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)')))::BIGINT"
@@ -79,8 +88,10 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN 2 * n_strict + n_s
 FROM found LEFT JOIN fits USING (page_id, host, path)
 """
 
-OP8 = f"""
-WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format("text"))} AS ws FROM documents),
+def _grouped(documents: str) -> str:
+    """CTEs down to grouped(doc_id, n_shingles, component_id) of a relation of documents."""
+    return f"""
+w AS (SELECT doc_id, {_WORDS.format(_LOWER.format("text"))} AS ws FROM {documents}),
 s AS (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
         ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle FROM w
@@ -88,10 +99,14 @@ s AS (
 size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
 link AS (SELECT a, b FROM met JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * both_ >= 80 * (x.n + y.n - both_)),
-reach(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other)
-SELECT w.doc_id, coalesce(max(size.n), 0) AS n_shingles, min(reach.other) AS component_id
-FROM w LEFT JOIN size USING (doc_id) JOIN reach ON reach.doc_id = w.doc_id GROUP BY w.doc_id
-"""
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other),
+grouped AS (
+    SELECT w.doc_id, coalesce(max(size.n), 0) AS n_shingles, min(reach.other) AS component_id
+    FROM w LEFT JOIN size USING (doc_id) JOIN reach ON reach.doc_id = w.doc_id GROUP BY w.doc_id
+)"""
+
+
+OP8 = f"WITH RECURSIVE {_grouped('documents')} SELECT * FROM grouped"
 
 
 def _mix(documents: str) -> str:
@@ -155,5 +170,35 @@ mixed AS (
 OP9 = f"WITH {_mix('documents')} SELECT doc_id, size, source_size, target, taken FROM mixed"
 
 
+def _curve(rows: str) -> str:
+    """rows(…, x, y, z) with h, the place on the Hilbert curve: a table of states, bit by bit."""
+    table = curve_table()
+    sql = f"SELECT *, 0 AS s, 0::BIGINT AS h FROM ({rows})"
+    for b in range(BITS - 1, -1, -1):
+        octant = f"((x >> {b}) & 1) + 2 * ((y >> {b}) & 1) + 4 * ((z >> {b}) & 1)"
+        sql = f"SELECT * EXCLUDE (s, h, f), f // 8 AS s, h * 8 + f % 8 AS h FROM (SELECT *, {table}[s * 8 + {octant} + 1] AS f FROM ({sql}))"
+    return sql
+
+
+_BYTE = "('0x' || substr(md5(coalesce({0}, '')), 1, 2))::INT"
+
+#: The rows of the pipeline: quality rules, one of each group, no benchmark items, the mix, shards.
+PIPELINE = f"""
+WITH d4 AS MATERIALIZED (WITH {_judged("documents")} SELECT d.* FROM documents d JOIN judged j USING (doc_id) WHERE j.kept),
+d8 AS MATERIALIZED (WITH RECURSIVE {_grouped("d4")} SELECT d.* FROM d4 d JOIN grouped g USING (doc_id) WHERE doc_id = component_id),
+d3 AS MATERIALIZED (WITH {_hits("d8")} SELECT * FROM d8 WHERE doc_id NOT IN (SELECT doc_id FROM hit)),
+times AS MATERIALIZED (
+    WITH {_mix("d3")} SELECT doc_id, (taken * 1000000 + size * (spin % 1000000)) // (greatest(size, 1) * 1000000) AS times FROM mixed
+),
+d9 AS (SELECT d.*, unnest(range(0, times)) AS copy_ FROM d3 d JOIN times USING (doc_id) WHERE times > 0),
+cells AS (
+    SELECT *, {_BYTE.format("source")} AS x, {_BYTE.format("lang")} AS y, least(255, 8 * e + ((n >> (e - 3)) & 7))::INT AS z
+    FROM (SELECT *, length(bin(n)) - 1 AS e FROM (SELECT *, strlen(coalesce(text, '')) + 8 AS n FROM d9))
+),
+ranked AS (SELECT *, row_number() OVER (ORDER BY h, md5(coalesce(text, '')), doc_id) - 1 AS r, count(*) OVER () AS n_all FROM ({_curve("SELECT * FROM cells")}))
+SELECT doc_id, text, lang, source, n_chars, (r * 24 // n_all)::INT AS shard, r - ((r * 24 // n_all) * n_all + 23) // 24 AS slot FROM ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op3_winnowing": OP3, "op4_line_frequency": OP4, "op7_url_terms": OP7, "op8_jaccard_join": OP8, "op9_apportion": OP9}

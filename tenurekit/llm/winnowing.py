@@ -119,3 +119,10 @@ def contamination(docs: DataFrame, items: DataFrame, **columns: str) -> DataFram
     item_ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     return all_rows.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(item_ids).cast("bigint").alias("n_items"), item_ids.alias("item_ids"), (n_hit > 0).alias("contaminated"))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs in which no item is found, with all their columns. Rows are told apart by a hash of id and text."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("k"), "text")
+    met = contamination(packed, items, doc_id="k").where("contaminated").select(F.col("doc_id").alias("k"))
+    return packed.join(staged(met.distinct(), "winnow-met"), "k", "left_anti").select("row.*")
