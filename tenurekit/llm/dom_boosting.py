@@ -36,16 +36,23 @@ _INSERTS = (
     '<ul class="{n}"><li><a href="/1">{w}</a></li><li><a href="/2">{h}</a></li><li><a href="/3">{w}</a></li></ul>',
     '<header class="{n}"><h2>{w}</h2><p>{h}</p></header>',
 )
+#: Tags that tell their kind without a name.
+_TELLING = ("<aside", "<form", "<header")
 _NAMES = ("sidebar", "side-bar widget", "cookie-notice", "notice", "alert warning", "ad", "ads-banner", "advert", "promo", "sponsored", "comments", "comment-list", "user-comment", "share social", "related-posts", "newsletter subscribe", "menu", "navbar", "breadcrumbs", "header top", "footer", "login-form", "search", "tags", "pagination", "recommended")
 _BODIES = ('div class="content"', 'div id="main-content"', 'div class="post-body"', 'div class="entry"', 'section class="story"', 'div class="article-text"', "main", "div", 'div class="page"', "section")
 
+_WITHIN = ("</p><h2>{h}</h2><p>", "</p><h3>{h}</h3><p>", "</p><ul><li>{h}</li><li>{s}</li></ul><p>", "</p><blockquote><p>{s}</p></blockquote><p>", "</p><table><tr><td>{h}</td><td>{s}</td></tr></table><p>", "</p><figure><figcaption>{h}</figcaption></figure><p>")
+_PLAIN = ("div", 'div class="col"', 'div class="inner"', "section", "td")
+
 
 def variant(html: str, r: random.Random, sentences: list[str]) -> str:
     """The page with its main part marked, renamed and mixed with other parts."""
 
     def part() -> str:
         words = r.choice(sentences).split() or ["-"]
-        filled = r.choice(_INSERTS).format(n=r.choice(_NAMES), s=" ".join(words[:40]), h=" ".join(words[:6]), w=words[0])
+        made = r.choice(_INSERTS)
+        name = "" if made.startswith(_TELLING) and r.random() < 0.6 else r.choice(_NAMES)
+        filled = made.format(n=name, s=" ".join(words[:40]), h=" ".join(words[:6]), w=words[0])
         return f"<!--+-->{filled}<!---->"
 
     opened = re.search(r"<(article|main)\b[^>]*>", html)
@@ -57,6 +64,13 @@ def variant(html: str, r: random.Random, sentences: list[str]) -> str:
     if r.random() < 0.5:
         head = re.sub(r"<(/?)nav\b", r"<\1div", head) if r.random() < 0.5 else head.replace("<nav", '<nav class="menu"')
         rest = re.sub(r"<footer\b", '<div class="footer"', rest).replace("</footer>", "</div>")
+    if r.random() < 0.3:
+        body = "<p>".join(body.split("<p>")[: r.randrange(2, 6)])
+    body = body.replace("h1>", f"{r.choice(('h1', 'h1', 'h2', 'h3'))}>")
+    if r.random() < 0.5:
+        words = r.choice(sentences).split() or ["-"]
+        inner = r.choice(_WITHIN).format(s=" ".join(words[:40]), h=" ".join(words[:6]))
+        body = inner.join(body.rsplit("<p>", 1)) if "<p>" in body else body + inner
     around = lambda: "".join(part() for _ in range(r.choice((0, 1, 1, 2))))
     if r.random() < 0.6:
         blocks = re.split(r"(?=<p>)", body)
@@ -64,8 +78,10 @@ def variant(html: str, r: random.Random, sentences: list[str]) -> str:
         body = "".join(blocks[:spot]) + "</p>" + part() + "".join(blocks[spot:])
     if r.random() < 0.4:
         body += "</p>" + part()
-    kind = r.choice(_BODIES)
-    return f'{head}{around()}<{kind} data-{_MARK}="1">{body}</{kind.split()[0]}>{around()}{rest}'
+    kind = r.choice(_PLAIN if r.random() < 0.5 else _BODIES)
+    outer = r.choice(("", "", "div", 'div class="wrap"', 'div class="row"'))
+    main = f'{around()}<{kind} data-{_MARK}="1">{body}</{kind.split()[0]}>{around()}'
+    return f"{head}<{outer}>{main}</div>{rest}" if outer else head + main + rest
 
 
 class _Marked(Page):
