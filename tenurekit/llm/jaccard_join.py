@@ -147,32 +147,39 @@ _MET = "a bigint, b bigint"
 
 
 def _block_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges that connect what may link at each token. Rows (token, member, point) come in the order of tokens."""
-    decided: dict[tuple[int, int], bool] = {}
+    """Edges that connect what may link in each block. Rows (block, member, point) come in the order of blocks."""
+    above: dict[int, int] = {}  # a forest of what this task has connected
     points: dict[int, np.ndarray] = {}
+    apart: set[tuple[int, int]] = set()
+
+    def root(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
 
     def joined(block: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
-        if len(block) > BLOCK:
-            return [(block[0][0], member) for member, _ in block[1:]]
-        label, found = list(range(len(block))), []
-        for member, point in block:
-            if member not in points:
-                points[member] = _counts(point)
+        found = []
+        bounded = len(block) <= BLOCK
+        if len(above) + len(points) + len(apart) > 1_000_000:
+            above.clear()
+            points.clear()
+            apart.clear()
         for i in range(1, len(block)):
-            for j in range(i):
-                a, b = sorted((block[i][0], block[j][0]))
-                if a == b or label[i] == label[j]:
+            b, point = block[i]
+            for j in range(i if bounded else 1):
+                a = block[j][0]
+                if (x := root(a)) == (y := root(b)) or (a, b) in apart:
                     continue
-                if (a, b) not in decided:
-                    decided[a, b] = _may_link(points[a], points[b])
-                    if decided[a, b]:
-                        found.append((a, b))
-                if decided[a, b]:
-                    old = label[i]
-                    label = [label[j] if x == old else x for x in label]
-        if len(decided) > 500_000 or len(points) > 20_000:
-            decided.clear()
-            points.clear()
+                if bounded:
+                    for own, raw in ((a, block[j][1]), (b, point)):
+                        if own not in points:
+                            points[own] = _counts(raw)
+                    if not _may_link(points[a], points[b]):
+                        apart.add((a, b))
+                        continue
+                above[max(x, y)] = min(x, y)
+                found.append((a, b))
         return found
 
     token, block = None, []
@@ -180,12 +187,12 @@ def _block_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for own, member, point in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if own != token:
-                found += joined(block) if len(block) > 1 else []
+                found += joined(block)
                 token, block = own, []
             block.append((member, point))
         if found:
             yield rows(_MET, a=[a for a, _ in found], b=[b for _, b in found])
-    if len(block) > 1 and (found := joined(block)):
+    if found := joined(block):
         yield rows(_MET, a=[a for a, _ in found], b=[b for _, b in found])
 
 
@@ -283,12 +290,13 @@ def _candidate_clusters(docs: DataFrame, profile: DataFrame, classes: DataFrame)
     block = Window.partitionBy("token", "share")
     met = (
         docs.select("doc_id", "text").mapInArrow(_leading(table), _EMITTED)
-        .withColumns({"hub": F.min("member").over(block), "last": F.max("member").over(block)})
+        .withColumns({"hub": F.min("member").over(block), "last": F.max("member").over(block), "block": F.bit_xor(F.xxhash64("member")).over(block)})
         .where("hub < last or share >= 0")
     )
-    met = staged(met.select("token", "share", "member", "hub"), "jaccard-met")
-    few = met.where("share < 0").select("token", "member").join(classes.select("member", "point"), "member")
-    few = few.select("token", "member", "point").repartition("token").sortWithinPartitions("token").mapInArrow(_block_edges, _MET)
+    met = staged(met.select("token", "share", "member", "hub", "block"), "jaccard-met")
+    # tokens with the same members are one block, told by the members' hashes
+    few = met.where("share < 0").select("block", "member").distinct().join(classes.select("member", "point"), "member")
+    few = few.select("block", "member", "point").repartition("block").sortWithinPartitions("block", "member").mapInArrow(_block_edges, _MET)
     within = met.where("share >= 0 and member <> hub").select(F.col("hub").alias("a"), F.col("member").alias("b"))
     hubs = met.where("share >= 0").groupBy("token", "share").agg(F.min("hub").alias("hub"))
     least = hubs.groupBy("token").agg(F.min("hub").alias("a"))
