@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-_SETTING = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; set to a temporary one only where the session names none (tests)."""
-    folder = spark.conf.get(_SETTING, None)
-    if not folder:
-        folder = f"file://{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set(_SETTING, folder)
-    return folder.rstrip("/")
+from tenurekit.sources.scratch import fresh_folder
 
 
 def staged(frame: DataFrame, name: str) -> DataFrame:
     """Write the frame as Parquet to the shared folder and read it back: lineage ends there, lost executors cost nothing."""
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/tenurekit-llm/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(frame.sparkSession, f"llm/{name}")
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from llm_words import held_out, words
+from .llm_words import held_out, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

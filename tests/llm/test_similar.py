@@ -12,7 +12,7 @@ from tenurekit.llm.components import components
 from tenurekit.llm.jaccard_join import jaccard_components, one_of_each
 from tenurekit.llm.winnowing import benchmark_spans, clean_documents, contamination
 
-from llm_words import words
+from .llm_words import words
 
 
 def _text(r, n, vocabulary=4000):
