@@ -1,7 +1,8 @@
 """Building blocks for the conformed tables, cohorts, labels and snapshots, and their own checks."""
 
 from oracles import block, oracle
-from tenurekit.operators import conform as cf
+from oracles import columns as listed
+from oracles.groups import CHANNEL_GROUP
 
 block("qualified", """
     SELECT DISTINCT subscription_id, subscription_term_id
@@ -15,17 +16,8 @@ block("refined", """
 block("refined_cohort", "SELECT t.* FROM refined r JOIN subscription_terms t USING (subscription_term_id)")
 
 
-def _columns(names, money=("amount_due", "gross_revenue", "net_revenue")):
-    listed = []
-    for name in names.split():
-        source, _, renamed = name.partition(">")
-        cast = f"CAST({source} AS DOUBLE)" if source in money else source
-        listed.append(f"{cast} AS {renamed or source}")
-    return ", ".join(listed)
-
-
 def _of_cohort(columns, table, key="subscription_id"):
-    return f"SELECT {_columns(columns)} FROM {table} x WHERE EXISTS (FROM qualified q WHERE q.{key} = x.{key})"
+    return f"SELECT {columns} FROM {table} x WHERE EXISTS (FROM qualified q WHERE q.{key} = x.{key})"
 
 
 _FLAGGED = """*, coalesce(cancel_requested_at < TIMESTAMP '2001-08-01', FALSE) AS is_cancelled_before_cutoff,
@@ -34,16 +26,16 @@ _FLAGGED = """*, coalesce(cancel_requested_at < TIMESTAMP '2001-08-01', FALSE) A
 block("all_terms", f"""
     SELECT {_FLAGGED}, CAST(CAST(term_ended_at AS DATE) - CAST(term_started_at AS DATE) AS INTEGER)
       AS days_between_term_start_and_end
-    FROM ({_of_cohort(cf.TERM_COLUMNS, 'subscription_terms')}) t""")
+    FROM ({_of_cohort(listed.TERM_COLUMNS, 'subscription_terms')}) t""")
 block("refined_flagged", f"SELECT {_FLAGGED} FROM refined_cohort")
 block("plan_types", "SELECT * FROM subscription_plan_types WHERE condition_name = 'alpha care'")
-block("cohort_plan_terms", _of_cohort(cf.PLAN_TERM_COLUMNS, "subscription_plan_terms"))
-block("cohort_charges", _of_cohort(cf.CHARGE_COLUMNS, "subscription_charges"))
+block("cohort_plan_terms", _of_cohort(listed.PLAN_TERM_COLUMNS, "subscription_plan_terms"))
+block("cohort_charges", _of_cohort(listed.CHARGE_COLUMNS, "subscription_charges"))
 block("cohort_invoices", f"""
     SELECT i.*, i.created_at + to_days(CAST(p.term_months * 30 AS INTEGER)) AS expected_refill_dt
-    FROM ({_of_cohort(cf.INVOICE_COLUMNS, 'subscription_invoices', 'subscription_term_id')}) i
+    FROM ({_of_cohort(listed.INVOICE_COLUMNS, 'subscription_invoices', 'subscription_term_id')}) i
     LEFT JOIN subscription_plan_types p ON p.plan_id = i.plan_id""")
-block("cohort_events", _of_cohort(cf.EVENT_COLUMNS, "int_subs_kafka__events"))
+block("cohort_events", _of_cohort(listed.EVENT_COLUMNS, "int_subs_kafka__events"))
 block("latest", "SELECT * FROM subscription_plan_terms WHERE is_latest_plan_term")
 
 _LABEL = """
@@ -116,7 +108,7 @@ oracle("ex9_orders_once", """SELECT order_id, status FROM subscription_orders WH
 
 oracle("sv1_qualified_cohort", "SELECT * FROM qualified")
 oracle("sv2_plan_types", "SELECT * FROM plan_types")
-oracle("sv3_subscriptions", _of_cohort(cf.SUBSCRIPTION_COLUMNS, "subscriptions"))
+oracle("sv3_subscriptions", _of_cohort(listed.SUBSCRIPTION_COLUMNS, "subscriptions"))
 oracle("sv4_all_terms", "SELECT * FROM all_terms")
 oracle("sv5_plan_terms", "SELECT * FROM cohort_plan_terms")
 oracle("sv6_charges", "SELECT * FROM cohort_charges")
@@ -168,8 +160,7 @@ def _gold(strict):
     key = "(subscription_term_id, week_number)"
     return f"""
       SELECT s.subscription_id, subscription_term_id, snapshot_date, week_number, days_since_term_start,
-             u.first_platform, CASE WHEN u.first_channel_grouping LIKE '%search' THEN 'active_search'
-               WHEN u.first_channel_grouping IN ('crm', 'direct') THEN 're_engaged' ELSE 'unknown_other' END AS channel_group,
+             u.first_platform, {CHANNEL_GROUP},
              i.* EXCLUDE {key}, d.* EXCLUDE {key}, r.* EXCLUDE {key}, p.* EXCLUDE {key}, label
       FROM snapshots s JOIN subscriptions_core u USING (subscription_id)
       JOIN {counted('i', 'subscription_invoices', 'created_at', 'subscription_term_id', invoices)} USING {key}

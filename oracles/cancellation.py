@@ -1,6 +1,7 @@
 """Checks of the cancellation-type analyses."""
 
 from oracles import block, half_up, oracle, share
+from oracles.groups import DOSE_GROUP, STRENGTH_GROUP
 
 oracle("q03_1_refined_cohort_size", "SELECT count(*) AS total_terms, count(DISTINCT subscription_id) AS unique_subscriptions FROM refined")
 oracle("q03_2_cancellation_type", """SELECT subscription_id, subscription_term_id, term_started_at, term_ended_at,
@@ -26,16 +27,12 @@ oracle("q03_11_involuntary_not_payment_by_canceller", """SELECT termination_type
     FROM cancelled_by WHERE is_failed_payment_canceled IS FALSE GROUP BY ALL""")
 oracle("q03_12_valid_cohort_size", """SELECT cancellation_type, count(*) AS n_rows, count(DISTINCT subscription_id) AS n_subscriptions
     FROM valid GROUP BY ALL""")
-_STRENGTH = """CASE WHEN drug_strength IN ('2.5mg', '5mg') THEN 'low (≤5mg)' WHEN drug_strength IN ('50mg', '100mg')
-    THEN 'high (≥50mg)' WHEN drug_strength IN ('10mg', '20mg', '25mg') THEN 'mid (10–25mg)' END AS strength_group"""
-_DOSE = """CASE WHEN monthly_dose = 30 THEN 'high (30/mo)' WHEN monthly_dose <= 8 THEN 'low (≤8/mo)'
-    WHEN monthly_dose <= 16 THEN 'mid (9–16/mo)' END AS dose_group"""
 for _name, _by in (
     ("q03_13_type_by_cadence", "term_months AS cadence"),
     ("q03_14_type_by_drug", "drug_name"),
     ("q03_15_type_by_regimen", "regimen"),
-    ("q03_16_type_by_strength_group", _STRENGTH),
-    ("q03_17_type_by_dose_group", _DOSE),
+    ("q03_16_type_by_strength_group", STRENGTH_GROUP),
+    ("q03_17_type_by_dose_group", DOSE_GROUP),
 ):
     oracle(_name, share("valid v JOIN latest p ON p.subscription_term_id = v.subscription_term_id", f"cancellation_type;{_by}",
                         n="count(DISTINCT v.subscription_id)", within="cancellation_type", names=("n", "pct_within_type")))

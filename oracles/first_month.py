@@ -1,6 +1,7 @@
 """Checks of the first-30-day rates and their tests."""
 
 from oracles import block, chi2_test, oracle, rates, share
+from oracles.groups import CHANNEL_GROUP, DOSE_GROUP_OR_ITSELF, STRENGTH_GROUP_OR_ITSELF
 
 oracle("q04_1_refined_cohort_size", "SELECT count(*) AS total_terms, count(DISTINCT subscription_id) AS unique_subscriptions FROM refined")
 oracle("q04_2_labels_refined", """SELECT subscription_id, subscription_term_id, term_started_at, cancel_requested_at, cancel_status,
@@ -13,12 +14,6 @@ block("risk_plan", """SELECT l.subscription_id, l.cancel_status, p.* EXCLUDE (su
 block("risk_person", """SELECT l.subscription_id, l.cancel_status, s.* EXCLUDE (subscription_id) FROM labels_refined l JOIN subscriptions s
     ON s.subscription_id = l.subscription_id WHERE l.cancel_status <> 'cancelled_at_start'""")
 _HIT = "cancel_status = 'cancelled_in_30_days'"
-_STRENGTH = """CASE WHEN drug_strength IN ('2.5mg', '5mg') THEN 'low (≤5mg)' WHEN drug_strength IN ('50mg', '100mg')
-    THEN 'high (≥50mg)' WHEN drug_strength IN ('10mg', '20mg', '25mg') THEN 'mid (10–25mg)' ELSE drug_strength END AS strength_group"""
-_DOSE = """CASE WHEN monthly_dose = 30 THEN 'high (30/mo — daily)' WHEN monthly_dose <= 8 THEN 'low (≤8/mo)'
-    WHEN monthly_dose <= 16 THEN 'mid (9–16/mo)' ELSE CAST(monthly_dose AS VARCHAR) END AS dose_group"""
-_CHANNEL = """CASE WHEN first_channel_grouping IN ('crm', 'direct') THEN 're_engaged' WHEN first_channel_grouping LIKE '%search'
-    THEN 'active_search' ELSE 'unknown_other' END AS channel_group"""
 
 
 def _tested(source, by, having=""):
@@ -32,11 +27,11 @@ for _name, _source, _by in (
     ("q04_7_rate_by_drug_and_regimen", "risk_plan", "drug_name;regimen"),
     ("q04_8_rate_by_regimen", "risk_plan", "regimen"),
     ("q04_9_rate_by_strength", "risk_plan", "drug_strength"),
-    ("q04_10_rate_by_strength_group", "risk_plan", _STRENGTH),
+    ("q04_10_rate_by_strength_group", "risk_plan", STRENGTH_GROUP_OR_ITSELF),
     ("q04_11_rate_by_monthly_dose", "risk_plan", "monthly_dose"),
-    ("q04_12_rate_by_dose_group", "risk_plan", _DOSE),
+    ("q04_12_rate_by_dose_group", "risk_plan", DOSE_GROUP_OR_ITSELF),
     ("q04_15_rate_by_channel", "risk_person", "first_channel_grouping"),
-    ("q04_16_rate_by_channel_group", "risk_person", _CHANNEL),
+    ("q04_16_rate_by_channel_group", "risk_person", CHANNEL_GROUP),
     ("q04_17_rate_by_platform", "risk_person", "first_platform"),
     ("q04_18_rate_by_state", "risk_person", "user_state"),
 ):

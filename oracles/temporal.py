@@ -1,6 +1,7 @@
 """Checks of the weekly series, look-back features and their statistics, in join-with-range form."""
 
 from oracles import block, chi2_test, gamma_tail, oracle
+from oracles.groups import CHANNEL_GROUP, DOSE_GROUP, STRENGTH_GROUP
 
 _GROUP = """if(label = 1, 'churned', 'retained') AS "group\""""
 
@@ -76,12 +77,7 @@ oracle("ft10_plan_changes_by_week", _weekly(
     {"has_plan_change": _mean("CAST(plan_term_number > 1 AS INTEGER)")} |
     {k: _mean(f"CAST(coalesce(plan_term_number > 1 AND {c} <> before_{c}, FALSE) AS INTEGER)") for k, c in _KINDS.items()}))
 oracle("ft11_static_profile", f"""
-    SELECT CASE WHEN drug_strength IN ('2.5mg', '5mg') THEN 'low (≤5mg)' WHEN drug_strength IN ('50mg', '100mg')
-                THEN 'high (≥50mg)' WHEN drug_strength IN ('10mg', '20mg', '25mg') THEN 'mid (10–25mg)' END AS strength_group,
-           CASE WHEN monthly_dose = 30 THEN 'high (30/mo)' WHEN monthly_dose <= 8 THEN 'low (≤8/mo)'
-                WHEN monthly_dose <= 16 THEN 'mid (9–16/mo)' END AS dose_group, regimen,
-           CASE WHEN first_channel_grouping IN ('crm', 'direct') THEN 're_engaged' WHEN first_channel_grouping LIKE '%search'
-                THEN 'active_search' ELSE 'unknown_other' END AS channel_group,
+    SELECT {STRENGTH_GROUP}, {DOSE_GROUP}, regimen, {CHANNEL_GROUP},
            {_GROUP}, count(DISTINCT s.subscription_id) AS n
     FROM snapshots s JOIN latest p ON p.subscription_term_id = s.subscription_term_id
     JOIN subscriptions_core u ON u.subscription_id = s.subscription_id GROUP BY ALL""")

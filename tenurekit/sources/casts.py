@@ -2,75 +2,88 @@
 
 from __future__ import annotations
 
-# Table and column names as delivered by the source system, grouped by target type.
+_TIME, _INT, _MONEY, _BOOL = "timestamp", "integer", "decimal(18,2)", "boolean"
+
+# Table and column names as delivered by the source system.
 _TYPED_COLUMNS = {
     "subscriptions": {
-        "timestamp": """created_at current_term_end latest_delinquent_at latest_canceled_at latest_paused_at
-            activated_backend_at paid_at rx_written_at activated_at trial_converted_at trial_ended_at
-            trial_conversion_expected_at _kafka_updated_ts _updated_ts""",
-        "integer": """condition_id trial_duration current_drug_id current_quantity current_days_supply
-            desired_refill_count user_subscription_number""",
-        "decimal(18,2)": "current_price",
-        "boolean": """had_trial is_paid rx_is_written is_activated_backend is_trial_converted trial_is_ended
-            is_manual_trial_canceled is_failed_payment_trial_canceled is_trial_canceled is_activated""",
+        "created_at": _TIME, "current_term_end": _TIME, "latest_delinquent_at": _TIME, "latest_canceled_at": _TIME,
+        "latest_paused_at": _TIME, "activated_backend_at": _TIME, "paid_at": _TIME, "rx_written_at": _TIME,
+        "activated_at": _TIME, "trial_converted_at": _TIME, "trial_ended_at": _TIME, "trial_conversion_expected_at":
+        _TIME, "_kafka_updated_ts": _TIME, "_updated_ts": _TIME,
+        "condition_id": _INT, "trial_duration": _INT, "current_drug_id": _INT, "current_quantity": _INT,
+        "current_days_supply": _INT, "desired_refill_count": _INT, "user_subscription_number": _INT,
+        "current_price": _MONEY,
+        "had_trial": _BOOL, "is_paid": _BOOL, "rx_is_written": _BOOL, "is_activated_backend": _BOOL,
+        "is_trial_converted": _BOOL, "trial_is_ended": _BOOL, "is_manual_trial_canceled": _BOOL,
+        "is_failed_payment_trial_canceled": _BOOL, "is_trial_canceled": _BOOL, "is_activated": _BOOL,
     },
     "subscription_terms": {
-        "timestamp": """_sub_activated_at term_started_at next_term_started_at term_ended_at term_active_until
-            trial_converted_at trial_ended_at trial_conversion_expected_at cancel_requested_at
-            cancel_expected_at paid_at refunded_at _updated_ts""",
-        "integer": "condition_id term_number",
-        "boolean": """is_new_start had_trial is_trial_converted trial_is_ended is_trial_canceled
-            is_manual_trial_canceled is_failed_payment_trial_canceled is_paid is_delinquent
-            is_failed_payment_canceled trial_is_delinquent is_refunded""",
+        "_sub_activated_at": _TIME, "term_started_at": _TIME, "next_term_started_at": _TIME, "term_ended_at": _TIME,
+        "term_active_until": _TIME, "trial_converted_at": _TIME, "trial_ended_at": _TIME,
+        "trial_conversion_expected_at": _TIME, "cancel_requested_at": _TIME, "cancel_expected_at": _TIME, "paid_at":
+        _TIME, "refunded_at": _TIME, "_updated_ts": _TIME,
+        "condition_id": _INT, "term_number": _INT,
+        "is_new_start": _BOOL, "had_trial": _BOOL, "is_trial_converted": _BOOL, "trial_is_ended": _BOOL,
+        "is_trial_canceled": _BOOL, "is_manual_trial_canceled": _BOOL, "is_failed_payment_trial_canceled": _BOOL,
+        "is_paid": _BOOL, "is_delinquent": _BOOL, "is_failed_payment_canceled": _BOOL, "trial_is_delinquent": _BOOL,
+        "is_refunded": _BOOL,
     },
     "subscription_plan_terms": {
-        "timestamp": """term_started_at term_ended_at plan_term_started_at plan_term_ended_at
-            next_plan_term_started_at""",
-        "integer": "condition_id term_number plan_term_number drug_id monthly_dose term_months",
-        "boolean": "is_latest_plan_term",
+        "term_started_at": _TIME, "term_ended_at": _TIME, "plan_term_started_at": _TIME, "plan_term_ended_at": _TIME,
+        "next_plan_term_started_at": _TIME,
+        "condition_id": _INT, "term_number": _INT, "plan_term_number": _INT, "drug_id": _INT, "monthly_dose": _INT,
+        "term_months": _INT,
+        "is_latest_plan_term": _BOOL,
     },
     "subscription_plan_types": {
-        "timestamp": "created_at updated_at _fivetran_synced",
-        "integer": """condition_id drug_id monthly_dose quantity_per_fill desired_refill_count
-            billing_duration_count days_supply_per_fill term_months""",
-        "decimal(18,2)": "prescription_price billing_price term_price",
-        "boolean": "_fivetran_deleted",
+        "created_at": _TIME, "updated_at": _TIME, "_fivetran_synced": _TIME,
+        "condition_id": _INT, "drug_id": _INT, "monthly_dose": _INT, "quantity_per_fill": _INT,
+        "desired_refill_count": _INT, "billing_duration_count": _INT, "days_supply_per_fill": _INT, "term_months":
+        _INT,
+        "prescription_price": _MONEY, "billing_price": _MONEY, "term_price": _MONEY,
+        "_fivetran_deleted": _BOOL,
     },
     "subscription_charges": {
-        "timestamp": "occurred_at current_term_end_at refunded_at",
-        "integer": "condition_id drug_id attempt_number activation_count",
-        "decimal(18,2)": "amount_due gross_revenue net_revenue",
-        "boolean": "is_latest_charge is_refunded is_failed was_paid is_paid",
+        "occurred_at": _TIME, "current_term_end_at": _TIME, "refunded_at": _TIME,
+        "condition_id": _INT, "drug_id": _INT, "attempt_number": _INT, "activation_count": _INT,
+        "amount_due": _MONEY, "gross_revenue": _MONEY, "net_revenue": _MONEY,
+        "is_latest_charge": _BOOL, "is_refunded": _BOOL, "is_failed": _BOOL, "was_paid": _BOOL, "is_paid": _BOOL,
     },
     "subscription_invoices": {
-        "timestamp": """created_at paid_at failed_at first_charge_at refunded_at latest_charge_at
-            latest_term_end_at term_started_at term_ended_at plan_term_started_at plan_term_ended_at
-            order_updated_at cancel_requested_at next_invoice_created_at expected_refill_dt""",
-        "integer": """invoice_number activation_count num_charges term_number drug_id next_invoice_number
-            days_between_invoice_and_fulfillment_status""",
-        "decimal(18,2)": "amount_due gross_revenue net_revenue",
-        "boolean": """was_paid was_failed is_paid is_failed is_refunded is_delinquent caused_cancellation
-            is_trial_invoice is_trial_conversion_invoice is_latest_term_invoice is_dup
-            next_invoice_creation_is_expected""",
+        "created_at": _TIME, "paid_at": _TIME, "failed_at": _TIME, "first_charge_at": _TIME, "refunded_at": _TIME,
+        "latest_charge_at": _TIME, "latest_term_end_at": _TIME, "term_started_at": _TIME, "term_ended_at": _TIME,
+        "plan_term_started_at": _TIME, "plan_term_ended_at": _TIME, "order_updated_at": _TIME, "cancel_requested_at":
+        _TIME, "next_invoice_created_at": _TIME, "expected_refill_dt": _TIME,
+        "invoice_number": _INT, "activation_count": _INT, "num_charges": _INT, "term_number": _INT, "drug_id": _INT,
+        "next_invoice_number": _INT, "days_between_invoice_and_fulfillment_status": _INT,
+        "amount_due": _MONEY, "gross_revenue": _MONEY, "net_revenue": _MONEY,
+        "was_paid": _BOOL, "was_failed": _BOOL, "is_paid": _BOOL, "is_failed": _BOOL, "is_refunded": _BOOL,
+        "is_delinquent": _BOOL, "caused_cancellation": _BOOL, "is_trial_invoice": _BOOL,
+        "is_trial_conversion_invoice": _BOOL, "is_latest_term_invoice": _BOOL, "is_dup": _BOOL,
+        "next_invoice_creation_is_expected": _BOOL,
     },
     "subscriptions_churn": {
-        "timestamp": """term_started_at term_ended_at cancel_requested_at forecasted_churn_date
-            first_invoice_paid_dt last_invoice_paid_dt""",
-        "integer": "term_number term_months count_paid_invoices",
-        "decimal(18,2)": "total_paid_amount net_paid_amount",
-        "boolean": "is_reactivated_term is_activated",
+        "term_started_at": _TIME, "term_ended_at": _TIME, "cancel_requested_at": _TIME, "forecasted_churn_date":
+        _TIME, "first_invoice_paid_dt": _TIME, "last_invoice_paid_dt": _TIME,
+        "term_number": _INT, "term_months": _INT, "count_paid_invoices": _INT,
+        "total_paid_amount": _MONEY, "net_paid_amount": _MONEY,
+        "is_reactivated_term": _BOOL, "is_activated": _BOOL,
     },
     "subscription_orders": {
-        "timestamp": """status_updated_at created_at in_triage_at in_transit_at canceled_at
-            eta_first_updated_at eta_latest_updated_at completed_at confirmed_at""",
+        "status_updated_at": _TIME, "created_at": _TIME, "in_triage_at": _TIME, "in_transit_at": _TIME, "canceled_at":
+        _TIME, "eta_first_updated_at": _TIME, "eta_latest_updated_at": _TIME, "completed_at": _TIME, "confirmed_at":
+        _TIME,
     },
     "int_subs_kafka__events": {
-        "timestamp": """raw_occurred_at occurred_at old_renewal_at new_renewal_at subscription_created_at
-            current_term_end_at""",
-        "integer": "condition_id drug_id monthly_dose attempt_number trial_duration_days",
-        "decimal(18,2)": "amount_due",
-        "boolean": """is_refund is_failed is_succeeded is_charge is_trial_end_event
-            is_first_post_trial_payment canceled_during_trial cancel_at_current_term_end""",
+        "raw_occurred_at": _TIME, "occurred_at": _TIME, "old_renewal_at": _TIME, "new_renewal_at": _TIME,
+        "subscription_created_at": _TIME, "current_term_end_at": _TIME,
+        "condition_id": _INT, "drug_id": _INT, "monthly_dose": _INT, "attempt_number": _INT, "trial_duration_days":
+        _INT,
+        "amount_due": _MONEY,
+        "is_refund": _BOOL, "is_failed": _BOOL, "is_succeeded": _BOOL, "is_charge": _BOOL, "is_trial_end_event":
+        _BOOL, "is_first_post_trial_payment": _BOOL, "canceled_during_trial": _BOOL, "cancel_at_current_term_end":
+        _BOOL,
     },
 }
 
@@ -79,4 +92,4 @@ SOURCE_TABLES = list(_TYPED_COLUMNS)
 
 def casts_for(table: str) -> dict[str, str]:
     """``{column: type}`` for one landed table."""
-    return {name: kind for kind, names in _TYPED_COLUMNS[table].items() for name in names.split()}
+    return dict(_TYPED_COLUMNS[table])

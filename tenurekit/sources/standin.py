@@ -5,8 +5,9 @@ a generic sales schema by key arithmetic. The texts below are plain SELECTs; ``{
 "one row per integer 1..n" and is filled in per dialect, so that another SQL engine can derive the
 very same inputs.
 
-All of them are narrow apart from the joins to orders/customers and one map-side-combined
-aggregate; no window runs over raw rows, so a hot order key cannot pile up in one task.
+All of them are narrow apart from the joins to orders/customers and the numbering of line items, which counts first and
+then numbers within small groups; so a hot order key cannot pile up in one task. Every line item becomes a plan term and
+an invoice, every part a plan of the catalogue.
 """
 
 from __future__ import annotations
@@ -106,44 +107,39 @@ TEXTS = {
                    CASE WHEN k % 6 = 3 THEN d + CAST(30 + k % 150 AS INT) END AS end_day,
                    {{each:CASE WHEN activated AND (k % 10 = 2 OR k % 500 = 1) THEN 2 ELSE 1 END}} AS seq
             FROM base) n) t""",
-    # Up to three plans per order, numbered without gaps; attributes come from line-item keys.
+    # Line items by (order, line, part, supplier), numbered within the order without gaps. Places come from counts of
+    # (order, line, part % 64), so no window runs over all line items of an order.
+    "numbered_lines": """
+        SELECT i.l_orderkey, p, s, before + row_number() OVER (PARTITION BY i.l_orderkey, i.line, i.part_group ORDER BY p, s) AS n, n_plans
+        FROM (SELECT l_orderkey, l_linenumber AS line, l_partkey AS p, l_suppkey AS s, l_partkey % 64 AS part_group
+              FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey) i
+        JOIN (SELECT l_orderkey, line, part_group,
+                     CAST(sum(n_items) OVER (PARTITION BY l_orderkey ORDER BY line, part_group) AS BIGINT) - n_items AS before,
+                     CAST(sum(n_items) OVER (PARTITION BY l_orderkey) AS BIGINT) AS n_plans
+              FROM (SELECT l_orderkey, line, part_group, count(*) AS n_items
+                    FROM (SELECT l_orderkey, l_linenumber AS line, l_partkey AS p, l_suppkey AS s, l_partkey % 64 AS part_group
+                          FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey) g
+                    GROUP BY l_orderkey, line, part_group) c) t
+        ON i.l_orderkey = t.l_orderkey AND i.line = t.line AND i.part_group = t.part_group""",
+    # One plan for each line item of an order; attributes come from its keys.
     "subscription_plan_terms": f"""
         SELECT k AS subscription_id, k * 10 + 1 AS subscription_term_id,
-               (k * 10 + 1) * 10 + n AS subscription_plan_term_id, CAST(1 AS INT) AS term_number,
+               (k * 10 + 1) * 1000000 + n AS subscription_plan_term_id, CAST(1 AS INT) AS term_number,
                CAST(n AS INT) AS plan_term_number, {_CONDITION} AS condition_name,
                CASE WHEN activated THEN CAST(d AS TIMESTAMP) END AS term_started_at,
                CAST(NULL AS TIMESTAMP) AS term_ended_at, 'active' AS term_status,
                CAST(d + CAST(25 * (n - 1) AS INT) AS TIMESTAMP) AS plan_term_started_at,
                CASE WHEN n < n_plans THEN CAST(d + CAST(25 * n AS INT) AS TIMESTAMP) END AS plan_term_ended_at,
                CASE WHEN n < n_plans THEN 'ended' ELSE 'active' END AS plan_term_status,
-               n = n_plans AS is_latest_plan_term, p % 60 AS plan_id,
-               CAST(NULL AS BIGINT) AS previous_plan_id, 'plan ' || CAST(p % 60 AS VARCHAR(20)) AS plan_name,
+               n = n_plans AS is_latest_plan_term, p AS plan_id,
+               CAST(NULL AS BIGINT) AS previous_plan_id, 'plan ' || CAST(p AS VARCHAR(20)) AS plan_name,
                'v' || CAST(s % 3 AS VARCHAR(20)) AS plan_variant,
                CAST(CASE p % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 6 END AS INT) AS term_months,
                CAST(p % 5 AS INT) AS drug_id, {_DRUG} AS drug_name, {_STRENGTH} AS drug_strength,
                CASE WHEN s % 3 = 0 THEN 'DAILY' ELSE 'AS_NEEDED' END AS regimen,
                CAST(CASE s % 4 WHEN 0 THEN 4 WHEN 1 THEN 8 WHEN 2 THEN 16 ELSE 30 END AS INT) AS monthly_dose,
                CASE WHEN s % 9 = 0 THEN 'PICKUP' ELSE 'DELIVERY' END AS starting_fulfillment_type
-        FROM (
-          SELECT k, d, activated, has_1 + has_2 + has_3 AS n_plans,
-                 CASE slot WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END AS p,
-                 CASE slot WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END AS s,
-                 CASE slot WHEN 1 THEN has_1 WHEN 2 THEN has_1 + has_2 ELSE has_1 + has_2 + has_3 END AS n
-          FROM (
-            SELECT k, d, activated, p1, p2, p3, s1, s2, s3,
-                   CASE WHEN p1 IS NULL THEN 0 ELSE 1 END AS has_1,
-                   CASE WHEN p2 IS NULL THEN 0 ELSE 1 END AS has_2,
-                   CASE WHEN p3 IS NULL THEN 0 ELSE 1 END AS has_3, {{each:3}} AS slot
-            FROM base JOIN (
-              SELECT l_orderkey,
-                     min(CASE WHEN l_linenumber = 1 THEN l_partkey END) AS p1,
-                     min(CASE WHEN l_linenumber = 1 THEN l_suppkey END) AS s1,
-                     min(CASE WHEN l_linenumber = 2 THEN l_partkey END) AS p2,
-                     min(CASE WHEN l_linenumber = 2 THEN l_suppkey END) AS s2,
-                     min(CASE WHEN l_linenumber = 3 THEN l_partkey END) AS p3,
-                     min(CASE WHEN l_linenumber = 3 THEN l_suppkey END) AS s3
-              FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey) l ON k = l_orderkey) slots) plans
-        WHERE p IS NOT NULL""",
+        FROM base JOIN numbered_lines ON k = l_orderkey""",
     "subscription_plan_types": f"""
         SELECT plan_id, CAST(p % 5 AS INT) AS drug_id, drug_name, condition_name, term_months, fulfillment_method
         FROM (SELECT p_partkey AS plan_id, p_partkey AS p, p_partkey AS k,
@@ -152,10 +148,10 @@ TEXTS = {
                      CASE p_partkey % 5 WHEN 0 THEN 'alpha care' WHEN 1 THEN 'alpha care' WHEN 2 THEN 'alpha care'
                           WHEN 3 THEN 'BETA CARE' ELSE 'gamma care' END AS condition_name,
                      'delivery' AS fulfillment_method
-              FROM part WHERE p_partkey < 60) pt""",
+              FROM part) pt""",
     "subscription_invoices": f"""
         SELECT subscription_id, subscription_id * 10 + 1 AS subscription_term_id,
-               (subscription_id * 10 + 1) * 10 + least(line, 3) AS subscription_plan_term_id,
+               (subscription_id * 10 + 1) * 1000000 + line AS subscription_plan_term_id,
                invoice_id, line AS invoice_number, CAST(1 AS INT) AS term_number, condition_name,
                condition_name AS subscription_subcategory,
                CASE WHEN is_paid THEN 'paid' WHEN is_failed THEN 'failed' ELSE 'open' END AS invoice_status,
@@ -170,11 +166,11 @@ TEXTS = {
                is_paid, is_failed, is_refunded, is_delinquent,
                is_failed AND num_charges = 8 AS caused_cancellation, line >= 7 AS is_latest_term_invoice,
                subscription_id * 10 + line % 3 AS visit_id, 'rx' || CAST(p % 100 AS VARCHAR(20)) AS prescription_id,
-               CASE WHEN p % 60 <> 0 THEN p % 60 END AS plan_id, CAST(p % 5 AS INT) AS drug_id,
+               CASE WHEN p % 60 <> 0 THEN p END AS plan_id, CAST(p % 5 AS INT) AS drug_id,
                {_DRUG} AS drug_name, CASE WHEN activated THEN CAST(d AS TIMESTAMP) END AS term_started_at,
                CAST(NULL AS TIMESTAMP) AS term_ended_at, CAST(NULL AS TIMESTAMP) AS cancel_requested_at,
                line + 1 AS next_invoice_number, 'scheduled' AS next_invoice_status,
-               CASE WHEN line <= 4 THEN subscription_id END AS latest_order_id, card
+               CASE WHEN (subscription_id + line) % 7 < 4 THEN subscription_id END AS latest_order_id, card
         FROM (
           SELECT k AS subscription_id, d, activated, p, line, {_CONDITION} AS condition_name,
                  d + CAST(30 * (line - 1) AS INT) AS made,
@@ -229,10 +225,10 @@ TEXTS = {
                CASE WHEN event_name = 'canceled' THEN 'USER_REQUESTED' END AS termination_type,
                CAST(k % 5 AS INT) AS condition_id, {_CONDITION} AS condition_name,
                CAST(p % 5 AS INT) AS drug_id, {_DRUG} AS drug_name, {_STRENGTH} AS drug_strength,
-               CAST(4 + event_id % 4 AS INT) AS monthly_dose, event_id % 60 AS plan_id,
-               'plan ' || CAST(event_id % 60 AS VARCHAR(20)) AS plan_name,
-               CASE WHEN event_name = 'plan_change_requested' THEN (event_id + 1) % 60 END AS new_plan_id,
-               CASE WHEN event_name = 'plan_change_requested' THEN event_id % 60 END AS old_plan_id,
+               CAST(4 + event_id % 4 AS INT) AS monthly_dose, event_id % 1000 AS plan_id,
+               'plan ' || CAST(event_id % 1000 AS VARCHAR(20)) AS plan_name,
+               CASE WHEN event_name = 'plan_change_requested' THEN (event_id + 1) % 1000 END AS new_plan_id,
+               CASE WHEN event_name = 'plan_change_requested' THEN event_id % 1000 END AS old_plan_id,
                CAST(value AS DECIMAL(18,2)) AS amount_due, CAST(1 + event_id % 8 AS INT) AS attempt_number,
                event_id % 3 <> 0 AS is_succeeded, event_id % 3 = 0 AS is_failed, FALSE AS is_charge,
                FALSE AS is_refund, CASE WHEN event_id % 3 = 0 THEN 'declined' END AS failure_reason,
