@@ -12,6 +12,16 @@ from tenurekit.functions.columns import day, is_false
 SUB, TERM = "subscription_id", "subscription_term_id"
 
 
+def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on a key that may own a large share of the rows of either side.
+
+    The key's hash joins along, so that both sides are exchanged right below this join even where one of them already
+    lies by the key. AQE splits a hot key only between two such exchanges.
+    """
+    hashed = (side.withColumn("_hash", F.xxhash64(key)) for side in (left, right))
+    return next(hashed).join(next(hashed), [key, "_hash"], how).drop("_hash")
+
+
 def cohort_terms(terms: DataFrame, subscriptions: DataFrame, cal: Calendar) -> DataFrame:
     """Term rows of the qualified cohort, all columns kept.
 
@@ -19,7 +29,7 @@ def cohort_terms(terms: DataFrame, subscriptions: DataFrame, cal: Calendar) -> D
     """
     eligible = subscriptions.filter(F.col("is_paid") & F.col("is_activated")).select(SUB)
     started = (F.col("term_number") == 1) & (F.col("term_started_at") < day(cal.start_cutoff))
-    return terms.filter(started).join(eligible, SUB, "left_semi")
+    return join_split(terms.filter(started), eligible, SUB, "left_semi")
 
 
 def qualified_terms(terms: DataFrame, subscriptions: DataFrame, cal: Calendar) -> DataFrame:
@@ -51,14 +61,8 @@ def refine(cohort: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def restrict_to(rows: DataFrame, cohort: DataFrame, key: str = SUB) -> DataFrame:
-    """Rows whose key is in the cohort, each once.
-
-    The key's hash joins along, so that a cohort planned in the same query is exchanged right below
-    this join. AQE splits a hot key only between two such exchanges; without it, the cohort would
-    stay in its own layout and a key with a third of the rows would be one task.
-    """
-    members = cohort.select(key).distinct().withColumn("_hash", F.xxhash64(key))
-    return rows.withColumn("_hash", F.xxhash64(key)).join(members, [key, "_hash"], "left_semi").drop("_hash")
+    """Rows whose key is in the cohort, each once; a hot key is split."""
+    return join_split(rows, cohort.select(key).distinct(), key, "left_semi")
 
 
 def with_cancellation_type(terms: DataFrame, cal: Calendar) -> DataFrame:
@@ -86,10 +90,15 @@ def valid_cohort(typed: DataFrame, terms: DataFrame, on_term: bool = False) -> D
 
 
 def repeat_rows(df: DataFrame, times: str = "n_rows") -> DataFrame:
-    """Literal rows of a frame that carries multiplicities."""
-    return df.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times))).alias("_copy")).drop(
-        times, "_copy"
-    )
+    """Literal rows of a frame that carries multiplicities.
+
+    In two levels, so that no array is longer than 65,536 or the multiplicity divided by it.
+    """
+    most = 1 << 16
+    chunks = F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col(times) / most))
+    in_chunk = F.least(F.lit(most), F.col(times) - (F.col("_chunk") - 1) * most)
+    spread = df.where(F.col(times) > 0).select("*", F.explode(chunks).alias("_chunk"))
+    return spread.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), in_chunk)).alias("_copy")).drop(times, "_chunk", "_copy")
 
 
 def single_plan_subscriptions(plan_terms: DataFrame) -> DataFrame:

@@ -55,7 +55,8 @@ def kernel_density(df: DataFrame, value: str, group: str = "label", points: int
 
     Each distinct value adds its count's worth to every grid point; the sums combine map-side, so
     what is shuffled is one row per group and grid point and task. Groups with fewer than two
-    values or no spread have no density.
+    values or no spread have no density. Meant for values with few distinct levels, such as whole days: continuous ones make
+    distinct values times points rows before the sums.
     """
     known = df.filter(F.col(value).isNotNull()).select(
         F.col(group).alias("group"), F.col(value).cast("double").alias("value")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tenurekit.config import Calendar
 from tenurekit.functions.buckets import channel_group, dose_group, strength_group
 from tenurekit.functions.columns import as_date, count_where, mean
-from tenurekit.operators.cohort import SUB, TERM, latest_plan
+from tenurekit.operators.cohort import SUB, TERM, join_split, latest_plan
 from tenurekit.operators.labels import term_outcomes, weekly_snapshots, with_snapshot
 from tenurekit.operators.lookback import (
     by_day,
@@ -407,7 +407,7 @@ def snapshot_feature_table(
     )
     # Joined to the one-row-per-term bounds, before the snapshots fan out.
     weeks = F.explode(F.sequence(F.lit(0), F.col("last_week")))
-    snapshots = bounds.join(static, SUB).withColumn("week_number", weeks)
+    snapshots = join_split(bounds, static, SUB).withColumn("week_number", weeks)
     week = F.col("week_number")
     joined = with_snapshot(snapshots, cal).join(folded, keys, "left")
     looked_up = joined.withColumn("counts", F.coalesce("counts", no_counts))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tenurekit.config import Calendar
 from tenurekit.functions.buckets import outcome_group
 from tenurekit.functions.columns import as_date, count_where, days_between, flag
-from tenurekit.operators.cohort import SUB, TERM
+from tenurekit.operators.cohort import SUB, TERM, join_split
 from tenurekit.operators.labels import with_snapshot
 
 # Event names and the actor that mark what the features count.
@@ -75,7 +75,7 @@ def spread_over_snapshots(daily: DataFrame, bounds: DataFrame, key: str, cal: Ca
     first = F.greatest(F.lit(0), F.ceil(offset / cal.step_days).cast("int"))
     last = F.least(F.col("last_week"), F.floor((offset + window) / cal.step_days).cast("int"))
     touched = (
-        daily.join(bounds, key)
+        join_split(daily, bounds, key)
         .withColumns({"_first": first, "_last": last})
         .filter(F.col("_first") <= F.col("_last"))
         .withColumn("week_number", F.explode(F.sequence("_first", "_last")))

@@ -182,8 +182,9 @@ def test_renewals_count_every_paid_invoice_once(world, cal):
     assert got == want
 
 
-def test_raw_rows_of_a_hot_key_are_split(spark, capsys):
-    """Restricting raw rows to a cohort planned in the same query: AQE may still split the hot key."""
+@pytest.fixture
+def splitting(spark):
+    """Joins without broadcasts, and small enough limits for AQE to split hot keys of test inputs."""
     small = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -194,20 +195,40 @@ def test_raw_rows_of_a_hot_key_are_split(spark, capsys):
     before = {key: spark.conf.get(key, None) for key in small}
     for key, value in small.items():
         spark.conf.set(key, value)
-    try:
-        hot = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000)
-        rows = spark.range(0, 300_000, 1, 8).select(hot.alias("subscription_id"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
-        terms = spark.range(5000).select(F.col("id").alias("subscription_id"), (F.col("id") % 2).alias("kept"))
-        people = spark.range(5000).select(F.col("id").alias("subscription_id"))
-        members = terms.filter("kept = 1").join(people, "subscription_id", "left_semi")
-        kept = cohort.restrict_to(rows, members).agg(F.count("x"), F.max("x"))
-        want = sum(1 for i in range(300_000) if (7 if i % 3 == 0 else i % 5000) % 2 == 1)
-        assert kept.collect()[0][0] == want
-        kept.explain("simple")
-        assert "skew=true" in capsys.readouterr().out
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_raw_rows_of_a_hot_key_are_split(spark, splitting, capsys):
+    """Restricting raw rows to a cohort planned in the same query: AQE may still split the hot key."""
+    hot = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000)
+    rows = spark.range(0, 300_000, 1, 8).select(hot.alias("subscription_id"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    terms = spark.range(5000).select(F.col("id").alias("subscription_id"), (F.col("id") % 2).alias("kept"))
+    people = spark.range(5000).select(F.col("id").alias("subscription_id"))
+    members = terms.filter("kept = 1").join(people, "subscription_id", "left_semi")
+    kept = cohort.restrict_to(rows, members).agg(F.count("x"), F.max("x"))
+    want = sum(1 for i in range(300_000) if (7 if i % 3 == 0 else i % 5000) % 2 == 1)
+    assert kept.collect()[0][0] == want
+    kept.explain("simple")
+    assert "skew=true" in capsys.readouterr().out
+
+
+def test_terms_of_a_hot_subscription_are_split(spark, splitting, cal, capsys):
+    """A third of all terms on one subscription: its bounds meet the days of its events in several tasks."""
+    hot = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000)
+    terms = spark.range(0, 60_000, 1, 8).select(
+        hot.alias("subscription_id"), F.sha2(F.col("id").cast("string"), 256).alias("subscription_term_id"), F.lit(1).alias("term_number"),
+        F.to_timestamp(F.lit("2026-03-01")).alias("term_started_at"), F.lit(None).cast("timestamp").alias("cancel_requested_at"),
+        F.lit(None).cast("timestamp").alias("term_ended_at"),
+    )
+    people = spark.range(5000).select(F.col("id").alias("subscription_id"), F.lit(True).alias("is_paid"), F.lit(True).alias("is_activated"))
+    bounds = labels.snapshot_bounds(cohort.cohort_terms(terms, people, cal), cal)
+    daily = spark.range(5000).select(F.col("id").alias("subscription_id"), F.to_date(F.lit("2026-03-10")).alias("day"), F.lit(1).alias("n"))
+    spread = lookback.spread_over_snapshots(daily, bounds, "subscription_id", cal, 7).agg(F.sum("n"), F.count_distinct("subscription_term_id"))
+    assert tuple(spread.collect()[0]) == (60_000, 60_000)
+    spread.explain("simple")
+    assert "skew=true" in capsys.readouterr().out
 
 
 def test_spread_is_bounded_per_day(world, cal):

@@ -188,3 +188,9 @@ def test_closed_form_equals_the_literal_weeks(spark, make_terms, cal, rows):
     assert got == want
     outcomes = {(r.subscription_id, r.label) for r in labels.term_outcomes(bounds, cal).collect()}
     assert outcomes == {(s, label) for s, _, label in want}
+
+
+def test_repeated_rows_of_a_large_multiplicity(spark):
+    rows = spark.createDataFrame([("a", 200_000), ("b", 65_536), ("c", 1), ("d", 0)], "key string, n_rows bigint")
+    got = {r["key"]: r["count"] for r in cohort.repeat_rows(rows).groupBy("key").count().collect()}
+    assert got == {"a": 200_000, "b": 65_536, "c": 1}
