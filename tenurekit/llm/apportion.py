@@ -133,5 +133,5 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     times = F.expr("(taken * 1000000 + size * n_rows * (spin % 1000000)) div (greatest(size, 1) * n_rows * 1000000)").cast("int")
     taken = staged(taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), times.alias("_times")).where("_times > 0"), "mix-times")
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_doc"), n_words(F.col("text").cast("string")).alias("_words"))
-    met = packed.join(taken, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    met = packed.join(taken.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
     return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select("row.*")

@@ -276,7 +276,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = staged(jaccard_components(docs).select("doc_id", "component_id"), "jaccard-kept")
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    kept = packed.join(keep, "doc_id", "left_semi")
+    kept = packed.join(keep.hint("merge"), "doc_id", "left_semi")  # alike at every size
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
         kept = kept.withColumn("t", F.xxhash64("row.text")).dropDuplicates(["doc_id", "t"])
     return kept.select("row.*").union(docs.where("doc_id is null"))
