@@ -9,6 +9,8 @@ from html.parser import HTMLParser
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 DROPPED = frozenset("head iframe noscript object script style svg template title".split())
+#: Tags that can stand in head. Any other tag, or text, ends a head that is not closed.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: A start tag ends an open element of these kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEEPS_P = INLINE | {"body", "html", "label", "button", "input", "select", "textarea", "option"}
@@ -33,19 +35,18 @@ class Page(HTMLParser):
         self.pieces: list[tuple[int, str, bool]] = []
         self.breaks: set[int] = set()  # pieces in front of which a block begins
         self.open: list[tuple[str, int]] = [("page", 0)]
-        self.dropping: str | None = None
+        self.dropping: list[str] = []  # a dropped element and what is open in it
         self.links = 0
         self.feed(html)
         self.close()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.dropping:
+        if self.dropping[:1] == ["head"] and (tag == "body" or self.dropping == ["head"] and tag not in IN_HEAD):
+            self.dropping.clear()
+        if self.dropping or tag in DROPPED:
+            if tag not in VOID and not (self.dropping and tag in ("head", "html")):
+                self.dropping.append(tag)
             return
-        if tag in DROPPED:
-            self.dropping = tag
-            return
-        if tag == "body" and self.dropping == "head":
-            self.dropping = None
         if tag not in KEEPS_P:
             self._end_back_to({"p"}, {"table", "td", "button", "li"})
         if tag in ENDS:
@@ -82,16 +83,20 @@ class Page(HTMLParser):
         del self.open[at:]
 
     def handle_endtag(self, tag: str) -> None:
-        if self.dropping:
-            if tag == self.dropping:
-                self.dropping = None
-            return
+        for at in range(len(self.dropping) - 1, -1, -1):
+            if self.dropping[at] == tag:
+                del self.dropping[at:]
+                return
+        # what is not open in a dropped element may be its parent, and ends it too
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at][0] == tag:
+                self.dropping.clear()
                 self._pop(at)
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.dropping == ["head"] and not data.isspace():
+            self.dropping.clear()
         if not self.dropping:
             self.pieces.append((self.open[-1][1], data, self.links > 0))
 

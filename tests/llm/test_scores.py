@@ -149,6 +149,22 @@ def test_main_text_of_other_markup(spark):
     assert [r.text for r in main_texts(odd.where("page_id = -1")).collect()] == [""]  # nothing to learn from
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<html><head><title>T</title><meta charset=utf-8><body><p>a</p><p>b</p></body></html>", "a\n\nb"),
+        ("<head><title>T</title><noscript><img src=x><p>n</p></noscript><p>a</p>b", "a\n\nb"),
+        ("<head><title>T</title>a<p>b</p>", "a\n\nb"),
+        ("<head><title>T</title><body><div><svg><path d=x><text>s</div><p>a</p><template><i>t</i></body>", "a"),
+        ("<div><object><div>o</div>o</div><p>a</p><p>b <noscript>n</p><p>c</p>", "a\n\nb\n\nc"),
+        ("<head><title>T</title></head><body><svg><g><svg>s</svg></g>s</svg><p>a</p><object><p>o</object>b</body>", "a\n\nb"),
+    ],
+)
+def test_unclosed_dropped_elements_do_not_swallow_the_page(html, want):
+    page = Page(html)
+    assert text_of(page, [True] * len(page.tags)) == want
+
+
 def test_decoding_is_consistent():
     page = Page("<div>a<p>b</p><p>c</p></div><div>d<p>e</p></div>")
     odds = [0.0, 2.0, 1.0, -3.0, -5.0, 1.0]
