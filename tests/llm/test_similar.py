@@ -120,6 +120,18 @@ def test_passages_are_found_and_clean_texts_left_alone(make_docs, edits):
         assert len(a) == x.n_words >= 50 and len(b) == x.other_words >= 50 and len(set(a) & set(b)) >= 0.6 * len(set(a))
 
 
+def test_passages_whose_parts_stand_in_other_texts_too(make_docs):
+    r = random.Random(12)
+    texts = {}
+    for case in range(20):
+        passage = _text(r, 64).split()
+        parts = [passage, passage, *[passage[:36]] * 4, *[passage[28:]] * 4]
+        for k, part in enumerate(parts):
+            texts[100 * case + k + 1] = f"{_text(r, 40)} {' '.join(part)} {_text(r, 40)}"
+    found = {(x.doc_id, x.other_id) for x in repeated_passages(make_docs(*texts.items())).collect()}
+    assert found == {(100 * c + a, 100 * c + b) for c in range(20) for a, b in ((1, 2), (2, 1))}
+
+
 def test_texts_that_repeat_a_line_stay_linear(make_docs):
     line = "again and again the same words come in this line "
     rows = repeated_passages(make_docs((1, line * 400), (2, line * 390), (3, "x " * 3000), (4, "x " * 2900))).collect()
