@@ -11,6 +11,7 @@ from tenurekit.llm.chaining import repeated_passages
 from tenurekit.llm.components import components
 from tenurekit.llm.jaccard_join import jaccard_components, one_of_each
 from tenurekit.llm.winnowing import benchmark_spans, clean_documents, contamination
+from tenurekit.llm.words import word_hashes
 
 from .llm_words import words
 
@@ -132,6 +133,31 @@ def test_passages_whose_parts_stand_in_other_texts_too(make_docs):
     assert found == {(100 * c + a, 100 * c + b) for c in range(20) for a, b in ((1, 2), (2, 1))}
 
 
+def test_copies_edited_apart_are_found(make_docs):
+    r = random.Random(9)
+    passage = _text(r, 70)
+    texts = {i: _text(r, r.randrange(20, 400)) for i in range(1, 41)}
+    for i in range(1, 16):
+        texts[i] = f"{_text(r, 40)} {_edited(r, passage, 0.03)} {_text(r, 40)}"
+    rows = repeated_passages(make_docs(*texts.items())).collect()
+    assert {x.doc_id for x in rows} == set(range(1, 16))
+    assert len({(x.doc_id, x.start, x.other_id, x.other_start) for x in rows}) == len(rows)
+
+
+def test_one_seed_and_close_edits_do_not_hide_a_passage(make_docs):
+    r = random.Random(31)
+    texts = {}
+    for case in range(30):
+        passage = _text(r, 60).split()
+        other = [f"x{case}e{k}" if k in (10, 12, 22, 34, 46, 47) else w for k, w in enumerate(passage)]
+        texts |= {2 * case + 1 + k: f"{_text(r, 40, 10**6)} {' '.join(own)} {_text(r, 40, 10**6)}" for k, own in enumerate((passage, other))}
+    shared = set()
+    for i in range(1, 61, 2):
+        a, b = (set(chaining.seeds(word_hashes([texts[k].encode()])[0])[0].tolist()) for k in (i, i + 1))
+        shared |= {i, i + 1} if a & b else set()
+    assert {x.doc_id for x in repeated_passages(make_docs(*texts.items())).collect()} == shared
+
+
 def test_texts_that_repeat_a_line_stay_linear(make_docs):
     line = "again and again the same words come in this line "
     rows = repeated_passages(make_docs((1, line * 400), (2, line * 390), (3, "x " * 3000), (4, "x " * 2900))).collect()
