@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment, in DataFrame functions.
 
-All words are cut into ``BLOCKS`` blocks of nearly equal size. Seats (blocks) go to sources by the highest quotients
+All words are cut into ``BLOCKS`` blocks of nearly equal size (those of small sources into finer ones). Seats (blocks) go to sources by the highest quotients
 ``target / (2 k + 1)``, then each source's seats to its shards by the same rule on the shards' words. In a shard the
 documents lie one after another in a seeded order, cut into equal blocks; with q seats on n blocks every block is
 taken q // n times, and q % n of them, at even distances from a seeded start, once more. What a document gives is
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tenurekit.llm.scratch import staged
 
 BLOCKS = 65_536
+#: A source whose target is under so many blocks is cut into blocks of its own, ten times as many for its target, and has its target's seats.
+FINE = 100
 #: A source's target is at most this many times its size.
 MOST = 3
 WEIGHTS = (1, 2, 3)
@@ -86,7 +88,10 @@ def mix(docs: DataFrame) -> DataFrame:
     # one row a source
     sources = light.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     sources = targets(sources).withColumn("all_words", F.sum("source_size").over(Window.partitionBy()))
-    block = F.greatest(F.lit(1), F.ceil(F.col("all_words") / BLOCKS)).cast("bigint")
+    coarse = F.greatest(F.lit(1), F.ceil(F.col("all_words") / BLOCKS)).cast("bigint")
+    sources = sources.withColumn("coarse", coarse).withColumn("small", (F.col("coarse") > 1) & (F.col("target") < FINE * F.col("coarse")))
+    block = F.when(F.col("small"), F.greatest(F.lit(1), F.floor(F.col("target") / (10 * FINE))).cast("bigint")).otherwise(F.col("coarse"))
+    sources = sources.withColumn("small_words", F.sum(F.when(F.col("small"), F.col("target")).otherwise(0.0)).over(Window.partitionBy()))
     n_shards = F.greatest(F.lit(1), F.least(F.ceil(F.col("n_docs") / SHARD_DOCS), F.expr(f"source_size div ({SHARD_BLOCKS} * block)"))).cast("bigint")
     sources = staged(sources.withColumn("block", block).withColumn("n_shards", n_shards), "mix-sources")
 
@@ -96,9 +101,13 @@ def mix(docs: DataFrame) -> DataFrame:
     shards = shards.withColumn("n_blocks", F.ceil(F.col("shard_size") / F.col("block")).cast("bigint"))
     shards = staged(shards.withColumn("limit", MOST * F.col("n_blocks")), "mix-shards")
     claims = sources.join(shards.groupBy("key").agg(F.sum("limit").alias("limit")), "key")
-    claims = claims.withColumn("total", F.round(F.col("all_words") / F.col("block")).cast("bigint"))
+    claims = claims.where("not small").withColumn("total", F.round((F.col("all_words") - F.col("small_words")) / F.col("block")).cast("bigint"))
     of_source = seats(claims, [], ["key"], "target", "total", "limit").withColumnRenamed("quota", "total")
-    of_shard = seats(shards.join(of_source, "key"), ["key"], ["shard"], "shard_size", "total", "limit")
+    of_small = sources.where("small").select("key", F.round(F.col("target") / F.col("block")).cast("bigint").alias("total"), (F.col("n_shards") == 1).alias("single"))
+    # a source's only shard has all its seats: none are listed, however many small sources there are
+    single = shards.join(of_small.where("single"), "key").select("key", "shard", F.least("total", "limit").alias("quota"))
+    of_source = of_source.union(of_small.where("not single").select("key", "total"))
+    of_shard = seats(shards.join(of_source, "key"), ["key"], ["shard"], "shard_size", "total", "limit").union(single)
     quota, blocks = F.coalesce("quota", F.lit(0).cast("bigint")), F.greatest("n_blocks", F.lit(1).cast("bigint"))
     plan = shards.join(of_shard, ["key", "shard"], "left").select(
         "key", "shard", "block", "target", "source_size", "n_blocks",

@@ -227,6 +227,19 @@ def test_mix_meets_its_targets(make_docs):
         assert own[0].target == pytest.approx(want[s]) and sum(x.taken for x in own) == pytest.approx(want[s], rel=0.02)
 
 
+def test_small_sources_of_a_large_table_meet_their_targets(make_docs, monkeypatch):
+    monkeypatch.setattr(apportion, "BLOCKS", 64)  # as the blocks of a table a thousand times as large
+    r = random.Random(8)
+    docs = [(i, "w " * r.randrange(100, 400), "large" if i % 2 else "other") for i in range(1000)]
+    docs += [(2000 + i, "w " * 40, f"tiny{i % 6}") for i in range(60)]
+    rows = apportion.mix(make_docs(*docs)).collect()
+    assert len(rows) == len(docs)
+    for s in {x.source for x in rows}:
+        own = [x for x in rows if x.source == s]
+        assert all(x.taken <= 3 * x.size for x in own)
+        assert sum(x.taken for x in own) == pytest.approx(own[0].target, rel=0.02)
+
+
 def test_odd_rows_in_the_mix(odd_docs):
     rows = apportion.mix(odd_docs).collect()
     assert len(rows) == 11 and sum(x.size for x in rows) == 120_000 + 9 + 7 + 1 + 5
