@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenurekit.llm.alignment import alignment
 from tenurekit.llm.apportion import mix
 from tenurekit.llm.chaining import repeated_passages
 from tenurekit.llm.dom_boosting import main_texts
@@ -82,5 +83,14 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str, first: str | None = None, second: str | None = None) -> DataFrame:
+    """Links between two tokenizers' tokens in every document. first, second: a byte-level BPE's JSON and a SentencePiece model."""
+    if first is None or second is None:
+        import public_tokenizers
+
+        first, second = first or public_tokenizers.path("byte_bpe_50k.json"), second or public_tokenizers.path("piece_bpe_32k.model")
+    return alignment(_table(spark, sf_dir, "documents"), Path(first).read_text(), Path(second).read_bytes())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chaining, op2_hmm, op3_winnowing, op4_line_frequency, op5_dom_boosting, op6_two_tier, op7_url_terms, op8_jaccard_join, op9_apportion, op10_hilbert)}
+    return {f.__name__: f for f in (op1_chaining, op2_hmm, op3_winnowing, op4_line_frequency, op5_dom_boosting, op6_two_tier, op7_url_terms, op8_jaccard_join, op9_apportion, op10_hilbert, op12_alignment)}

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from tenurekit.sources.scratch import fresh_folder
 
 
-def staged(frame: DataFrame, name: str) -> DataFrame:
+def staged(frame: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write the frame as Parquet to the shared folder and read it back: lineage ends there, lost executors cost nothing."""
     path = fresh_folder(frame.sparkSession, f"llm/{name}")
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=codec)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
