@@ -16,6 +16,7 @@ from tenurekit.llm.hilbert import shard_numbers
 from tenurekit.llm.hmm import scored
 from tenurekit.llm.jaccard_join import jaccard_components
 from tenurekit.llm.line_frequency import judged
+from tenurekit.llm.prefix_trie import prefix_trie
 from tenurekit.llm.token_counts import token_counts
 from tenurekit.llm.url_terms import judged_urls
 from tenurekit.llm.winnowing import contamination
@@ -92,5 +93,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str, first: str | None = None, s
     return alignment(_table(spark, sf_dir, "documents"), Path(first).read_text(), Path(second).read_bytes())
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chaining, op2_hmm, op3_winnowing, op4_line_frequency, op5_dom_boosting, op6_two_tier, op7_url_terms, op8_jaccard_join, op9_apportion, op10_hilbert, op12_alignment)}
+    return {f.__name__: f for f in (op1_chaining, op2_hmm, op3_winnowing, op4_line_frequency, op5_dom_boosting, op6_two_tier, op7_url_terms, op8_jaccard_join, op9_apportion, op10_hilbert, op12_alignment, op13_prefix_trie)}

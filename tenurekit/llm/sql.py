@@ -180,6 +180,44 @@ def _curve(rows: str) -> str:
     return sql
 
 
+def _crc_table() -> list[int]:
+    """CRC-32 of each byte, by the rule of its polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [(x >> 1) ^ (0xEDB88320 * (x & 1)) for x in table]
+    return table
+
+
+OP13 = f"""
+WITH turns AS (
+    SELECT conv_id AS c, turn, length(coalesce(text, ''))::BIGINT AS size,
+        md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS g FROM conversations WHERE conv_id IS NOT NULL
+),
+taken AS (
+    SELECT c, (xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+        lambda x, y: xor(x >> 8, ({_crc_table()}::BIGINT[])[(xor(x, y) & 255) + 1])), 4294967295) % 6)::BIGINT AS h FROM (SELECT DISTINCT c FROM turns)
+),
+own AS (SELECT c, list(g ORDER BY turn NULLS FIRST, g) AS gs, list(size ORDER BY turn NULLS FIRST, g) AS sizes FROM turns GROUP BY c),
+rebuilt AS (
+    SELECT o.c, coalesce(b.gs[1:h], []) || o.gs[h + 1:] AS gs, coalesce(b.sizes[1:h], []) || o.sizes[h + 1:] AS sizes
+    FROM own o JOIN taken USING (c) LEFT JOIN own b ON b.c = o.c - o.c % 100
+),
+starts AS (SELECT c, d, array_to_string(gs[1:d], '') AS p, coalesce(sizes[d], 0) AS size, d = len(gs) AS ends FROM (SELECT c, gs, sizes, unnest(range(0, len(gs) + 1)) AS d FROM rebuilt)),
+nodes AS (
+    SELECT d, p, any_value(size) AS size, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+    FROM starts GROUP BY d, p
+),
+children AS (SELECT d - 1 AS d, left(p, 32 * (d::INT - 1)) AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+counted AS (SELECT *, coalesce(n_children, 0) AS n FROM nodes LEFT JOIN children USING (d, p)),
+under AS (
+    SELECT a AS d, left(p, 32 * a::INT) AS p, sum((n = 0)::BIGINT)::BIGINT AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved_tokens
+    FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM counted) GROUP BY ALL
+)
+SELECT c.conv_id, c.d AS depth, up.conv_id AS parent_conv_id, c.n_convs, c.n AS n_children, n_leaves, saved_tokens, c.ends_sha256
+FROM counted c JOIN under USING (d, p) LEFT JOIN nodes up ON up.d = c.d - 1 AND up.p = left(c.p, 32 * (c.d::INT - 1))
+"""
+
+
 _BYTE = "('0x' || substr(md5(coalesce({0}, '')), 1, 2))::INT"
 
 #: The rows of the pipeline: quality rules, one of each group, no benchmark items, the mix, shards.
@@ -201,4 +239,4 @@ SELECT doc_id, text, lang, source, n_chars, (r * 24 // n_all)::INT AS shard, r -
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_winnowing": OP3, "op4_line_frequency": OP4, "op7_url_terms": OP7, "op8_jaccard_join": OP8, "op9_apportion": OP9}
+    return {"op3_winnowing": OP3, "op4_line_frequency": OP4, "op7_url_terms": OP7, "op8_jaccard_join": OP8, "op9_apportion": OP9, "op13_prefix_trie": OP13}
