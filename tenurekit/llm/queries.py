@@ -15,6 +15,7 @@ from tenurekit.llm.dom_boosting import main_texts
 from tenurekit.llm.hilbert import shard_numbers
 from tenurekit.llm.hmm import scored
 from tenurekit.llm.jaccard_join import jaccard_components
+from tenurekit.llm.license_scan import license_scan
 from tenurekit.llm.line_frequency import judged
 from tenurekit.llm.prefix_trie import prefix_trie
 from tenurekit.llm.token_counts import token_counts
@@ -84,6 +85,11 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_signature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels of every document."""
+    return license_scan(_table(spark, sf_dir, "documents")).drop("rules", "starts", "lengths")
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str, first: str | None = None, second: str | None = None) -> DataFrame:
     """Links between two tokenizers' tokens in every document. first, second: a byte-level BPE's JSON and a SentencePiece model."""
     if first is None or second is None:
@@ -99,4 +105,8 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chaining, op2_hmm, op3_winnowing, op4_line_frequency, op5_dom_boosting, op6_two_tier, op7_url_terms, op8_jaccard_join, op9_apportion, op10_hilbert, op12_alignment, op13_prefix_trie)}
+    found = (
+        op1_chaining, op2_hmm, op3_winnowing, op4_line_frequency, op5_dom_boosting, op6_two_tier, op7_url_terms, op8_jaccard_join, op9_apportion, op10_hilbert,
+        op11_signature_rules, op12_alignment, op13_prefix_trie,
+    )
+    return {f.__name__: f for f in found}
