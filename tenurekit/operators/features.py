@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 
 from tenurekit.config import Calendar
 from tenurekit.functions.buckets import channel_group, dose_group, strength_group
-from tenurekit.functions.columns import as_date, count_where, mean
+from tenurekit.functions.columns import as_date, count_where, days_between, mean
 from tenurekit.operators.cohort import SUB, TERM, join_split, latest_plan
-from tenurekit.operators.labels import term_outcomes, weekly_snapshots, with_snapshot
+from tenurekit.operators.labels import term_outcomes, with_snapshot
 from tenurekit.operators.lookback import (
+    BY_USER,
+    REMINDER_SENT,
+    RENEWAL_MOVED,
     by_day,
     changed,
     event_days,
+    folded_shapes,
     invoice_days,
+    over_weeks,
     reminders,
     spread_over_snapshots,
     up_to_week,
@@ -68,23 +73,24 @@ def invoice_series(invoices: DataFrame, bounds: DataFrame, cal: Calendar, window
 def event_series(events: DataFrame, bounds: DataFrame, cal: Calendar, window: int, max_week: int | None) -> DataFrame:
     """Per week and outcome: share of rows with an event, and events and days deferred per row.
 
-    A snapshot contributes one row per event day in its window, and one empty row when it has none.
-    Only matched snapshots are shuffled; the empty ones follow from the count of all snapshots.
+    A snapshot contributes one row per event day in its window, and one empty row when it has none. Terms of one subscription
+    that share start, last week and cancel are one shape with a count, so days never meet equal terms one by one. Only
+    matched snapshots are shuffled; the empty ones follow from the count of all snapshots.
     """
-    bounds = up_to_week(bounds, max_week)
-    hits = with_outcome(spread_over_snapshots(event_days(events), bounds, SUB, cal, window))
-    per_snapshot = hits.groupBy(SUB, TERM, *WEEK).agg(F.count("*").alias("matched"), _total("n"), _total("days_deferred"))
+    shapes = folded_shapes(up_to_week(bounds, max_week))
+    hits = with_outcome(spread_over_snapshots(event_days(events), shapes, SUB, cal, window))
+    shape = (SUB, "term_started_at", "cancel_requested_at", "n_terms")
+    per_snapshot = hits.groupBy(*shape, *WEEK).agg(F.count("*").alias("matched"), _total("n"), _total("days_deferred"))
     matched = per_snapshot.groupBy(*WEEK).agg(
-        F.sum("matched").alias("matched"),
-        _total("n"),
-        _total("days_deferred"),
-        (-F.count("*")).alias("empty"),
+        *(F.coalesce(F.sum(F.col(c) * F.col("n_terms")), F.lit(0)).alias(c) for c in ("matched", "n", "days_deferred")),
+        (-F.sum("n_terms")).alias("empty"),
     )
     zero = F.lit(0).cast("bigint")
+    weeks = F.explode(F.sequence(F.lit(0), F.col("last_week")))
     everyone = (
-        with_outcome(weekly_snapshots(bounds, cal))
+        with_outcome(with_snapshot(shapes.withColumn("week_number", weeks), cal))
         .groupBy(*WEEK)
-        .agg(F.count("*").alias("empty"))
+        .agg(F.sum("n_terms").alias("empty"))
         .select(*WEEK, zero.alias("matched"), zero.alias("n"), zero.alias("days_deferred"), "empty")
     )
     sums = matched.unionByName(everyone).groupBy(*WEEK).agg(
@@ -152,10 +158,13 @@ def days_deferred_per_snapshot(
     before anything is shuffled."""
     keys = [SUB, "snapshot_date", "label"]
     daily = event_days(user_deferrals(events, with_both_dates=True))
-    rows = spread_over_snapshots(daily, bounds, SUB, cal, window).select(*keys, "days_deferred")
+    shapes = folded_shapes(bounds)
+    deferred = (F.col("days_deferred") * F.col("n_terms")).alias("days_deferred")
+    rows = spread_over_snapshots(daily, shapes, SUB, cal, window).select(*keys, deferred)
     if keep_zero:
         none = F.lit(0).cast("bigint").alias("days_deferred")
-        rows = rows.unionByName(weekly_snapshots(bounds, cal).select(*keys, none))
+        weeks = F.explode(F.sequence(F.lit(0), F.col("last_week")))
+        rows = rows.unionByName(with_snapshot(shapes.withColumn("week_number", weeks), cal).select(*keys, none))
     return rows.groupBy(*keys).agg(F.sum("days_deferred").alias("total_days_deferred"))
 
 
@@ -229,69 +238,29 @@ def _long_form(wide: DataFrame, cells: Sequence[tuple[str, int, str, str | None,
 
 
 def window_candidates(
-    bounds: DataFrame,
-    invoices: DataFrame,
-    events: DataFrame,
-    plan_terms: DataFrame,
-    cal: Calendar,
-    windows: Sequence[int] = (7, 14, 30),
+    profile: DataFrame, days: DataFrame, cal: Calendar, windows: Sequence[int] = (7, 14, 30)
 ) -> DataFrame:
     """Eight features at each look-back length: (feature, window_days, subscription, label, val).
 
-    One pass per source covers all lengths. Invoice and plan features exist only where the window
-    holds a row; event features exist for every (subscription, label) and are 0 without an event.
+    One pass over the activity of all sources covers all features and lengths. Invoice and plan features exist only where
+    the window holds a row; event features exist for every (subscription, label) and are 0 without an event.
     """
-    longest = max(windows)
-
-    def within(name: str, window: int) -> Column:
-        return F.sum(F.when(F.col("age_days") <= window, F.col(name)).otherwise(0)).alias(f"{name}_{window}")
-
-    def folded(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-        return rows.groupBy(SUB, "label").agg(*(within(c, w) for c in names for w in windows))
-
-    invoice_features = {
-        "invoice_failure": ("failed", True),
-        "delinquency": ("delinquent", True),
-        "num_fills": ("paid", False),
-        "refund_count": ("refunded", False),
-        "num_charges": ("charges", False),
-    }
-    invoice_rows = spread_over_snapshots(
-        invoice_days(invoices).fillna(0, subset=["charges"]), bounds, TERM, cal, longest
-    )
-    from_invoices = _long_form(
-        folded(invoice_rows, ["n", *(name for name, _ in invoice_features.values())]),
-        [(f, w, f"{c}_{w}", f"n_{w}", b) for f, (c, b) in invoice_features.items() for w in windows],
-    )
-
-    later_plans = by_day(
-        plan_terms, TERM, "plan_term_started_at", later=count_where(F.col("plan_term_number") > 1)
+    totals = ("invoices", "failed", "delinquent", "paid", "refunded", "charges", "deferrals", "reminders", "plan_starts", "plan_changes")
+    rows = over_weeks(days.join(profile, TERM), cal, max(windows))
+    folded = rows.groupBy(SUB, "label").agg(
+        *(F.sum(F.when(F.col("age_days") <= w, F.col(c)).otherwise(0)).alias(f"{c}_{w}") for c in totals for w in windows)
     )
-    plan_rows = spread_over_snapshots(later_plans, bounds, TERM, cal, longest)
-    from_plans = _long_form(
-        folded(plan_rows, ["n", "later"]), [("has_plan_change", w, f"later_{w}", f"n_{w}", True) for w in windows]
+    features = (
+        ("invoice_failure", "failed", "invoices", True),
+        ("delinquency", "delinquent", "invoices", True),
+        ("num_fills", "paid", "invoices", False),
+        ("refund_count", "refunded", "invoices", False),
+        ("num_charges", "charges", "invoices", False),
+        ("has_deferral", "deferrals", None, True),
+        ("refill_reminder", "reminders", None, True),
+        ("has_plan_change", "plan_changes", "plan_starts", True),
     )
-
-    def event_rows(chosen: DataFrame, name: str, other: str) -> DataFrame:
-        spread = spread_over_snapshots(by_day(chosen, SUB, "occurred_at"), bounds, SUB, cal, longest)
-        return spread.select(SUB, "label", "age_days", F.col("n").alias(name), F.lit(0).cast("bigint").alias(other))
-
-    zero = F.lit(0).cast("bigint")
-    everyone = (
-        term_outcomes(bounds, cal)
-        .select(SUB, "label", F.lit(0).alias("age_days"), zero.alias("deferred"), zero.alias("reminded"))
-    )
-    event_parts = [
-        event_rows(user_deferrals(events), "deferred", "reminded"),
-        event_rows(reminders(events), "reminded", "deferred"),
-        everyone,
-    ]
-    from_events = _long_form(
-        folded(reduce(DataFrame.unionByName, event_parts), ["deferred", "reminded"]),
-        [("has_deferral", w, f"deferred_{w}", None, True) for w in windows]
-        + [("refill_reminder", w, f"reminded_{w}", None, True) for w in windows],
-    )
-    return from_invoices.unionByName(from_events).unionByName(from_plans)
+    return _long_form(folded, [(f, w, f"{c}_{w}", present and f"{present}_{w}", b) for f, c, present, b in features for w in windows])
 
 
 # ---------------------------------------------------------------- gold
@@ -340,85 +309,89 @@ def plan_at_snapshots(
     )
 
 
+ACTIVITY = (
+    "invoices", "failed", "paid", "refunded", "delinquent", "charges", "deferrals", "days_deferred", "reminders", "plan_starts", "plan_changes",
+)
+KNOWN_FROM = {"paid": "paid_at", "failed": "failed_at", "refunded": "refunded_at"}
+
+
+def term_profile(bounds: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Bounds with what never changes about their subscription. Terms of unknown subscriptions drop out."""
+    static = subscriptions.select(SUB, "first_platform", channel_group("first_channel_grouping").alias("channel_group"))
+    return join_split(bounds, static, SUB)
+
+
+def activity_days(
+    bounds: DataFrame, invoices: DataFrame, events: DataFrame, plan_terms: DataFrame, cal: Calendar
+) -> DataFrame:
+    """Daily counts of every source by term: one row per (term, day) and source, and one empty row without a day per term.
+
+    Invoices are kept apart by the days on which a payment, failure or refund became known. Events belong to all terms of
+    their subscription that still have snapshots; days after a term's last one are left out.
+    """
+    known = [as_date(moment).alias(f"{c}_day") for c, moment in KNOWN_FROM.items()]
+    zero = F.lit(0).cast("bigint")
+
+    def shaped(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+        dated = [F.col(f"{c}_day") if f"{c}_day" in rows.columns else F.lit(None).cast("date").alias(f"{c}_day") for c in KNOWN_FROM]
+        values = [(F.coalesce(F.col(columns[c]).cast("bigint"), zero) if c in columns else zero).alias(c) for c in ACTIVITY]
+        return rows.select(TERM, "day", *dated, *values)
+
+    is_deferral = (F.col("event_name") == RENEWAL_MOVED) & (F.col("changed_by") == BY_USER)
+    is_reminder = F.col("event_name") == REMINDER_SENT
+    moved = days_between("old_renewal_at", "new_renewal_at")
+    of_subscription = by_day(
+        events.filter(is_deferral | is_reminder),
+        SUB,
+        "occurred_at",
+        deferrals=count_where(is_deferral),
+        days_deferred=F.sum(F.when(is_deferral, moved)),
+        reminders=count_where(is_reminder),
+    )
+    dated_terms = bounds.select(SUB, TERM, F.date_add("term_started_at", F.col("last_week") * cal.step_days).alias("_last_day"))
+    of_terms = join_split(of_subscription, dated_terms, SUB).filter(F.col("day") <= F.col("_last_day"))
+    plans = by_day(plan_terms, TERM, "plan_term_started_at", later=count_where(F.col("plan_term_number") > 1))
+    parts = [
+        shaped(invoice_days(invoices, *known), {"invoices": "n"} | {c: c for c in ("failed", "paid", "refunded", "delinquent", "charges")}),
+        shaped(of_terms, {c: c for c in ("deferrals", "days_deferred", "reminders")}),
+        shaped(plans, {"plan_starts": "n", "plan_changes": "later"}),
+        shaped(bounds.select(TERM, F.lit(None).cast("date").alias("day")), {}),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def snapshot_feature_table(
-    bounds: DataFrame,
-    invoices: DataFrame,
-    events: DataFrame,
-    plan_terms: DataFrame,
-    subscriptions: DataFrame,
-    cal: Calendar,
-    windows: Sequence[int] = (7, 14, 30),
-    strict: bool = False,
+    profile: DataFrame, days: DataFrame, cal: Calendar, windows: Sequence[int] = (7, 14, 30), strict: bool = False
 ) -> DataFrame:
     """One row per term and snapshot: look-back counts no later than the snapshot, and the label.
 
-    Every source is brought to the same shape and all are folded in one grouped pass over the
-    snapshots they touch. The left join that follows uses that pass's layout and gives snapshots
-    without activity their zeros. Plans are looked up on the term's row, before its snapshots fan out.
+    A single pass: a term's daily rows meet its bounds once, each day goes to the few snapshots whose longest window holds
+    it, the term's empty row to all of them, and one aggregate by term and week counts every length. Where both inputs are
+    stored by term nothing is exchanged.
 
     Invoice flags are current states. ``strict=True`` counts a payment, failure or refund only once
     its own date has come, and leaves out delinquency and charge counts, which carry no date.
     """
-    longest = max(windows)
-    keys = [TERM, "week_number"]
-    invoice_names = ["invoices", "failed", "paid", "refunded"] + ([] if strict else ["delinquent", "charges"])
-    names = [*invoice_names, "deferrals", "days_deferred", "reminders", "plan_starts", "plan_changes"]
-
-    def shaped(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
-        zero = F.lit(0).cast("bigint")
-        values = [F.coalesce(columns[c].cast("bigint"), zero) if c in columns else zero for c in names]
-        return rows.select(*keys, "age_days", *(v.alias(c) for v, c in zip(values, names)))
-
-    known_from = {"paid": "paid_at", "failed": "failed_at", "refunded": "refunded_at"}
-    extra = [as_date(moment).alias(f"{c}_day") for c, moment in known_from.items()] if strict else []
-    invoice_rows = spread_over_snapshots(invoice_days(invoices, *extra), bounds, TERM, cal, longest)
-    invoice_values = {"invoices": F.col("n")} | {c: F.col(c) for c in invoice_names[1:]}
-    if strict:
-        for c in known_from:
-            invoice_values[c] = F.when(F.col(f"{c}_day") <= F.col("snapshot_date"), F.col(c))
-
-    deferral_rows = spread_over_snapshots(event_days(user_deferrals(events)), bounds, SUB, cal, longest)
-    reminder_rows = spread_over_snapshots(event_days(reminders(events)), bounds, SUB, cal, longest)
-    later_plans = by_day(plan_terms, TERM, "plan_term_started_at", later=count_where(F.col("plan_term_number") > 1))
-    plan_rows = spread_over_snapshots(later_plans, bounds, TERM, cal, longest)
-    rows = reduce(
-        DataFrame.unionByName,
-        [
-            shaped(invoice_rows, invoice_values),
-            shaped(deferral_rows, {"deferrals": F.col("n"), "days_deferred": F.col("days_deferred")}),
-            shaped(reminder_rows, {"reminders": F.col("n")}),
-            shaped(plan_rows, {"plan_starts": F.col("n"), "plan_changes": F.col("later")}),
-        ],
-    )
+    names = [c for c in ACTIVITY if not (strict and c in ("delinquent", "charges"))]
+    rows = over_weeks(days.join(profile, TERM), cal, max(windows))
+
+    def counted(name: str, window: int) -> Column:
+        inside = F.col("age_days") <= window
+        if strict and name in KNOWN_FROM:
+            inside &= F.col(f"{name}_day") <= F.col("snapshot_date")
+        return F.sum(F.when(inside, F.col(name)).otherwise(0)).alias(f"{name}_{window}d")
+
     features = [f"{c}_{w}d" for c in names for w in windows]
-    zero = F.lit(0).cast("bigint")
-    sums = rows.groupBy(*keys).agg(
-        *(
-            F.sum(F.when(F.col("age_days") <= w, F.col(c)).otherwise(0)).alias(f"{c}_{w}d")
-            for c in names
-            for w in windows
-        )
-    )
-    # One never-null struct keeps the code generated for the join small enough to be compiled.
-    folded = sums.select(*keys, F.struct(*(F.coalesce(F.col(c), zero).alias(c) for c in features)).alias("counts"))
-    no_counts = F.struct(*(zero.alias(c) for c in features))
-    static = subscriptions.select(
-        SUB, "first_platform", channel_group("first_channel_grouping").alias("channel_group")
-    )
-    # Joined to the one-row-per-term bounds, before the snapshots fan out.
-    weeks = F.explode(F.sequence(F.lit(0), F.col("last_week")))
-    snapshots = join_split(bounds, static, SUB).withColumn("week_number", weeks)
-    week = F.col("week_number")
-    joined = with_snapshot(snapshots, cal).join(folded, keys, "left")
-    looked_up = joined.withColumn("counts", F.coalesce("counts", no_counts))
-    return looked_up.select(
+    snapshot = (SUB, TERM, "snapshot_date", "week_number", "first_platform", "channel_group", "label")
+    sums = rows.groupBy(*snapshot).agg(*(counted(c, w) for c in names for w in windows))
+    return sums.select(
         SUB,
         TERM,
         "snapshot_date",
         "week_number",
-        (week * cal.step_days).alias("days_since_term_start"),
+        (F.col("week_number") * cal.step_days).alias("days_since_term_start"),
         "first_platform",
         "channel_group",
-        *(F.col(f"counts.{c}").alias(c) for c in features),
+        *features,
         "label",
     )

@@ -71,12 +71,16 @@ def spread_over_snapshots(daily: DataFrame, bounds: DataFrame, key: str, cal: Ca
 
     Adds the snapshot's identity, label and ``age_days``, the day's distance before the snapshot.
     """
+    return over_weeks(join_split(daily, bounds, key), cal, window)
+
+
+def over_weeks(dated: DataFrame, cal: Calendar, window: int) -> DataFrame:
+    """As ``spread_over_snapshots``, for day rows that carry their term's bounds. A row without a day goes to every snapshot."""
     offset = F.datediff("day", "term_started_at")
     first = F.greatest(F.lit(0), F.ceil(offset / cal.step_days).cast("int"))
     last = F.least(F.col("last_week"), F.floor((offset + window) / cal.step_days).cast("int"))
     touched = (
-        join_split(daily, bounds, key)
-        .withColumns({"_first": first, "_last": last})
+        dated.withColumns({"_first": first, "_last": last})
         .filter(F.col("_first") <= F.col("_last"))
         .withColumn("week_number", F.explode(F.sequence("_first", "_last")))
     )
@@ -87,6 +91,14 @@ def spread_over_snapshots(daily: DataFrame, bounds: DataFrame, key: str, cal: Ca
     )
 
 
+def folded_shapes(bounds: DataFrame) -> DataFrame:
+    """Bounds without their terms: one row per subscription and shape (start, last week, cancel) with ``n_terms``.
+
+    Terms of one shape have the same snapshots and labels, so a subscription's days meet its shapes, however many terms it has.
+    """
+    return bounds.groupBy(SUB, "term_started_at", "last_week", "cancel_requested_at").agg(F.count("*").alias("n_terms"))
+
+
 def up_to_week(bounds: DataFrame, max_week: int | None) -> DataFrame:
     """Bounds without the weeks after ``max_week``, so that those are never generated."""
     if max_week is None:

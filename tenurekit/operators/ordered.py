@@ -1,49 +1,39 @@
-"""Ordered operators that stay parallel when one key or value range dominates."""
+"""Ordered operators that stay parallel when one key, moment or value range dominates."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenurekit.functions.columns import as_date
-
-# Blocks per power of two, and an offset that keeps the block of any positive double positive.
-_PER_OCTAVE, _SHIFT = 16, 16 * 1100
-
-
-def _ordered_block(value: Column) -> Column:
-    """A block number that never falls as the value grows, and needs no knowledge of the data."""
-    size = F.floor(F.log2(F.abs(value)) * _PER_OCTAVE) + _SHIFT
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("bigint"))
+from tenurekit.operators.ranges import with_range
 
 
 def running_totals(df: DataFrame, order: str, measures: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
     """Add ``<measure>_before``, its total over smaller values of ``order``, and ``<measure>_total``.
 
-    Rows must be unique per value. Values are cut into blocks by magnitude; each block is scanned on
-    its own, and only the block totals (sixteen per power of two) are scanned in one place.
+    Rows must be unique per value. They are cut into ranges at their own quantiles, however the values are spread; each
+    range is scanned on its own, and only the totals of ranges are scanned in one place. A null value comes first.
     """
-    cut = df.withColumn("_block", _ordered_block(F.col(order).cast("double")))
+    cut = with_range(df, [*within, order])
     everything = Window.partitionBy(*within)
-    earlier_blocks = everything.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier_ranges = everything.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(*within, "_block")
+        cut.groupBy(*within, "_range")
         .agg(*(F.sum(m).alias(m) for m in measures))
         .select(
             *within,
-            "_block",
-            *(F.coalesce(F.sum(m).over(earlier_blocks), F.lit(0)).alias(f"_{m}") for m in measures),
+            "_range",
+            *(F.coalesce(F.sum(m).over(earlier_ranges), F.lit(0)).alias(f"_{m}") for m in measures),
             *(F.sum(m).over(everything).alias(f"{m}_total") for m in measures),
         )
     )
-    earlier_rows = Window.partitionBy(*within, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier_rows = Window.partitionBy(*within, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inside = {f"{m}_before": F.coalesce(F.sum(m).over(earlier_rows), F.lit(0)) for m in measures}
-    joined = cut.withColumns(inside).join(offsets, [*within, "_block"])
+    joined = cut.withColumns(inside).join(offsets, [*within, "_range"])
     total = {f"{m}_before": F.col(f"{m}_before") + F.col(f"_{m}") for m in measures}
-    return joined.withColumns(total).drop("_block", *(f"_{m}" for m in measures))
+    return joined.withColumns(total).drop("_range", *(f"_{m}" for m in measures))
 
 
 def with_previous_known(
@@ -51,22 +41,25 @@ def with_previous_known(
 ) -> DataFrame:
     """For each row, the last non-null value of each column on an earlier row of the same key.
 
-    Two levels, so that a key with very many rows is never one task: rows are scanned within a
-    (key, day), and what each day ends with is carried across days. A row without a moment comes
-    first, as in an ascending sort.
+    A fold over ranges of (key, moment): "the last known value, and whose" combines associatively, so each range reports
+    one row and is given one, and a key, a day or a moment with very many rows is spread over ranges. A row without a
+    moment comes first, as in an ascending sort; rows equal in moment and tie follow their values.
     """
-    dated = df.withColumn("_day", F.coalesce(as_date(moment), F.lit(date(1000, 1, 1))))
-    before_in_day = Window.partitionBy(key, "_day").orderBy(moment, tie).rowsBetween(Window.unboundedPreceding, -1)
-    before_in_key = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    order = F.struct(moment, tie)
-
-    day_ends = dated.groupBy(key, "_day").agg(
-        *(F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"_{c}") for c in columns)
+    order = [key, moment, tie, *columns]
+    cut = with_range(df, order)
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(*order[:3], F.col(c).alias("_known"))) for c in columns}
+    earlier_ranges = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    carried = (
+        cut.groupBy("_range")
+        .agg(*(F.max(value).alias(f"_{c}") for c, value in known.items()))
+        .select(F.col("_range").alias("at"), F.struct(*(F.max(f"_{c}").over(earlier_ranges).alias(c) for c in columns)).alias("carry"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("at", "carry"))).alias("carries"))
     )
-    carried = day_ends.select(
-        key, "_day", *(F.last(f"_{c}", ignorenulls=True).over(before_in_key).alias(f"_{c}") for c in columns)
-    )
-    same_day = {f"{prefix}{c}": F.last(c, ignorenulls=True).over(before_in_day) for c in columns}
-    joined = dated.withColumns(same_day).join(carried, [key, "_day"])
-    known = {f"{prefix}{c}": F.coalesce(f"{prefix}{c}", f"_{c}") for c in columns}
-    return joined.withColumns(known).drop("_day", *(f"_{c}" for c in columns))
+    scanned = cut.withColumn("_carry", F.element_at(carried.scalar(), F.col("_range")))
+    before = Window.partitionBy("_range", key).orderBy(moment, tie, *columns).rowsBetween(Window.unboundedPreceding, -1)
+
+    def previous(c: str) -> Column:
+        last = F.col(f"_carry.{c}")
+        return F.coalesce(F.last(c, ignorenulls=True).over(before), F.when(last[key].eqNullSafe(F.col(key)), last["_known"]))
+
+    return scanned.withColumns({f"{prefix}{c}": previous(c) for c in columns}).drop("_range", "_carry")

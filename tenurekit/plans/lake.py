@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from functools import cached_property
 
@@ -10,17 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from tenurekit.config import Calendar, TableNames, apply_runtime_defaults
 from tenurekit.operators import cohort as co
 from tenurekit.operators import conform as cf
+from tenurekit.operators import features as ft
 from tenurekit.operators import labels as lb
 from tenurekit.sources import standin
 from tenurekit.sources.casts import SOURCE_TABLES
-from tenurekit.sources.tables import read_table
+from tenurekit.sources.scratch import fresh_folder
+from tenurekit.sources.tables import read_table, write_bucketed
 
 
 class Lake:
-    """Lazy frames only: building a lake or reading an attribute runs nothing.
+    """Lazy frames: building a lake runs nothing, and reading an attribute nothing but the two stored tables.
 
     ``silver`` holds conformed tables that are already stored. What is not stored is planned from the
     sources, so the same analyses run before and after :func:`~tenurekit.plans.pipeline.build_silver`.
+    ``profile`` (bounds of terms) and ``days`` (their daily counts) feed every look-back; they are written once, on first
+    use, to the shared folder, bucketed by term, and then read without planning the cohort again or exchanging it.
     """
 
     def __init__(
@@ -147,9 +152,27 @@ class Lake:
     def labels(self) -> DataFrame:
         return self._stored("subscription_30d_cancel_label", lambda: lb.start_label(self.cohort_terms, self.calendar))
 
+    @cached_property
+    def profile(self) -> DataFrame:
+        """Bounds with their subscription's platform and channel; stored by term."""
+        bounds = lb.snapshot_bounds(self.cohort_terms, self.calendar)
+        return self._by_term(ft.term_profile(bounds, self.people), "profile")
+
     @cached_property
     def bounds(self) -> DataFrame:
-        return lb.snapshot_bounds(self.cohort_terms, self.calendar)
+        return self.profile.drop("first_platform", "channel_group")
+
+    @cached_property
+    def days(self) -> DataFrame:
+        """Daily counts of all sources; stored by term."""
+        plans, invoices = self.cohort_rows("subscription_plan_terms"), self.cohort_rows("subscription_invoices")
+        return self._by_term(ft.activity_days(self.bounds, invoices, self.cohort_events, plans, self.calendar), "days")
+
+    def _by_term(self, rows: DataFrame, name: str) -> DataFrame:
+        spark = rows.sparkSession
+        target, path = f"tenure_{name}_{uuid.uuid4().hex}", fresh_folder(spark, f"features/{name}")
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return write_bucketed(rows, target, co.TERM, buckets=buckets, storage_path=path)
 
     @cached_property
     def snapshots(self) -> DataFrame:

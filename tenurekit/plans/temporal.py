@@ -71,10 +71,7 @@ def _(lake):
 
 
 def _candidates(lake):
-    sources = _sources(lake)
-    return ft.window_candidates(
-        lake.bounds, sources["invoices"], sources["events"], sources["plans"], lake.calendar, WINDOWS
-    )
+    return ft.window_candidates(lake.profile, lake.days, lake.calendar, WINDOWS)
 
 
 @named("ft12_window_candidates")

@@ -43,6 +43,8 @@ _STRENGTH = """CASE p % 7 WHEN 0 THEN '2.5mg' WHEN 1 THEN '5mg' WHEN 2 THEN '10m
 
 _DRUG = "CASE WHEN p % 13 = 0 THEN NULL WHEN p % 2 = 0 THEN 'drug_a' ELSE 'drug_b' END"
 
+_KNOWN_LINE = "l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL AND l_partkey IS NOT NULL AND l_partkey % 64 IS NOT NULL"
+
 TEXTS = {
     # One row per order: key, customer, start day, and whether the subscriber paid and activated.
     "base": """
@@ -108,17 +110,18 @@ TEXTS = {
                    {{each:CASE WHEN activated AND (k % 10 = 2 OR k % 500 = 1) THEN 2 ELSE 1 END}} AS seq
             FROM base) n) t""",
     # Line items by (order, line, part, supplier), numbered within the order without gaps. Places come from counts of
-    # (order, line, part % 64), so no window runs over all line items of an order.
-    "numbered_lines": """
+    # (order, line, part % 64), so no window runs over all line items of an order. Both inner queries state all that joins and
+    # windows would infer for either, so that one scan and one exchange serve both.
+    "numbered_lines": f"""
         SELECT i.l_orderkey, p, s, before + row_number() OVER (PARTITION BY i.l_orderkey, i.line, i.part_group ORDER BY p, s) AS n, n_plans
         FROM (SELECT l_orderkey, l_linenumber AS line, l_partkey AS p, l_suppkey AS s, l_partkey % 64 AS part_group
-              FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey) i
+              FROM lineitem WHERE {_KNOWN_LINE} GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey) i
         JOIN (SELECT l_orderkey, line, part_group,
                      CAST(sum(n_items) OVER (PARTITION BY l_orderkey ORDER BY line, part_group) AS BIGINT) - n_items AS before,
                      CAST(sum(n_items) OVER (PARTITION BY l_orderkey) AS BIGINT) AS n_plans
               FROM (SELECT l_orderkey, line, part_group, count(*) AS n_items
                     FROM (SELECT l_orderkey, l_linenumber AS line, l_partkey AS p, l_suppkey AS s, l_partkey % 64 AS part_group
-                          FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey) g
+                          FROM lineitem WHERE {_KNOWN_LINE} GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey) g
                     GROUP BY l_orderkey, line, part_group) c) t
         ON i.l_orderkey = t.l_orderkey AND i.line = t.line AND i.part_group = t.part_group""",
     # One plan for each line item of an order; attributes come from its keys.

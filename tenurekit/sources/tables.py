@@ -36,6 +36,18 @@ def write_table(
     return target
 
 
+def write_bucketed(df: DataFrame, target: str, key: str, *, buckets: int, storage_path: str | None = None) -> DataFrame:
+    """A stored copy laid out by hash of ``key``: joins and groups by it read the table without an exchange.
+
+    Rows are exchanged by the same hash first, so each task writes the one file of a bucket.
+    """
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("overwrite").format("parquet")
+    if storage_path is not None:
+        writer = writer.option("path", storage_path)
+    writer.saveAsTable(target)
+    return read_table(df.sparkSession, target)
+
+
 def copy_table(spark: SparkSession, source: str, target: str, **write_options) -> str:
     """Pass a table from one layer to the next unchanged."""
     return write_table(read_table(spark, source), target, **write_options)

@@ -141,7 +141,9 @@ def test_feature_table_sees_nothing_after_the_snapshot(world, spark, cal, strict
     frames, raw = world
     people = spark.createDataFrame([(s, "web", "crm") for s in raw["start"]],
                                    "subscription_id string, first_platform string, first_channel_grouping string")
-    got = features.snapshot_feature_table(frames["bounds"], frames["invoices"], frames["events"], frames["plans"], people, cal, (7, 30), strict)
+    profile = features.term_profile(frames["bounds"], people)
+    days = features.activity_days(frames["bounds"], frames["invoices"], frames["events"], frames["plans"], cal)
+    got = features.snapshot_feature_table(profile, days, cal, (7, 30), strict)
     rows = {(r.subscription_term_id, r.week_number): r for r in got.collect()}
     assert len(rows) == len(frames["snapshots"])
     for s in frames["snapshots"]:

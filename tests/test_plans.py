@@ -62,6 +62,24 @@ def test_hot_groups_are_combined_before_the_shuffle(no_broadcast, capsys):
     assert len(re.findall("SortMergeJoin|ShuffledHashJoin", plan)) >= 1
 
 
+def test_features_read_stored_activity_without_an_exchange(no_broadcast, capsys):
+    """Bounds and daily counts are stored by term: the feature table is two scans and one join."""
+    for name in ("g1_snapshot_features", "g1_snapshot_features_strict"):
+        plan = plan_of(QUERIES[name](no_broadcast, DATA), capsys)
+        assert len(re.findall("FileScan", plan)) == 2 and "Exchange" not in plan
+        assert plan.count("Bucketed: true") == 2
+    plan = plan_of(QUERIES["st2_candidate_tests"](no_broadcast, DATA), capsys)
+    assert len(re.findall("FileScan", plan)) == 2 and len(re.findall("Exchange", plan)) <= 5
+
+
+def test_line_items_are_exchanged_once_for_plan_terms(no_broadcast, capsys):
+    """Both inner queries of the numbering are one exchange; adaptive plans show that once they have run."""
+    lines = Lake.from_standin(no_broadcast, DATA).source["numbered_lines"]
+    assert lines.count() == lines.select("l_orderkey", "n").distinct().count() > 0
+    lines.collect()
+    assert "ReusedExchange" in plan_of(lines, capsys)
+
+
 COMPARED = [
     "q00_8_cancel_status_share", "q00_36_subscriber_types", "q01_7_share_by_drug", "q01_11_share_by_state",
     "q02_3_days_signup_to_rx", "q02_5_survival_by_cadence", "q03_8_all_attempts_failed", "q03_18_payment_behaviour",
