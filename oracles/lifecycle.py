@@ -18,7 +18,12 @@ oracle("q02_4_days_rx_to_activation", share(
 
 
 def _survival(column, stratum):
-    """Product-limit curve from grouped deaths, with risk sets counted from the back."""
+    """Product-limit curve from grouped deaths and a row at time 0, with risk sets counted from the back."""
+    durations = f"durations_by_{stratum}"
+    block(durations, f"""SELECT {column} AS {stratum}, CAST(coalesce(CAST(c.cancel_requested_at AS DATE), DATE '2001-08-02')
+                     - CAST(c.term_started_at AS DATE) AS INTEGER) AS duration_days, CAST(c.cancel_requested_at IS NOT NULL AS INTEGER) AS seen
+            FROM cohort c JOIN latest p ON p.subscription_term_id = c.subscription_term_id
+            WHERE {column} IS NOT NULL AND (c.cancel_requested_at IS NULL OR c.cancel_requested_at > c.term_started_at)""")
     return f"""
       SELECT {stratum}, duration_days, round(duration_days / 30.0, 6) AS duration_months, CAST(at_risk AS BIGINT) AS at_risk,
              CAST(d AS BIGINT) AS n_events, round(s, 6) AS survival,
@@ -31,10 +36,9 @@ def _survival(column, stratum):
           SELECT {stratum}, duration_days, CAST(d AS DOUBLE) AS d,
                  CAST(sum(n) OVER (PARTITION BY {stratum} ORDER BY duration_days DESC) AS DOUBLE) AS at_risk
           FROM (
-            SELECT {column} AS {stratum}, CAST(coalesce(CAST(c.cancel_requested_at AS DATE), DATE '2001-08-02')
-                     - CAST(c.term_started_at AS DATE) AS INTEGER) AS duration_days, count(*) AS n, count(c.cancel_requested_at) AS d
-            FROM cohort c JOIN latest p ON p.subscription_term_id = c.subscription_term_id
-            WHERE {column} IS NOT NULL AND (c.cancel_requested_at IS NULL OR c.cancel_requested_at > c.term_started_at)
+            SELECT {stratum}, duration_days, sum(n) AS n, sum(d) AS d FROM (
+              SELECT {stratum}, duration_days, 1 AS n, seen AS d FROM {durations}
+              UNION ALL SELECT DISTINCT {stratum}, 0, 0, 0 FROM {durations}) z
             GROUP BY ALL) g) r
         WINDOW up AS (PARTITION BY {stratum} ORDER BY duration_days)) k"""
 

@@ -27,7 +27,8 @@ oracle("qr_7_rate_by_latest_drug", _rates("cohort_plan", "latest_drug_name"))
 oracle("qr_8_rate_by_latest_drug_and_strength", _rates("cohort_plan", "latest_drug_name;latest_drug_strength"))
 block("visits", """SELECT c.subscription_id, c.hit, c.cancel_requested_at IS NOT NULL AS cancelled, count(DISTINCT i.visit_id) AS visit_count
     FROM cohort_30 c JOIN subscription_invoices i ON i.subscription_term_id = c.subscription_term_id
-    WHERE CAST(i.created_at AS DATE) >= CAST(c.term_started_at AS DATE)
+    JOIN subscriptions_core a ON a.subscription_id = c.subscription_id
+    WHERE CAST(i.created_at AS DATE) >= CAST(a.activated_at AS DATE)
       AND CAST(i.created_at AS DATE) <= coalesce(CAST(c.cancel_requested_at AS DATE), DATE '9999-12-31')
     GROUP BY c.subscription_id, c.subscription_term_id, c.hit, c.cancel_requested_at""")
 oracle("qr_9_cancel_rate_by_visits", rates("visits", "visit_count", "cancelled",

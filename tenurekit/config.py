@@ -80,6 +80,8 @@ RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.nonEmptyPartitionRatioForBroadcastJoin": "0",
+    # Dates of timestamps are taken in one zone, wherever the session runs.
+    "spark.sql.session.timeZone": "UTC",
 }
 
 

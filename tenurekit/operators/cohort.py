@@ -92,13 +92,18 @@ def valid_cohort(typed: DataFrame, terms: DataFrame, on_term: bool = False) -> D
 def repeat_rows(df: DataFrame, times: str = "n_rows") -> DataFrame:
     """Literal rows of a frame that carries multiplicities.
 
-    In two levels, so that no array is longer than 65,536 or the multiplicity divided by it.
+    Small multiplicities fan out where the row lies. Larger ones are cut into chunks of 65,536 copies, and the chunks are
+    exchanged before they fan out, so that the copies of one row come from all tasks.
     """
     most = 1 << 16
-    chunks = F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col(times) / most))
+    here = df.where(F.col(times).between(1, most)).withColumn("_copies", F.col(times))
+    chunks = F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col(times) / most)))
     in_chunk = F.least(F.lit(most), F.col(times) - (F.col("_chunk") - 1) * most)
-    spread = df.where(F.col(times) > 0).select("*", F.explode(chunks).alias("_chunk"))
-    return spread.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), in_chunk)).alias("_copy")).drop(times, "_chunk", "_copy")
+    cut = df.where(F.col(times) > most).withColumn("_chunk", chunks).withColumn("_copies", in_chunk)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut.repartition(partitions, "_chunk", *df.columns).drop("_chunk")
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies").cast("bigint")))
+    return here.unionByName(dealt).withColumn("_copy", copies).drop(times, "_copies", "_copy")
 
 
 def single_plan_subscriptions(plan_terms: DataFrame) -> DataFrame:
@@ -147,6 +152,11 @@ def wanted_plan_of_fell_out(subscriptions: DataFrame, plan_types: DataFrame) ->
     )
 
 
+def wanted_plan_rows(subscriptions: DataFrame, plan_types: DataFrame) -> DataFrame:
+    """:func:`wanted_plan_of_fell_out` as literal rows: one for each catalogue plan of the drug."""
+    return repeat_rows(wanted_plan_of_fell_out(subscriptions, plan_types), "n_plans")
+
+
 def latest_plan(plan_terms: DataFrame, *columns: str) -> DataFrame:
     """One row per term: its current plan, filtered before any join."""
     return plan_terms.filter(F.col("is_latest_plan_term")).select(TERM, *columns)

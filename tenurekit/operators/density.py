@@ -50,13 +50,17 @@ def histogram(df: DataFrame, value: str, group: str, bins: int = 60, weight: str
     )
 
 
+#: Bandwidths beyond which a value adds nothing to a grid point: less than 2e-14 of what it adds at its own place.
+REACH = 8
+
+
 def kernel_density(df: DataFrame, value: str, group: str = "label", points: int = 300) -> DataFrame:
     """Gaussian kernel density with Scott's bandwidth on an even grid over each group's range.
 
-    Each distinct value adds its count's worth to every grid point; the sums combine map-side, so
-    what is shuffled is one row per group and grid point and task. Groups with fewer than two
-    values or no spread have no density. Meant for values with few distinct levels, such as whole days: continuous ones make
-    distinct values times points rows before the sums.
+    Each distinct value adds its count's worth to the grid points within ``REACH`` bandwidths of it: a few, as the bandwidth
+    shrinks with the number of rows, so continuous values do not fan out over the whole grid. The sums combine map-side, so
+    what is shuffled is one row per group and grid point and task. Groups with fewer than two values or no spread have no
+    density.
     """
     known = df.filter(F.col(value).isNotNull()).select(
         F.col(group).alias("group"), F.col(value).cast("double").alias("value")
@@ -75,10 +79,16 @@ def kernel_density(df: DataFrame, value: str, group: str = "label", points: int
     at = F.col("lo") + F.col("point") * step
     u = (at - F.col("value")) / F.col("bandwidth")
     kernel = F.exp(-u * u / 2) * F.col("n") / (F.col("total") * F.col("bandwidth") * sqrt(2 * pi))
+    # every value lies on the grid's range, so the nearest points are always among these
+    first = F.greatest(F.lit(0), F.ceil((F.col("value") - REACH * F.col("bandwidth") - F.col("lo")) / step)).cast("int")
+    last = F.least(F.lit(points - 1), F.floor((F.col("value") + REACH * F.col("bandwidth") - F.col("lo")) / step)).cast("int")
+    near = counted.withColumns({"_first": first, "_last": last}).filter(F.col("_first") <= F.col("_last"))
+    added = near.withColumn("point", F.explode(F.sequence("_first", "_last"))).select("group", "point", "lo", "hi", kernel.alias("density"))
+    grid = shape.select("group", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"), "lo", "hi", F.lit(0.0).alias("density"))
     return (
-        counted.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        added.unionByName(grid)
         .groupBy("group", "point", "lo", "hi")
-        .agg(F.sum(kernel).alias("density"))
+        .agg(F.sum("density").alias("density"))
         .select(F.col("group").alias(group), "point", at.alias("x"), "density")
     )
 

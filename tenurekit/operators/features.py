@@ -117,11 +117,13 @@ def reminder_series(events: DataFrame, bounds: DataFrame, cal: Calendar, window:
     )
 
 
+def plan_steps(plan_terms: DataFrame) -> DataFrame:
+    return plan_terms.select(TERM, "plan_term_number", "plan_term_started_at", *PLAN_ATTRIBUTES.values())
+
+
 def plan_days(plan_terms: DataFrame) -> DataFrame:
     """Plan starts per term and day, with how many changed what against the plan before."""
-    attributes = list(PLAN_ATTRIBUTES.values())
-    needed = plan_terms.select(TERM, "plan_term_number", "plan_term_started_at", *attributes)
-    known = with_previous_known(needed, TERM, "plan_term_started_at", "plan_term_number", attributes)
+    known = with_previous_known(plan_steps(plan_terms), TERM, "plan_term_started_at", "plan_term_number", list(PLAN_ATTRIBUTES.values()))
     return by_day(
         known,
         TERM,

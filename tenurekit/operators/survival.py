@@ -25,17 +25,28 @@ def cancel_durations(terms: DataFrame, cal: Calendar) -> DataFrame:
     )
 
 
-def kaplan_meier(df: DataFrame, stratum: str, duration: str = "duration_days", event: str = "event") -> DataFrame:
+def kaplan_meier(
+    df: DataFrame, stratum: str, duration: str = "duration_days", event: str = "event", origin: bool = False
+) -> DataFrame:
     """Survival at each observed duration, with the log-log 95 % band. Null strata are left out.
 
     Rows are counted per (stratum, duration) first, so the running sums see at most one row per
-    calendar day of observation.
+    calendar day of observation. ``origin=True`` begins each curve at time 0, where everyone is at risk; events seen on that
+    day lower it there.
     """
     counted = (
         df.filter(F.col(stratum).isNotNull())
         .groupBy(stratum, duration)
         .agg(F.count("*").alias("n_leaving"), F.sum(event).alias("n_events"))
     )
+    if origin:
+        none = F.lit(0).cast("bigint")
+        at_zero = counted.select(stratum, F.lit(0).cast(counted.schema[duration].dataType).alias(duration)).distinct()
+        counted = (
+            counted.unionByName(at_zero.withColumns({"n_leaving": none, "n_events": none}))
+            .groupBy(stratum, duration)
+            .agg(F.sum("n_leaving").alias("n_leaving"), F.sum("n_events").alias("n_events"))
+        )
     by_time = Window.partitionBy(stratum).orderBy(duration)
     so_far = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at_risk = F.sum("n_leaving").over(by_time.rowsBetween(Window.currentRow, Window.unboundedFollowing))

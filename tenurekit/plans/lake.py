@@ -20,12 +20,12 @@ from tenurekit.sources.tables import read_table, write_bucketed
 
 
 class Lake:
-    """Lazy frames: building a lake runs nothing, and reading an attribute nothing but the two stored tables.
+    """Lazy frames: building a lake runs nothing, and reading an attribute nothing but the tables stored by term.
 
     ``silver`` holds conformed tables that are already stored. What is not stored is planned from the
     sources, so the same analyses run before and after :func:`~tenurekit.plans.pipeline.build_silver`.
-    ``profile`` (bounds of terms) and ``days`` (their daily counts) feed every look-back; they are written once, on first
-    use, to the shared folder, bucketed by term, and then read without planning the cohort again or exchanging it.
+    ``profile`` (bounds of terms), ``days`` (their daily counts) and ``plan_steps`` feed the look-backs; they are written
+    once, on first use, to the shared folder, bucketed by term, and then read without planning the cohort again or exchanging it.
     """
 
     def __init__(
@@ -168,6 +168,11 @@ class Lake:
         plans, invoices = self.cohort_rows("subscription_plan_terms"), self.cohort_rows("subscription_invoices")
         return self._by_term(ft.activity_days(self.bounds, invoices, self.cohort_events, plans, self.calendar), "days")
 
+    @cached_property
+    def plan_steps(self) -> DataFrame:
+        """Plan terms with the columns that plan changes are read from; stored by term, as the scan for them reads its input thrice."""
+        return self._by_term(ft.plan_steps(self.cohort_rows("subscription_plan_terms")), "plan_steps")
+
     def _by_term(self, rows: DataFrame, name: str) -> DataFrame:
         spark = rows.sparkSession
         target, path = f"tenure_{name}_{uuid.uuid4().hex}", fresh_folder(spark, f"features/{name}")

@@ -56,7 +56,7 @@ def _survival(column, stratum):
     def analysis(lake):
         plan = lake.latest_plan(F.col(column).alias(stratum))
         durations = cancel_durations(lake.cohort_terms, lake.calendar).select(TERM, "duration_days", "event")
-        curve = kaplan_meier(durations.join(plan, TERM), stratum)
+        curve = kaplan_meier(durations.join(plan, TERM), stratum, origin=True)
         rounded = {c: F.round(c, 6) for c in ("duration_months", "survival", "ci_low", "ci_high")}
         return curve.withColumns(rounded).orderBy(stratum, "duration_days")
 

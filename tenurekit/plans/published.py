@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tenurekit.functions.columns import as_date
 from tenurekit.operators import summaries as sm
-from tenurekit.operators.cohort import SUB, TERM
+from tenurekit.operators.cohort import SUB, TERM, join_split
 from tenurekit.plans.registry import named
 
 COUNT, HITS, PCT = "count_subscribers", "cnt_cancel_requested_in_30d", "cnt_cancel_pct"
@@ -83,7 +83,7 @@ named("qr_8_rate_by_latest_drug_and_strength")(_latest("drug_name", "drug_streng
 
 
 def _visits(lake):
-    """Distinct visits per term between its start and its cancel. Invoices fold to one row per
+    """Distinct visits per term between its subscription's activation and its cancel. Invoices fold to one row per
     (term, visit, day) before the join."""
     days = (
         lake.cohort_rows("subscription_invoices")
@@ -91,9 +91,9 @@ def _visits(lake):
         .select(TERM, "visit_id", as_date("created_at").alias("visit_day"))
         .distinct()
     )
-    span = _terms(lake).select(
-        SUB, TERM, as_date("term_started_at").alias("from_day"), as_date("cancel_requested_at").alias("to_day"), "in_30_days"
-    )
+    activated = lake.people.select(SUB, as_date("activated_at").alias("from_day"))
+    terms = _terms(lake).select(SUB, TERM, as_date("cancel_requested_at").alias("to_day"), "in_30_days")
+    span = join_split(terms, activated, SUB)
     inside = (F.col("visit_day") >= F.col("from_day")) & (
         F.col("to_day").isNull() | (F.col("visit_day") <= F.col("to_day"))
     )

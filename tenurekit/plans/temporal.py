@@ -22,7 +22,8 @@ def _sources(lake):
 
 def _weekly(build, source, *columns):
     def analysis(lake):
-        series = build(_sources(lake)[source], lake.bounds, lake.calendar, WINDOW, MAX_WEEK)
+        rows = lake.plan_steps if source == "plan_steps" else _sources(lake)[source]
+        series = build(rows, lake.bounds, lake.calendar, WINDOW, MAX_WEEK)
         return series.select(*ft.WEEK, *columns).orderBy(*ft.WEEK)
 
     return analysis
@@ -36,7 +37,7 @@ for _name, _build, _source, _columns in (
     ("ft6_charges_by_week", ft.invoice_series, "invoices", ["avg_charges"]),
     ("ft7_deferrals_by_week", ft.deferral_series, "events", ["has_deferred", "avg_num_deferrals", "avg_days_deferred"]),
     ("ft9_reminders_by_week", ft.reminder_series, "events", ["has_reminder", "avg_reminders"]),
-    ("ft10_plan_changes_by_week", ft.plan_change_series, "plans", ["has_plan_change", *ft.PLAN_ATTRIBUTES]),
+    ("ft10_plan_changes_by_week", ft.plan_change_series, "plan_steps", ["has_plan_change", *ft.PLAN_ATTRIBUTES]),
 ):
     named(_name)(_weekly(_build, _source, *_columns))
 

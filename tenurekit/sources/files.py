@@ -1,24 +1,28 @@
 """CSV exports to typed tables.
 
-A multi-line CSV cannot be split, so each file is one task: export a table as many files into one
-folder and pass the folder. Everything after the parse is a single projection.
+Multi-line files are read in splits (``split_csv``). Everything after the parse is a single projection, and what the reports
+count is counted by the write. Exports land side by side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenurekit.config import TableNames
+from tenurekit.sources.builds import Build, build_all
 from tenurekit.sources.casts import casts_for
-from tenurekit.sources.tables import read_table, write_table
+from tenurekit.sources.split_csv import read_split_csv
+from tenurekit.sources.tables import write_counted
 
 
-def read_csv_strings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """All columns as strings. ``multi_line=False`` gives the plain, splittable scan."""
+def read_csv_strings(spark: SparkSession, path: str, multi_line: bool = True, split: bool = False) -> DataFrame:
+    """All columns as strings. ``multi_line=False`` gives the plain scan; ``split=True`` reads a large multi-line file in many
+    tasks, rows in no particular order; without it one task reads a file, and its quoting need not be regular."""
+    if multi_line and split:
+        return read_split_csv(spark, path)
     reader = spark.read.option("header", True).option("inferSchema", False)
     if multi_line:
         reader = reader.option("multiLine", True).option("escape", '"')
@@ -61,13 +65,15 @@ def ingest_csv(
     source: str | None = None,
     types: Mapping[str, str] | None = None,
     multi_line: bool = True,
+    split: bool = True,
     fmt: str = "parquet",
     storage_path: str | None = None,
-) -> str:
-    """Land one export as a table and return the table's name. The CSV is parsed once."""
-    raw = with_ingest_metadata(read_csv_strings(spark, path, multi_line), path, source)
-    write_table(cast_columns(raw, types or {}), target, fmt=fmt, storage_path=storage_path)
-    return target
+) -> dict[str, int]:
+    """Land one export as a table. Returns ``n_rows`` and the nulls of each typed column, counted by the write."""
+    raw = with_ingest_metadata(read_csv_strings(spark, path, multi_line, split), path, source)
+    typed = cast_columns(raw, types or {})
+    counts = {"n_rows": F.count("*")} | {c: F.count_if(F.col(c).isNull()) for c in typed.columns if c in (types or {})}
+    return write_counted(typed, target, counts, fmt=fmt, storage_path=storage_path)
 
 
 def ingest_exports(
@@ -79,24 +85,32 @@ def ingest_exports(
     files: Mapping[str, str] | None = None,
     fmt: str = "parquet",
     storage_root: str | None = None,
+    at_once: int = 4,
 ) -> DataFrame:
-    """Land several exports; the report has one row per typed column of each table.
+    """Land several exports side by side; the report has one row per typed column of each table.
 
-    Counts come from the written tables, so no export is parsed a second time.
+    No export is parsed and no table scanned a second time. An export that fails has one row with its ``error`` instead, and
+    the others land.
     """
-    reports = []
-    for name in tables:
-        types = casts_for(name)
-        target = ingest_csv(
-            spark,
-            (files or {}).get(name, names.landing_file(name)),
-            names.table("bronze", name),
-            source=f"{source_schema}.{name}",
-            types=types,
-            fmt=fmt,
-            storage_path=f"{storage_root}/{name}" if storage_root else None,
-        )
-        landed = read_table(spark, target)
-        typed = [c for c in landed.columns if c in types]
-        reports.append(null_profile(landed, typed).withColumn("table_name", F.lit(name)))
-    return reduce(DataFrame.unionByName, reports).select("table_name", "column_name", "n_rows", "n_null")
+
+    def landing(name: str) -> Build:
+        def run() -> dict[str, int]:
+            return ingest_csv(
+                spark,
+                (files or {}).get(name, names.landing_file(name)),
+                names.table("bronze", name),
+                source=f"{source_schema}.{name}",
+                types=casts_for(name),
+                fmt=fmt,
+                storage_path=f"{storage_root}/{name}" if storage_root else None,
+            )
+
+        return Build(run)
+
+    rows = []
+    for name, outcome in build_all(spark, {name: landing(name) for name in tables}, at_once).items():
+        if outcome.error:
+            rows.append((name, None, None, None, outcome.error))
+        else:
+            rows += [(name, c, outcome.result["n_rows"], n, None) for c, n in outcome.result.items() if c != "n_rows"]
+    return spark.createDataFrame(rows, "table_name string, column_name string, n_rows bigint, n_null bigint, error string")

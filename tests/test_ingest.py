@@ -27,9 +27,10 @@ def test_cast_maps_cover_nine_tables():
 def test_ingest_lands_a_typed_table(spark, tmp_path):
     path = tmp_path / "orders.csv"
     path.write_text("order_id,created_at\n1,2026-01-01\n2,\n")
-    target = files.ingest_csv(spark, str(path), "landed_orders", source="shop.orders", types={"created_at": "timestamp"},
+    counts = files.ingest_csv(spark, str(path), "landed_orders", source="shop.orders", types={"created_at": "timestamp"},
                               storage_path=str(tmp_path / "landed"))
-    landed = tables.read_table(spark, target)
+    assert counts == {"n_rows": 2, "created_at": 1}
+    landed = tables.read_table(spark, "landed_orders")
     assert dict(landed.dtypes)["created_at"] == "timestamp" and dict(landed.dtypes)["order_id"] == "string"
     assert {"_ingested_at", "_source_file", "_source_table"} <= set(landed.columns)
     assert files.null_counts(landed, ["created_at"]).first().asDict() == {"n_rows": 2, "created_at": 1}

@@ -194,3 +194,38 @@ def test_repeated_rows_of_a_large_multiplicity(spark):
     rows = spark.createDataFrame([("a", 200_000), ("b", 65_536), ("c", 1), ("d", 0)], "key string, n_rows bigint")
     got = {r["key"]: r["count"] for r in cohort.repeat_rows(rows).groupBy("key").count().collect()}
     assert got == {"a": 200_000, "b": 65_536, "c": 1}
+
+
+def test_copies_of_one_row_come_from_all_tasks(spark):
+    rows = spark.createDataFrame([("hot", 3_000_000), ("a", 2), ("none", 0), ("edge", 65_536)], "key string, n_rows bigint").coalesce(1)
+    copies = cohort.repeat_rows(rows)
+    assert {r["key"]: r["count"] for r in copies.groupBy("key").count().collect()} == {"hot": 3_000_000, "a": 2, "edge": 65_536}
+    assert copies.where("key = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_wanted_plans_as_rows(spark):
+    people = spark.createDataFrame([("s", False, "DAILY", 30, 10, 1), ("t", True, "DAILY", 30, 10, 1), ("u", False, "DAILY", 90, 30, 2)],
+                                   "subscription_id string, is_activated boolean, current_regimen string, current_days_supply int, current_quantity int, current_drug_id int")
+    plans = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (2, None)], "drug_id int, drug_name string")
+    got = sorted((r.subscription_id, r.drug_name or "") for r in cohort.wanted_plan_rows(people, plans).collect())
+    assert got == [("s", "x"), ("s", "x"), ("s", "y"), ("u", "")]
+
+
+def test_visits_count_from_activation(spark, make_terms, cal):
+    from tenurekit.plans import analyses
+
+    class Study:
+        calendar = cal
+        cohort_terms = make_terms(("a", "2026-03-10", None, None), ("b", "2026-03-10", "2026-03-20", None))
+        people = spark.createDataFrame([("a", "2026-03-01"), ("b", "2026-03-15")], "subscription_id string, day string").select(
+            "subscription_id", F.to_timestamp("day").alias("activated_at"))
+
+        @staticmethod
+        def cohort_rows(_):
+            visits = [("a-t", "v1", "2026-03-05"), ("a-t", "v1", "2026-03-06"), ("a-t", "v2", "2026-02-27"), ("a-t", "v3", "2026-05-01"),
+                      ("b-t", "w1", "2026-03-12"), ("b-t", "w2", "2026-03-15"), ("b-t", "w3", "2026-03-21"), ("b-t", None, "2026-03-16")]
+            frame = spark.createDataFrame(visits, "subscription_term_id string, visit_id string, created_at string")
+            return frame.withColumn("created_at", F.to_timestamp("created_at"))
+
+    got = {r.visit_count: (r.total_subscribers, r.cancelled_subscribers) for r in analyses()["qr_9_cancel_rate_by_visits"](Study).collect()}
+    assert got == {2: (1, 0), 1: (1, 1)}

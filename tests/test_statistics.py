@@ -164,3 +164,22 @@ def test_box_matches_numpy(spark):
     inside = [v for v in values if low <= v <= high]
     assert (got.whisker_low, got.whisker_high) == (min(inside), max(inside))
     assert got.n_outliers == len(values) - len(inside)
+
+
+def test_curve_begins_at_time_zero(spark):
+    df = spark.createDataFrame([("s", 1, 1), ("s", 2, 0), ("t", 0, 1), ("t", 5, 0), (None, 1, 1)], "g string, duration_days int, event int")
+    rows = kaplan_meier(df, "g", origin=True).orderBy("g", "duration_days").collect()
+    assert [(r.g, r.duration_days, r.at_risk, r.n_events, r.survival) for r in rows] == [
+        ("s", 0, 2, 0, 1.0), ("s", 1, 2, 1, 0.5), ("s", 2, 1, 0, 0.5), ("t", 0, 2, 1, 0.5), ("t", 5, 1, 0, 0.5)]
+
+
+def test_kernel_density_of_many_distinct_values(spark):
+    """Values meet only grid points near them; the sum over all points differs by less than 1e-12."""
+    rng = np.random.default_rng(6)
+    values = np.concatenate((rng.normal(0, 1, 4000), rng.normal(40, 0.1, 1000)))
+    df = spark.createDataFrame([(float(v), 1) for v in values], "v double, label int")
+    rows = kernel_density(df, "v", points=60).orderBy("point").collect()
+    h = np.std(values, ddof=1) * len(values) ** -0.2
+    grid = np.linspace(values.min(), values.max(), 60)
+    want = np.exp(-(((grid[:, None] - values) / h) ** 2) / 2).sum(axis=1) / (len(values) * h * math.sqrt(2 * math.pi))
+    assert len(rows) == 60 and np.abs(np.array([r.density for r in rows]) - want).max() < 1e-12
