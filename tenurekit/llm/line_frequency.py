@@ -2,7 +2,8 @@
 
 Lines are normalised (case, digits, white space) and hashed. For each host, the distinct documents with a line are
 counted; exact copies of a text count once there, so copies of a good document do not condemn it. Lines above the limit
-are boilerplate: they go, and a document that loses most of its words with them is rejected.
+are boilerplate: they go, and a document that they leave depleted is rejected. The limit is a number of documents, the same
+for a host of any size: a line in a thousandth of a large host's documents is as common as one in a tenth of a small one's.
 """
 
 from __future__ import annotations
@@ -12,11 +13,10 @@ from pyspark.sql import functions as F
 
 from tenurekit.llm.scratch import staged
 
-#: A line is boilerplate from this share of its host's distinct texts on, and from this number of them on.
-MAX_SHARE = 0.1
-MIN_DOCS = 20
-#: A document that keeps less than this share of its words is depleted.
-MIN_LEFT = 0.5
+#: A line is boilerplate from this number of its host's distinct texts on.
+MAX_DOCS = 20
+#: A document that keeps less than this share of its words, or fewer words than this, is depleted.
+MIN_LEFT, MIN_WORDS = 0.5, 50
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -25,8 +25,12 @@ def words_of(text: Column) -> Column:
 
 
 def normal_line(line: Column) -> Column:
-    """Lower case, runs of digits as 0, runs of white space as one blank, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), _BLANK, " "), "[0-9]+", "0"))
+    """Lower case, runs of white space as one blank, trimmed; runs of digits as 0 where under half of the characters are
+    digits, so that page numbers and dates do not tell lines apart but rows of numbers stay what they are."""
+    plain = F.trim(F.regexp_replace(F.lower(line), _BLANK, " "))
+    letters = F.length(F.translate(plain, " 0123456789", ""))
+    digits = F.length(F.translate(plain, " ", "")) - letters
+    return F.when(digits < letters, F.regexp_replace(plain, "[0-9]+", "0")).otherwise(plain)
 
 
 def _line_hashes(text: Column) -> Column:
@@ -70,25 +74,24 @@ def lines_of(docs: DataFrame, host: str = "source") -> DataFrame:
     return own.select("host", "t", "place", "line.h", "line.n_words").distinct()
 
 
-def frequent_lines(docs: DataFrame, lines: DataFrame, host: str = "source") -> DataFrame:
+def frequent_lines(lines: DataFrame) -> DataFrame:
     """(host, h): hashes of boilerplate lines."""
-    host_docs = docs.select(_host(docs, host).alias("host"), F.xxhash64("text").alias("t")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    counts = lines.select("host", "h", "t").distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= MIN_DOCS)
-    return counts.join(host_docs, "host").where(F.col("n_docs") >= MAX_SHARE * F.col("host_docs")).select("host", "h")
+    counts = lines.select("host", "h", "t").distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"))
+    return counts.where(F.col("n_docs") >= MAX_DOCS).select("host", "h")
 
 
 def judged(docs: DataFrame, host: str = "source") -> DataFrame:
     """One row for each row of docs: doc_id, the counts of ``text_counts``, n_left (words outside boilerplate lines), base_failed, kept.
 
-    base_failed: under 50 words, or more than half of the words in repeated trigrams. kept: not failed, and at least
-    half of the words are left. Null and empty texts have no words and fail. Repeated rows are judged alike.
+    base_failed: under 50 words, or more than half of the words in repeated trigrams. kept: not failed, and outside
+    boilerplate at least half of the words are left and 50 of them. Null and empty texts have no words and fail. Repeated rows are judged alike.
     Extra columns do not matter.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("source"))
-    gone = _gone(docs)
+    gone = _gone(docs).drop("gone")
     counted = text_counts(docs.select("doc_id", _host(docs, "source").alias("host"), F.xxhash64("text").alias("t"), "text")).drop("text")
     out = counted.join(gone, ["host", "t"], "left").withColumn("n_left", F.col("n_words") - F.coalesce("n_gone", F.lit(0)))
-    kept = ~_failed() & (F.col("n_left") >= MIN_LEFT * F.col("n_words"))
+    kept = ~_failed() & ~_depleted(F.col("n_left"), F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_left", _failed().alias("base_failed"), kept.alias("kept"))
 
 
@@ -96,16 +99,23 @@ def _failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def _depleted(left: Column, words: Column) -> Column:
+    return (left < MIN_LEFT * words) | (left < MIN_WORDS)
+
+
 def _gone(docs: DataFrame) -> DataFrame:
-    """(host, t, n_gone, n_all): words in boilerplate lines, and all words, of texts with such lines.
+    """(host, t, n_gone, n_all, gone): words in boilerplate lines, all words, and the lines' hashes, of texts with such lines.
 
     Written, as are the tables it comes from: so joins find both inputs exchanged for them and AQE can split a hot line
     or a hot text.
     """
     lines = staged(lines_of(docs), "lines")
-    frequent = staged(frequent_lines(docs, lines), "lines-frequent")
+    frequent = staged(frequent_lines(lines), "lines-frequent")
     marked = lines.join(frequent.withColumn("boilerplate", F.lit(True)), ["host", "h"], "left")
-    sums = marked.groupBy("host", "t").agg(F.sum(F.when(F.col("boilerplate"), F.col("n_words"))).alias("n_gone"), F.sum("n_words").alias("n_all"))
+    sums = marked.groupBy("host", "t").agg(
+        F.sum(F.when(F.col("boilerplate"), F.col("n_words"))).alias("n_gone"), F.sum("n_words").alias("n_all"),
+        F.collect_set(F.when(F.col("boilerplate"), F.col("h"))).alias("gone"),
+    )
     return staged(sums.where("n_gone > 0"), "lines-gone")
 
 
@@ -114,21 +124,40 @@ def kept_documents(docs: DataFrame, host: str = "source") -> DataFrame:
 
     Texts are told apart by host and 64-bit hash.
     """
+    return _kept(docs, host).select("row.*")
+
+
+def cleaned_documents(docs: DataFrame, host: str = "source") -> DataFrame:
+    """The rows that ``judged`` keeps, without their boilerplate lines; ``n_chars``, if there is one, is that of the text left."""
+    changed = F.col("gone").isNotNull()
+    row, left = F.col("row"), _without(F.col("text"), F.col("gone"))
+    row = row.withField("text", F.when(changed, left).otherwise(row["text"]))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        row = row.withField("n_chars", F.when(changed, F.length(left).cast(kind)).otherwise(F.col("row.n_chars")))
+    return _kept(docs, host).select(row.alias("row")).select("row.*")
+
+
+def _kept(docs: DataFrame, host: str) -> DataFrame:
+    """(row, text, gone) of the rows that stay."""
     gone = _gone(docs.select(F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("source")))
-    depleted = gone.where(F.col("n_all") - F.col("n_gone") < MIN_LEFT * F.col("n_all")).select("host", "t")
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"), _host(docs, host).alias("host"), F.xxhash64(F.col("text").cast("string")).alias("t"))
     # a filter on the counts alone would be pushed below them, and then count anew for every use of a word; it isn't past a row number
     counted = text_counts(packed).withColumn("at", F.monotonically_increasing_id())
-    return counted.where(~_failed() & (F.col("at") >= 0)).join(depleted, ["host", "t"], "left_anti").select("row.*")
+    met = counted.where(~_failed() & (F.col("at") >= 0)).join(gone, ["host", "t"], "left")
+    return met.where(~F.coalesce(_depleted(F.col("n_all") - F.col("n_gone"), F.col("n_all")), F.lit(False))).select("row", "text", "gone")
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines whose hashes are given."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.array_contains(gone, F.xxhash64(normal_line(line)))), "\n")
 
 
 def without_frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     """docs with boilerplate lines taken out of ``text``; all rows and columns stay, nulls stay null."""
-    lines = staged(lines_of(docs, host), "lines")
-    frequent = frequent_lines(docs, lines, host)
-    gone = staged(lines.join(frequent, ["host", "h"]).groupBy("host", "t").agg(F.collect_set("h").alias("_gone")), "lines-gone")
-    gone = gone.withColumnsRenamed({"host": "_host", "t": "_t"})
-    keyed = docs.withColumns({"_own_host": _host(docs, host), "_own_t": F.xxhash64("text")})
+    gone = _gone(docs.select(F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("source")))
+    gone = gone.select(F.col("host").alias("_host"), F.col("t").alias("_t"), F.col("gone").alias("_gone"))
+    keyed = docs.withColumns({"_own_host": _host(docs, host), "_own_t": F.xxhash64(F.col("text").cast("string"))})
     met = keyed.join(gone, (F.col("_own_host") == F.col("_host")) & (F.col("_own_t") == F.col("_t")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda line: ~F.array_contains("_gone", F.xxhash64(normal_line(line)))), "\n")
-    return met.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_gone")))
+    return met.withColumn("text", left).select(*docs.columns)

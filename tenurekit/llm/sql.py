@@ -35,7 +35,15 @@ SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-_NORMAL = r"trim(regexp_replace(regexp_replace(lower({0}), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'))"
+_SPACED = r"trim(regexp_replace(lower({0}), '[\x20\x09-\x0D]+', ' ', 'g'))"
+
+
+def _normal(line: str) -> str:
+    """A line as lines are compared: digits fold to 0 where letters and marks outnumber them."""
+    spaced = _SPACED.format(line)
+    letters = f"length(regexp_replace({spaced}, '[ 0-9]', '', 'g'))"
+    return f"CASE WHEN length(replace({spaced}, ' ', '')) < 2 * {letters} THEN regexp_replace({spaced}, '[0-9]+', '0', 'g') ELSE {spaced} END"
+
 
 
 def _judged(documents: str) -> str:
@@ -46,15 +54,11 @@ tri AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS p, unnest(list_transform
 twice AS (SELECT doc_id, p FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 repeated AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM twice) GROUP BY doc_id),
 line AS (
-    SELECT doc_id, coalesce(source, '') AS host, text, line, {_NORMAL.format("line")} AS norm, len({_WORDS.format("line")}) AS n
+    SELECT doc_id, coalesce(source, chr(1)) AS host, text, line, {_normal("line")} AS norm, len({_WORDS.format("line")}) AS n
     FROM (SELECT doc_id, source, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM {documents}) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
 ),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM line GROUP BY doc_id),
-host_docs AS (SELECT coalesce(source, '') AS host, count(DISTINCT coalesce(text, chr(1))) AS host_docs FROM {documents} GROUP BY 1),
-frequent AS (
-    SELECT host, norm FROM line JOIN host_docs USING (host) GROUP BY host, norm, host_docs
-    HAVING count(DISTINCT text) >= 20 AND count(DISTINCT text) >= 0.1 * host_docs
-),
+frequent AS (SELECT host, norm FROM line GROUP BY host, norm HAVING count(DISTINCT text) >= 20),
 gone AS (SELECT doc_id, sum(n)::BIGINT AS n_gone FROM line JOIN frequent USING (host, norm) GROUP BY doc_id),
 counted AS (
     SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
@@ -64,7 +68,7 @@ counted AS (
 ),
 judged AS (
     SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_gone >= 0.5 * n_words AS kept FROM counted
+        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_gone >= 0.5 * n_words AND n_words - n_gone >= 50 AS kept FROM counted
 )"""
 
 
@@ -222,7 +226,15 @@ _BYTE = "('0x' || substr(md5(coalesce({0}, '')), 1, 2))::INT"
 
 #: The rows of the pipeline: quality rules, one of each group, no benchmark items, the mix, shards.
 PIPELINE = f"""
-WITH d4 AS MATERIALIZED (WITH {_judged("documents")} SELECT d.* FROM documents d JOIN judged j USING (doc_id) WHERE j.kept),
+WITH d4 AS MATERIALIZED (
+    WITH {_judged("documents")},
+    common AS (SELECT host, list(norm) AS norms FROM frequent GROUP BY host),
+    cleaned AS (
+        SELECT d.*, CASE WHEN j.n_gone > 0 THEN array_to_string(list_filter(string_split(d.text, chr(10)), lambda line: NOT list_contains(norms, {_normal("line")})), chr(10)) END AS left_
+        FROM documents d JOIN judged j USING (doc_id) LEFT JOIN common c ON c.host = coalesce(d.source, chr(1)) WHERE j.kept
+    )
+    SELECT * EXCLUDE (left_) REPLACE (coalesce(left_, text) AS text, coalesce(length(left_), n_chars) AS n_chars) FROM cleaned
+),
 d8 AS MATERIALIZED (WITH RECURSIVE {_grouped("d4")} SELECT d.* FROM d4 d JOIN grouped g USING (doc_id) WHERE doc_id = component_id),
 d3 AS MATERIALIZED (WITH {_hits("d8")} SELECT * FROM d8 WHERE doc_id NOT IN (SELECT doc_id FROM hit)),
 times AS MATERIALIZED (

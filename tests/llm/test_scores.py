@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from tenurekit.llm import apportion, hilbert, hmm, queries, token_counts
 from tenurekit.llm.dom import Page, decode, text_of
 from tenurekit.llm.dom_boosting import main_texts
-from tenurekit.llm.line_frequency import judged, kept_documents, without_frequent_lines
+from tenurekit.llm.line_frequency import cleaned_documents, judged, kept_documents, without_frequent_lines
 from tenurekit.llm.url_terms import judged_urls
 from tenurekit.llm.words import LETTERS_DIGITS, NOT_BLANK, grams, word_hashes
 
@@ -175,9 +175,9 @@ def test_decoding_is_consistent():
 def _lines_case(make_docs):
     r = random.Random(3)
     body = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
-    footer = "Share this  page 12 now with all of your many good friends today " * 4
+    footer = "Share this  page 12 now with all of your many good friends today " + " ".join(f"note{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(39))
     docs = [(i, f"{body(120)}\n{footer if i % 2 else footer.upper()}") for i in range(1, 31)]
-    docs += [(i, f"{body(10)}\n{footer}\n{footer}") for i in range(31, 36)]
+    docs += [(i, f"{body(10)}\n{footer}") for i in range(31, 36)]
     docs += [(i, docs[0][1].replace("friends", "friends")) for i in range(36, 40)]
     docs += [(100 + i, body(100), "other") for i in range(40)] + [(200, None), (201, ""), (202, "a b c " * 40), (202, "a b c " * 40), (None, body(60), None)]
     return make_docs(*docs)
@@ -302,3 +302,26 @@ def test_word_hashes(monkeypatch):
         monkeypatch.undo()
         assert (again == hashes).all() and (cuts == offsets).all()
     assert len(grams(hashes[:3], 5)) == 0
+
+
+def test_rows_of_numbers_are_told_apart(make_docs):
+    """Lines that are mostly digits keep them; page numbers and dates in other lines do not count."""
+    r = random.Random(4)
+    table = lambda: "\n".join(" ".join(str(r.randrange(10**4)) for _ in range(12)) for _ in range(10))
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(n))
+    docs = [(i, table()) for i in range(40)] + [(100 + i, f"{prose(60)}\nPage {i} of the {2000 + i} report, printed on day {i}") for i in range(40)]
+    docs += [(200 + i, f"{prose(45)}\npage {i} of the {i} report, printed on day {i}") for i in range(3)]
+    rows = {x.doc_id: x for x in judged(make_docs(*docs)).collect()}
+    assert all(rows[i].kept and rows[i].n_left == 120 for i in range(40))
+    assert all(rows[i].kept and rows[i].n_left == 60 for i in range(100, 140))
+    assert all(not rows[i].kept and not rows[i].base_failed for i in range(200, 203))  # 45 words are left
+
+
+def test_a_line_in_a_small_share_of_a_large_host_goes(make_docs):
+    r = random.Random(6)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(n))
+    docs = [(i, f"{prose(60)}\nSubscribe to our letter" if i < 25 else f"{prose(60)}\nonly nineteen {'times' if i < 44 else prose(1)}") for i in range(1500)]
+    cleaned = {x.doc_id: x for x in cleaned_documents(make_docs(*docs)).collect()}
+    assert len(cleaned) == 1500 and not any("Subscribe" in x.text for x in cleaned.values())
+    assert sum("nineteen times" in x.text for x in cleaned.values()) == 19 and all(x.n_chars == len(x.text) for x in cleaned.values())
+    assert cleaned[0].row == "r" and cleaned[0].t == "t"
