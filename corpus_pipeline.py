@@ -8,14 +8,14 @@ from tenurekit.llm import sql
 from tenurekit.llm.apportion import mixed_documents
 from tenurekit.llm.hilbert import sharded_documents
 from tenurekit.llm.jaccard_join import one_of_each
-from tenurekit.llm.line_frequency import kept_documents
+from tenurekit.llm.line_frequency import cleaned_documents
 from tenurekit.llm.scratch import staged
 from tenurekit.llm.winnowing import clean_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or consist mostly of lines common on their host, go."""
-    return kept_documents(docs)
+    """Documents that fail the base rules, or that lines common on their host leave depleted, go; the others lose these lines."""
+    return cleaned_documents(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
