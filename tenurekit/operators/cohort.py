@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +24,15 @@ def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     return next(hashed).join(next(hashed), [key, "_hash"], how).drop("_hash")
 
 
-def cohort_terms(terms: DataFrame, subscriptions: DataFrame, cal: Calendar) -> DataFrame:
+def cohort_terms(terms: DataFrame, subscriptions: DataFrame, cal: Calendar, carry: Sequence[str] = ()) -> DataFrame:
     """Term rows of the qualified cohort, all columns kept.
 
-    Carrying the columns here saves every later step from joining the cohort back to the terms.
+    Carrying the columns here saves every later step from joining the cohort back to the terms. ``carry`` names columns of
+    the subscription to bring along (a subscription that is listed twice then counts twice).
     """
-    eligible = subscriptions.filter(F.col("is_paid") & F.col("is_activated")).select(SUB)
+    eligible = subscriptions.filter(F.col("is_paid") & F.col("is_activated")).select(SUB, *carry)
     started = (F.col("term_number") == 1) & (F.col("term_started_at") < day(cal.start_cutoff))
-    return join_split(terms.filter(started), eligible, SUB, "left_semi")
+    return join_split(terms.filter(started), eligible, SUB, "inner" if carry else "left_semi")
 
 
 def qualified_terms(terms: DataFrame, subscriptions: DataFrame, cal: Calendar) -> DataFrame:

@@ -118,12 +118,15 @@ def reminder_series(events: DataFrame, bounds: DataFrame, cal: Calendar, window:
 
 
 def plan_steps(plan_terms: DataFrame) -> DataFrame:
-    return plan_terms.select(TERM, "plan_term_number", "plan_term_started_at", *PLAN_ATTRIBUTES.values())
+    """What reports read of plan terms."""
+    return plan_terms.select(TERM, "plan_term_number", "plan_term_started_at", "is_latest_plan_term", "term_months", *PLAN_ATTRIBUTES.values())
 
 
 def plan_days(plan_terms: DataFrame) -> DataFrame:
     """Plan starts per term and day, with how many changed what against the plan before."""
-    known = with_previous_known(plan_steps(plan_terms), TERM, "plan_term_started_at", "plan_term_number", list(PLAN_ATTRIBUTES.values()))
+    attributes = list(PLAN_ATTRIBUTES.values())
+    needed = plan_terms.select(TERM, "plan_term_number", "plan_term_started_at", *attributes)
+    known = with_previous_known(needed, TERM, "plan_term_started_at", "plan_term_number", attributes)
     return by_day(
         known,
         TERM,
@@ -317,10 +320,16 @@ ACTIVITY = (
 KNOWN_FROM = {"paid": "paid_at", "failed": "failed_at", "refunded": "refunded_at"}
 
 
+PROFILE = ("first_platform", "channel_group")
+
+
+def profile_columns(subscriptions: DataFrame) -> DataFrame:
+    return subscriptions.withColumn("channel_group", channel_group("first_channel_grouping"))
+
+
 def term_profile(bounds: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Bounds with what never changes about their subscription. Terms of unknown subscriptions drop out."""
-    static = subscriptions.select(SUB, "first_platform", channel_group("first_channel_grouping").alias("channel_group"))
-    return join_split(bounds, static, SUB)
+    return join_split(bounds, profile_columns(subscriptions).select(SUB, *PROFILE), SUB)
 
 
 def activity_days(

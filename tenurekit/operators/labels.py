@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ def start_label(terms: DataFrame, cal: Calendar) -> DataFrame:
     )
 
 
-def snapshot_bounds(terms: DataFrame, cal: Calendar) -> DataFrame:
-    """One row per term that has snapshots: its dates and the number of its last week.
+def snapshot_bounds(terms: DataFrame, cal: Calendar, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per term that has snapshots: its dates and the number of its last week, and columns to carry along.
 
     Every stop rule is monotone in the week, so the last week has a closed form:
 
@@ -55,6 +57,7 @@ def snapshot_bounds(terms: DataFrame, cal: Calendar) -> DataFrame:
         as_date("term_started_at").alias("term_started_at"),
         as_date("term_ended_at").alias("term_ended_at"),
         F.when(requested <= limit, requested).alias("cancel_requested_at"),
+        *carry,
     )
     started, ended, cancelled = F.col("term_started_at"), F.col("term_ended_at"), F.col("cancel_requested_at")
     room = (

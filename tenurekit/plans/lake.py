@@ -20,12 +20,13 @@ from tenurekit.sources.tables import read_table, write_bucketed
 
 
 class Lake:
-    """Lazy frames: building a lake runs nothing, and reading an attribute nothing but the tables stored by term.
+    """Lazy frames: building a lake runs nothing, and reading an attribute nothing but writing those three tables.
 
     ``silver`` holds conformed tables that are already stored. What is not stored is planned from the
     sources, so the same analyses run before and after :func:`~tenurekit.plans.pipeline.build_silver`.
-    ``profile`` (bounds of terms), ``days`` (their daily counts) and ``plan_steps`` feed the look-backs; they are written
-    once, on first use, to the shared folder, bucketed by term, and then read without planning the cohort again or exchanging it.
+    ``profile`` (bounds of terms), ``days`` (their daily counts) and ``plan_steps`` feed the reports. They are written once, on
+    first use, to the shared folder; the first two are bucketed by term and read without planning the cohort again or
+    exchanging it.
     """
 
     def __init__(
@@ -155,23 +156,34 @@ class Lake:
     @cached_property
     def profile(self) -> DataFrame:
         """Bounds with their subscription's platform and channel; stored by term."""
-        bounds = lb.snapshot_bounds(self.cohort_terms, self.calendar)
-        return self._by_term(ft.term_profile(bounds, self.people), "profile")
+        if "subscription_terms_qualified" in self._silver:
+            rows = ft.term_profile(lb.snapshot_bounds(self.cohort_terms, self.calendar), self.people)
+        else:  # the join that restricts terms to the cohort brings the columns along
+            carried = ft.profile_columns(self.people).select(co.SUB, "is_paid", "is_activated", *ft.PROFILE)
+            terms = co.cohort_terms(self.terms, carried, self.calendar, carry=ft.PROFILE)
+            rows = lb.snapshot_bounds(terms, self.calendar, carry=ft.PROFILE)
+        return self._by_term(rows, "profile")
 
     @cached_property
     def bounds(self) -> DataFrame:
-        return self.profile.drop("first_platform", "channel_group")
+        return self.profile.drop(*ft.PROFILE)
 
     @cached_property
     def days(self) -> DataFrame:
         """Daily counts of all sources; stored by term."""
-        plans, invoices = self.cohort_rows("subscription_plan_terms"), self.cohort_rows("subscription_invoices")
-        return self._by_term(ft.activity_days(self.bounds, invoices, self.cohort_events, plans, self.calendar), "days")
+        invoices = self.cohort_rows("subscription_invoices")
+        return self._by_term(ft.activity_days(self.bounds, invoices, self.cohort_events, self.plan_steps, self.calendar), "days")
 
     @cached_property
     def plan_steps(self) -> DataFrame:
-        """Plan terms with the columns that plan changes are read from; stored by term, as the scan for them reads its input thrice."""
-        return self._by_term(ft.plan_steps(self.cohort_rows("subscription_plan_terms")), "plan_steps")
+        """Plan terms with the columns that reports read. Written once as they come, without an exchange: a term may own any
+        share of them."""
+        if "subscription_plan_terms" in self._silver:
+            return ft.plan_steps(self._silver["subscription_plan_terms"])
+        rows = ft.plan_steps(self.source["subscription_plan_terms"])
+        path = fresh_folder(rows.sparkSession, "features/plan_steps")
+        rows.write.parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
     def _by_term(self, rows: DataFrame, name: str) -> DataFrame:
         spark = rows.sparkSession
@@ -199,7 +211,7 @@ class Lake:
         return co.valid_cohort(self.typed, self.terms)
 
     def latest_plan(self, *columns) -> DataFrame:
-        return co.latest_plan(self.cohort_rows("subscription_plan_terms"), *columns)
+        return co.latest_plan(self.plan_steps, *columns)
 
     def _stored(self, name: str, derive) -> DataFrame:
         return self._silver[name] if name in self._silver else derive()

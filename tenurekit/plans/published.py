@@ -53,8 +53,7 @@ def _(lake):
 
 @named("qr_5_rate_by_cadence_and_plan_changes")
 def _(lake):
-    plans = lake.cohort_rows("subscription_plan_terms")
-    changes = plans.groupBy(TERM).agg((F.count("*") - 1).alias("plan_change_count"))
+    changes = lake.plan_steps.groupBy(TERM).agg((F.count("*") - 1).alias("plan_change_count"))
     by = ["cadence_months", "plan_change_count"]
     return _rate(_with_cadence(lake).join(changes, TERM), by).orderBy(*by)
 

@@ -200,7 +200,7 @@ def _(lake):
 
 @named("g1_plan_at_snapshot")
 def _(lake):
-    return plan_at_snapshots(lake.bounds, lake.cohort_rows("subscription_plan_terms"), lake.calendar)
+    return plan_at_snapshots(lake.bounds, lake.plan_steps, lake.calendar)
 
 
 @named("bk5_subscriber_types_per_term")

@@ -12,18 +12,16 @@ from tenurekit.plans.registry import named
 WINDOW, MAX_WEEK, WINDOWS = 14, 26, (7, 14, 30)
 
 
-def _sources(lake):
-    return {
-        "invoices": lake.cohort_rows("subscription_invoices"),
-        "events": lake.cohort_events,
-        "plans": lake.cohort_rows("subscription_plan_terms"),
-    }
+_sources = {
+    "invoices": lambda lake: lake.cohort_rows("subscription_invoices"),
+    "events": lambda lake: lake.cohort_events,
+    "plans": lambda lake: lake.plan_steps,
+}
 
 
 def _weekly(build, source, *columns):
     def analysis(lake):
-        rows = lake.plan_steps if source == "plan_steps" else _sources(lake)[source]
-        series = build(rows, lake.bounds, lake.calendar, WINDOW, MAX_WEEK)
+        series = build(_sources[source](lake), lake.bounds, lake.calendar, WINDOW, MAX_WEEK)
         return series.select(*ft.WEEK, *columns).orderBy(*ft.WEEK)
 
     return analysis
@@ -37,7 +35,7 @@ for _name, _build, _source, _columns in (
     ("ft6_charges_by_week", ft.invoice_series, "invoices", ["avg_charges"]),
     ("ft7_deferrals_by_week", ft.deferral_series, "events", ["has_deferred", "avg_num_deferrals", "avg_days_deferred"]),
     ("ft9_reminders_by_week", ft.reminder_series, "events", ["has_reminder", "avg_reminders"]),
-    ("ft10_plan_changes_by_week", ft.plan_change_series, "plan_steps", ["has_plan_change", *ft.PLAN_ATTRIBUTES]),
+    ("ft10_plan_changes_by_week", ft.plan_change_series, "plans", ["has_plan_change", *ft.PLAN_ATTRIBUTES]),
 ):
     named(_name)(_weekly(_build, _source, *_columns))
 
@@ -45,11 +43,11 @@ for _name, _build, _source, _columns in (
 @named("st9_invoice_series_all")
 def _(lake):
     """Every invoice series of the report from one pass."""
-    return ft.invoice_series(_sources(lake)["invoices"], lake.bounds, lake.calendar, WINDOW, MAX_WEEK)
+    return ft.invoice_series(_sources["invoices"](lake), lake.bounds, lake.calendar, WINDOW, MAX_WEEK)
 
 
 def _fills(lake):
-    return ft.fills_per_snapshot(_sources(lake)["invoices"], lake.bounds, lake.calendar, WINDOW)
+    return ft.fills_per_snapshot(_sources["invoices"](lake), lake.bounds, lake.calendar, WINDOW)
 
 
 def _deferred_days(lake, keep_zero):
@@ -68,7 +66,7 @@ def _(lake):
 
 @named("ft11_static_profile")
 def _(lake):
-    return ft.static_profile(lake.bounds, _sources(lake)["plans"], lake.people, lake.calendar)
+    return ft.static_profile(lake.bounds, _sources["plans"](lake), lake.people, lake.calendar)
 
 
 def _candidates(lake):
