@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -35,17 +36,20 @@ class Page(HTMLParser):
         self.pieces: list[tuple[int, str, bool]] = []
         self.breaks: set[int] = set()  # pieces in front of which a block begins
         self.open: list[tuple[str, int]] = [("page", 0)]
+        self.places: dict[str, list[int]] = {}  # where each tag is open, so that no tag is looked for down the whole stack
         self.dropping: list[str] = []  # a dropped element and what is open in it
+        self.dropped: Counter[str] = Counter()
         self.links = 0
         self.feed(html)
         self.close()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.dropping[:1] == ["head"] and (tag == "body" or self.dropping == ["head"] and tag not in IN_HEAD):
-            self.dropping.clear()
+        if self.dropping[:1] == ["head"] and (tag == "body" or len(self.dropping) == 1 and tag not in IN_HEAD):
+            self._drop_no_more()
         if self.dropping or tag in DROPPED:
             if tag not in VOID and not (self.dropping and tag in ("head", "html")):
                 self.dropping.append(tag)
+                self.dropped[tag] += 1
             return
         if tag not in KEEPS_P:
             self._end_back_to({"p"}, {"table", "td", "button", "li"})
@@ -55,7 +59,7 @@ class Page(HTMLParser):
             if tag in ("br", "wbr"):
                 self.handle_data(" ")
             elif tag not in VOID:
-                self.open.append((tag, self.open[-1][1]))
+                self._push(tag, self.open[-1][1])
                 self.links += tag == "a"
             return
         text = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "itemprop", "aria-label"))
@@ -65,42 +69,81 @@ class Page(HTMLParser):
         self.tokens.append(tuple(t.lower() for t in _TOKEN.findall(text)))
         self.breaks.add(len(self.pieces))
         if tag not in VOID:
-            self.open.append((tag, len(self.tags) - 1))
+            self._push(tag, len(self.tags) - 1)
+
+    def _push(self, tag: str, element: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, element))
+
+    def _last(self, tags: set) -> int:
+        """Where one of the tags was opened last; 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
     def _end_back_to(self, tags: set, stops: set) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] in tags:
-                self._pop(at)
-                return
-            if self.open[at][0] in stops:
-                return
+        at = self._last(tags)
+        if at > self._last(stops):
+            self._pop(at)
+
+    def _drop_no_more(self) -> None:
+        self.dropping.clear()
+        self.dropped.clear()
 
     def _pop(self, at: int) -> None:
         for tag, _ in self.open[at:]:
+            self.places[tag].pop()
             self.links -= tag == "a"
             if tag not in INLINE:
                 self.breaks.add(len(self.pieces))
         del self.open[at:]
 
     def handle_endtag(self, tag: str) -> None:
-        for at in range(len(self.dropping) - 1, -1, -1):
-            if self.dropping[at] == tag:
-                del self.dropping[at:]
-                return
+        if self.dropped[tag]:
+            while self.dropping[-1] != tag:
+                self.dropped[self.dropping.pop()] -= 1
+            self.dropped[self.dropping.pop()] -= 1
+            return
         # what is not open in a dropped element may be its parent, and ends it too
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
-                self.dropping.clear()
-                self._pop(at)
-                return
+        at = self._last({tag})
+        if at:
+            self._drop_no_more()
+            self._pop(at)
 
     def handle_data(self, data: str) -> None:
         if self.dropping == ["head"] and not data.isspace():
-            self.dropping.clear()
+            self._drop_no_more()
         if not self.dropping:
             self.pieces.append((self.open[-1][1], data, self.links > 0))
 
 
+def guessed(page: Page) -> list[int]:
+    """For each element of a page that names no main part, whether it looks like main text: 1 within the element whose own
+    paragraphs hold the most text outside links, but for parts of it that are named or made like menus, notices and forms."""
+    n = len(page.tags)
+    size, linked = [0] * n, [0] * n
+    for element, text, in_link in page.pieces:
+        chars = len(text.strip())
+        size[element] += chars
+        linked[element] += chars * in_link
+    odd = [False] * n
+    score = [0.0] * n
+    for i in range(1, n):
+        up = page.parents[i]
+        names = set(page.tokens[i])
+        odd[i] = odd[up] or page.tags[i] in KINDS[6] or page.tags[i] in KINDS[8] or len(names & BAD) > len(names & GOOD)
+        if odd[i]:
+            continue
+        plain = size[i] - 2 * linked[i]
+        score[i] += plain / 2
+        if page.tags[i] in KINDS[0] or page.tags[i] in KINDS[1] or page.tags[i] in KINDS[2]:
+            score[up] += plain
+            score[max(0, page.parents[up])] += plain / 2
+    main = max(range(n), key=lambda i: (score[i], -i))
+    out = [0] * n
+    for i in range(n):
+        out[i] = int(score[main] > 0 and not odd[i] and (i == main or i > 0 and out[page.parents[i]] == 1))
+    return out
+
+
 def features(page: Page) -> list[list[float]]:
     """A row for each element: density of its subtree, attribute tokens, depth, and how it stands among its siblings."""
     n = len(page.tags)

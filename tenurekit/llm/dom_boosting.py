@@ -3,7 +3,8 @@
 There are no labelled pages, so the trees learn from the pages' own structure: in a bounded sample of pages, what stands in
 ``article`` or ``main`` is main text and the rest is not. Each sample page is also shown in variants in which these tags
 become plain ``div`` elements with or without telling names, and menus, sidebars, notices, adverts, forms and reader comments
-of other names and makes are put in, around and inside the article; so no single tag or name decides.
+of other names and makes are put in, around and inside the article; so no single tag or name decides. Where no page of the
+table has such a tag, sample pages are labelled by where their paragraphs and telling names lie (``dom.guessed``).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenurekit.llm.batches import rows
-from tenurekit.llm.dom import Page, decode, features, text_of
+from tenurekit.llm.dom import Page, decode, features, guessed, text_of
 from tenurekit.llm.scratch import staged
 
 #: Pages that the trees learn from, and variants of each.
@@ -119,6 +120,15 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield rows("features array<double>, label double", features=[f for f, _ in kept], label=[float(y) for _, y in kept])
 
 
+def _guessed_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for html in batch.column(0).to_pylist():
+            page = Page(html or "")
+            kept = [(f, y) for f, y in zip(features(page), guessed(page), strict=True) if f[0] > 0]
+            if kept:
+                yield rows("features array<double>, label double", features=[f for f, _ in kept], label=[float(y) for _, y in kept])
+
+
 def _trees(text: str) -> list[list]:
     """Trees of a fitted model, from its printed form: [feature, limit, left, right], or the value of a leaf; left where value <= limit."""
     out: list[list] = []
@@ -139,11 +149,18 @@ def _trees(text: str) -> list[list]:
 
 
 def fitted(pages: DataFrame) -> list[tuple[float, list]]:
-    """(weight, tree) of trees fitted to SAMPLE pages at most; none where no page shows its main part."""
-    sample = pages.select("html").where("html rlike '<(article|main)'").limit(SAMPLE).coalesce(1)
-    examples = staged(sample.mapInArrow(_examples, "features array<double>, label double"), "dom-examples")
+    """(weight, tree) of trees fitted to SAMPLE pages at most, drawn by a hash of their html; one constant tree where there is
+    no text to learn from, or where all sample pages are main text throughout or nowhere."""
+    drawn = [F.xxhash64("html"), F.col("html")]
+    marked = pages.select("html").where("html rlike '<(article|main)'").orderBy(*drawn).limit(SAMPLE).coalesce(1)
+    schema = "features array<double>, label double"
+    examples = staged(marked.mapInArrow(_examples, schema), "dom-examples")
     if len(examples.select("label").distinct().take(2)) < 2:
-        return []
+        others = pages.select("html").where("html is not null").orderBy(*drawn).limit(SAMPLE).coalesce(1)
+        examples = staged(others.mapInArrow(_guessed_examples, schema), "dom-guessed")
+        labels = [r.label for r in examples.select("label").distinct().take(2)]
+        if len(labels) < 2:
+            return [(1.0, 1.0 if labels == [1.0] else -1.0)]
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=3, cacheNodeIds=False).fit(examples.select(array_to_vector("features").alias("features"), "label"))
     return list(zip(model.treeWeights, _trees(model.toDebugString), strict=True))
 
@@ -178,10 +195,9 @@ def _extract(shared: object) -> Callable:
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages.
 
-    Null and empty html give an empty text; so do all pages where no page of the table marks a main part to learn from.
-    Repeated rows are extracted each for itself; an empty table gives no rows. Broken markup never fails. Other columns
+    Null and empty html give an empty text. Repeated rows are extracted each for itself; an empty table gives no rows. Broken markup never fails. Other columns
     are ignored.
     """
     pages = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
-    trees = pages.sparkSession.sparkContext.broadcast(fitted(pages) or [(1.0, -1.0)])
+    trees = pages.sparkSession.sparkContext.broadcast(fitted(pages))
     return pages.mapInArrow(_extract(trees), _TEXTS)

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tenurekit.llm import apportion, hilbert, hmm, queries, token_counts
-from tenurekit.llm.dom import Page, decode, text_of
+from tenurekit.llm.dom import WRAPPER, Page, decode, features, text_of
 from tenurekit.llm.dom_boosting import main_texts
 from tenurekit.llm.line_frequency import cleaned_documents, judged, kept_documents, without_frequent_lines
 from tenurekit.llm.url_terms import judged_urls
@@ -146,7 +147,8 @@ def test_main_text_of_other_markup(spark):
     assert text.split("\n\n") == ["Title of this story", "Some long text of the story, which goes on and on with words & more, until it ends here.", "Another paragraph, with commas, and some more words in it.", "The last part of the story comes after the advert, and it is long enough."]
     assert all(r.text == "" and r.n_chars == 0 for r in got if r.page_id in (-2, -3, -4))
     assert main_texts(own.limit(0)).count() == 0
-    assert [r.text for r in main_texts(odd.where("page_id = -1")).collect()] == [""]  # nothing to learn from
+    alone = main_texts(odd.where("page_id = -1")).first().text  # a table in which no page marks its main part
+    assert "Some long text of the story" in alone and "The last part of the story" in alone and "Home" not in alone
 
 
 @pytest.mark.parametrize(
@@ -165,6 +167,52 @@ def test_unclosed_dropped_elements_do_not_swallow_the_page(html, want):
     assert text_of(page, [True] * len(page.tags)) == want
 
 
+def test_tables_without_marked_pages_have_texts(spark):
+    """The same pages with article and main renamed: no empty text, and nearly all blocks as before."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    renamed = pages.withColumn("html", F.regexp_replace("html", r"<(/?)(article|main)\b", "<$1div"))
+    want, got = ({r.page_id: r.text for r in main_texts(t).collect()} for t in (pages, renamed))
+    assert all(got[i] for i in got if want[i])
+    blocks = [(set(want[i].split("\n\n")), set(got[i].split("\n\n"))) for i in got]
+    assert sum(len(a & b) for a, b in blocks) >= 0.9 * sum(len(a | b) for a, b in blocks)
+
+
+@pytest.mark.parametrize("html", ["<div>" * 200_000, "<p><button>" + "<div>" * 100_000 + "</x></b>" * 50_000, "<noscript>" + "<div>" * 100_000 + "</b>" * 50_000 + "</noscript><p>a", "<li><ul>" * 50_000 + "</ol>" * 50_000])
+def test_open_tags_cost_linear_time(html):
+    began = time.perf_counter()
+    page = Page(html)
+    text_of(page, decode(page, [1.0] * len(page.tags)))
+    features(page)
+    assert time.perf_counter() - began < 30
+
+
+def test_decoding_equals_exhaustive_search():
+    """in: taken, children in or out; out: all below out; mixed: itself out, children free."""
+    r = random.Random(3)
+    below = {"in": ("in", "out"), "out": ("out",), "mixed": ("in", "out", "mixed")}
+    for _ in range(60):
+        page = Page("".join(r.choice(("<div>", "<section>", "</div>", "</section>", "x ", "<p>y</p>")) for _ in range(10)))
+        n = len(page.tags)
+        if n > 8:
+            continue
+        odds = [r.uniform(-2, 2) for _ in range(n)]
+        own = {e for e, t, _ in page.pieces if not t.isspace()}
+
+        def worth(i, state, odds=odds, own=own):
+            if state == "in":
+                return odds[i] * (1 if i in own else WRAPPER)
+            if state == "out":
+                return -odds[i] if i in own else 0.0
+            return min(0.0, -odds[i]) if i in own else -0.01
+
+        best = {}
+        for states in itertools.product(below, repeat=n):
+            if all(states[i] in below[states[page.parents[i]]] for i in range(1, n)):
+                chosen = tuple(s == "in" for s in states)
+                best[chosen] = max(best.get(chosen, -1e9), sum(worth(i, s) for i, s in enumerate(states)))
+        assert best[tuple(decode(page, odds))] == pytest.approx(max(best.values()))
+
+
 def test_decoding_is_consistent():
     page = Page("<div>a<p>b</p><p>c</p></div><div>d<p>e</p></div>")
     odds = [0.0, 2.0, 1.0, -3.0, -5.0, 1.0]
