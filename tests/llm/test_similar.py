@@ -133,6 +133,31 @@ def test_passages_whose_parts_stand_in_other_texts_too(make_docs):
     assert found == {(100 * c + a, 100 * c + b) for c in range(20) for a, b in ((1, 2), (2, 1))}
 
 
+@pytest.mark.parametrize("n", [40, 80, 150])
+def test_passages_whose_parts_are_common(make_docs, n):
+    """Both halves of a passage of 64 words stand in n other texts each: the two texts with all of it still meet."""
+    r = random.Random(n)
+    texts = {}
+    for case in range(3):
+        passage = _text(r, 64).split()
+        parts = [passage, passage, *[passage[:34]] * n, *[passage[30:]] * n]
+        r.shuffle(parts)
+        texts |= {1000 * case + k: f"{_text(r, 40)} {' '.join(part)} {_text(r, 40)}" for k, part in enumerate(parts)}
+    whole = {i: [k for k, t in texts.items() if k // 1000 == i and len(t.split()) == 144] for i in range(3)}
+    found = {(x.doc_id, x.other_id) for x in repeated_passages(make_docs(*texts.items())).collect()}
+    assert found == {pair for a, b in whole.values() for pair in ((a, b), (b, a))}
+
+
+def test_recall_of_edited_passages(make_docs):
+    """Every text has one of 60 passages of 70 words, edited at 5 %; texts that hold one are to be found with a partner."""
+    r = random.Random(77)
+    passages = [_text(r, 70) for _ in range(60)]
+    texts = {i: f"{_text(r, 50)} {_edited(r, passages[i % 60], 0.05)} {_text(r, 50)}" for i in range(300)}
+    rows = repeated_passages(make_docs(*texts.items())).collect()
+    assert all(x.doc_id % 60 == x.other_id % 60 for x in rows)
+    assert len({x.doc_id for x in rows}) >= 0.95 * len(texts)
+
+
 def test_copies_edited_apart_are_found(make_docs):
     r = random.Random(9)
     passage = _text(r, 70)
