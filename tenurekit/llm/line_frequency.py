@@ -24,19 +24,23 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, _BLANK), lambda w: w != "")
 
 
-def normal_line(line: Column) -> Column:
-    """Lower case, runs of white space as one blank, trimmed; runs of digits as 0 where under half of the characters are
-    digits, so that page numbers and dates do not tell lines apart but rows of numbers stay what they are."""
-    plain = F.trim(F.regexp_replace(F.lower(line), _BLANK, " "))
-    letters = F.length(F.translate(plain, " 0123456789", ""))
-    digits = F.length(F.translate(plain, " ", "")) - letters
-    return F.when(digits < letters, F.regexp_replace(plain, "[0-9]+", "0")).otherwise(plain)
+def _spaced(text: Column) -> Column:
+    """Lines in lower case, with runs of white space as one blank, trimmed."""
+    return F.transform(F.split(text, "\n"), lambda line: F.trim(F.regexp_replace(F.lower(line), _BLANK, " ")))
+
+
+def _key(spaced: Column) -> Column:
+    """The hash by which spaced lines are compared: runs of digits count as 0 where under half of the characters are digits, so
+    that page numbers and dates do not tell lines apart but rows of numbers stay what they are."""
+    digits = F.length(spaced) - F.length(F.regexp_replace(spaced, "[0-9]", ""))
+    few = 2 * digits < F.length(F.replace(spaced, F.lit(" "), F.lit("")))
+    return F.xxhash64(F.when(~spaced.rlike("[0-9]"), spaced).when(few, F.regexp_replace(spaced, "[0-9]+", "0")).otherwise(spaced))
 
 
 def _line_hashes(text: Column) -> Column:
     """A struct (h, n_words) for each line with a word."""
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.regexp_replace(line, _BLANK, "")) > 0)
-    return F.transform(lines, lambda line: F.struct(F.xxhash64(normal_line(line)).alias("h"), F.size(words_of(line)).alias("n_words")))
+    lines = F.filter(_spaced(text), lambda line: line != "")
+    return F.transform(lines, lambda line: F.struct(_key(line).alias("h"), F.size(F.split(line, " ")).alias("n_words")))
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
@@ -150,7 +154,8 @@ def _kept(docs: DataFrame, host: str) -> DataFrame:
 
 def _without(text: Column, gone: Column) -> Column:
     """The text without the lines whose hashes are given."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.array_contains(gone, F.xxhash64(normal_line(line)))), "\n")
+    left = F.zip_with(F.split(text, "\n"), _spaced(text), lambda line, spaced: F.when(~F.array_contains(gone, _key(spaced)), line))
+    return F.array_join(left, "\n")
 
 
 def without_frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
