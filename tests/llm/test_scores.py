@@ -71,7 +71,8 @@ def test_training_raises_likelihood_and_sums_are_whole(monkeypatch):
     unigram = np.full(6, 1 / 6)
     model, first, before = hmm.Model.random(unigram), np.ones(50, bool), -math.inf
     for _ in range(5):
-        sums = hmm.expected_counts(model, sequences, first)
+        sums, of_words = hmm.expected_counts(model, sequences, first, [q.astype(np.int32) + 6 * (q % 2) for q in sequences], 12)
+        assert np.allclose(of_words[:6] + of_words[6:], sums[:6]) and not of_words[1:6:2].any()
         assert sums[:6].sum() == pytest.approx(sum(map(len, sequences)))
         assert sums[-1].sum() == pytest.approx(50)
         now = hmm.log_likelihoods(model, sequences).sum()
@@ -79,6 +80,46 @@ def test_training_raises_likelihood_and_sums_are_whole(monkeypatch):
         before, model = now, model.refitted(sums, unigram)
 
 
+def test_scores_equal_a_plain_model(spark, monkeypatch):
+    """Every word's emissions from the trained sums, and the forward recursion, in plain Python."""
+    monkeypatch.setattr(hmm, "TABLE", 300)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+    seen, vocabulary = hmm.learn_vocabulary(docs)
+    shared = spark.sparkContext.broadcast(vocabulary)
+    coded = hmm.staged(docs.mapInArrow(hmm._code(shared), hmm._CODED), "test-coded")
+    model, states, expected = hmm.train(coded, vocabulary, shared)
+    seen = {r.token: r for r in seen.where("shape >= 0").collect()}
+    kept = {r.token: np.array(r[-hmm.STATES :]) for r in states.collect()}
+    own = {int(w): c for w, c in zip(vocabulary.words.view(np.int64), vocabulary.own) if c}
+    rare = {t: r for t, r in seen.items() if t not in own}
+    assert kept.keys() == {t for t, r in rare.items() if r.found >= hmm.KEEP} and len(kept) > 100
+    assert all(sums.sum() == pytest.approx(rare[t].found, rel=0.1) for t, sums in kept.items())
+
+    def weight(token, shape):
+        of_class = expected[1 + hmm.OWN + shape] + 0.1
+        of_class = of_class / of_class.sum()
+        found = rare[token].found if token in rare else 0
+        if token not in kept:
+            return (found + 0.1) * of_class
+        return (found + 0.1) * (kept[token] + hmm.PRIOR * of_class) / (found + hmm.PRIOR)
+
+    mass = {s: weight(None, s) for s in range(hmm.SHAPES)}
+    for t, r in rare.items():
+        mass[r.shape] = mass[r.shape] + weight(t, r.shape)
+    rows = {r.doc_id: r.score for r in hmm.scored(docs).collect()}
+    for r in docs.collect()[::7]:
+        hashes, _, shapes = hmm.word_shapes([(r.text or "").encode()])
+        alpha, total = model.start, 0.0
+        for i, (token, shape) in enumerate([*zip(hashes.view(np.int64).tolist(), shapes.tolist()), (None, None)]):
+            if i:
+                alpha = alpha @ model.moves
+            emits = model.emits[0] if shape is None else model.emits[own[token]] if token in own else model.emits[1 + hmm.OWN + shape] * weight(token, shape) / mass[shape]
+            alpha = alpha * emits
+            total += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        assert rows[r.doc_id] == pytest.approx(total, rel=1e-5)
+
+
 def test_odd_rows_in_the_model(odd_docs):
     assert hmm.scored(odd_docs.limit(0)).count() == 0
     rows = hmm.scored(odd_docs.where("doc_id is not null")).collect()
