@@ -82,8 +82,11 @@ def mix(docs: DataFrame) -> DataFrame:
     do not matter.
     """
     key = F.when(F.col("source").isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), "source"))
-    light = docs.select("doc_id", F.col("source").cast("string"), n_words(F.col("text").cast("string")).alias("size"))
-    light = staged(light.withColumns({"key": key, "spin": _place("doc_id")}), "mix-sizes")
+    text = F.col("text").cast("string")
+    # rows without an id are told apart by their text, so they spread over the shards like others
+    spin = F.when(F.col("doc_id").isNull(), _place(F.lit("~"), F.md5(F.coalesce(text, F.lit(""))))).otherwise(_place("doc_id"))
+    light = docs.select("doc_id", F.col("source").cast("string"), n_words(text).alias("size"), key.alias("key"), spin.alias("spin"))
+    light = staged(light, "mix-sizes")
 
     # one row a source
     sources = light.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
@@ -136,7 +139,7 @@ def _taken_before(word: str) -> Column:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: a row comes taken / size times, the fraction decided by its seeded number. Columns stay.
 
-    Rows are told apart by doc_id and text, so repeated rows are taken alike.
+    Rows are told apart by doc_id and number of words, so repeated rows are taken alike.
     """
     taken = mix(docs).groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("n_rows"), F.max("spin").alias("spin"))
     times = F.expr("(taken * 1000000 + size * n_rows * (spin % 1000000)) div (greatest(size, 1) * n_rows * 1000000)").cast("int")
