@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve, in DataFrame functions.
 
-Metadata dimensions are quantised to 2**BITS cells each; a row's place on the curve through the cells is found bit by
+Metadata dimensions are quantised to 2**BITS cells each, in the columns' order and of about equally many rows; a row's place on the curve through the cells is found bit by
 bit with a table of the curve's states. Rows are ordered by that place and cut into runs of equal row counts, so each
 shard covers a compact box of the dimensions and readers can skip shards by minimum and maximum.
 """
@@ -63,25 +63,40 @@ def hilbert_index(dims: list[Column]) -> Column:
     return F.aggregate(bits, start, step, lambda acc: acc.h)
 
 
-def _spread(column: str) -> Column:
-    """A cell for a name: the first byte of its MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit(""))), 1, 2), 16, 10).cast("int")
+def _starts(counted: DataFrame, column: str) -> list[tuple]:
+    """(value, cell) where the cells of a column begin; counted: values with their rows n.
+
+    A value's cell is the share of rows with lesser values, so cells keep the column's order and hold about equally many
+    rows, but for single values that have more. Running totals go from ranges to the whole; at most 2**BITS rows
+    reach the driver.
+    """
+    values = counted.groupBy(F.col(column).alias("v")).agg(F.sum("n").alias("n"))
+    laid = staged(values.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "hilbert-values")
+    parts = laid.groupBy("part").agg(F.sum("n").alias("of_part"))
+    up_to = F.sum("of_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.select("part", (up_to - F.col("of_part")).alias("before"), F.sum("of_part").over(Window.partitionBy()).alias("all"))  # one row a partition
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    cells = laid.withColumn("inside", inside).join(parts, "part").selectExpr("v", f"(before + inside) * {1 << BITS} div all AS cell")
+    return sorted((r.v, r.cell) for r in cells.groupBy("cell").agg(F.min("v").alias("v")).collect())
 
 
-def _size_cell(size: Column) -> Column:
-    """Eight cells for each power of two: exponent and three more bits."""
-    exponent = F.length(F.bin(size)) - 1
-    return F.least(F.lit(255), exponent * 8 + F.floor(size / F.pow(F.lit(2), exponent - 3)).cast("int") % 8)
+def _cell(value: Column, starts: list[tuple]) -> Column:
+    if not starts:
+        return F.lit(0)
+    values, cells = (F.array(*[F.lit(x) for x in column]) for column in zip(*starts, strict=True))
+    return F.get(cells, F.size(F.filter(values, lambda v: v <= value)) - 1).cast("int")
 
 
 def in_curve_order(frame: DataFrame, ties: list[str], shards: int = SHARDS) -> DataFrame:
-    """frame (with lang, source and size of 8 or more) and shard and slot: runs along the curve, row counts at most one apart.
+    """frame (with lang, source and size) and shard and slot: runs along the curve, row counts at most one apart.
 
     Rows of one cell are ordered by ``ties``; rows equal in those too may come in either order. One range exchange
     carries the rows, cut within a cell where one cell holds many. Numbers go from partitions to the whole by a table of
     one row a partition, which is broadcast.
     """
-    place = hilbert_index([_spread("source"), _spread("lang"), _size_cell(F.col("size"))])
+    dims = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "lang")} | {"size": F.col("size")}
+    counted = staged(frame.select(*[value.alias(c) for c, value in dims.items()]).groupBy(*dims).agg(F.count("*").alias("n")), "hilbert-dims")
+    place = hilbert_index([_cell(value, _starts(counted, c)) for c, value in dims.items()])
     order = ["_place", *ties]
     laid = frame.withColumn("_place", place).repartitionByRange(*order).sortWithinPartitions(*order)
     laid = laid.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})

@@ -222,7 +222,7 @@ FROM counted c JOIN under USING (d, p) LEFT JOIN nodes up ON up.d = c.d - 1 AND
 """
 
 
-_BYTE = "('0x' || substr(md5(coalesce({0}, '')), 1, 2))::INT"
+_CELL = "(256 * (rank() OVER (ORDER BY {0}) - 1) // count(*) OVER ())::INT"
 
 #: The rows of the pipeline: quality rules, one of each group, no benchmark items, the mix, shards.
 PIPELINE = f"""
@@ -242,8 +242,7 @@ times AS MATERIALIZED (
 ),
 d9 AS (SELECT d.*, unnest(range(0, times)) AS copy_ FROM d3 d JOIN times USING (doc_id) WHERE times > 0),
 cells AS (
-    SELECT *, {_BYTE.format("source")} AS x, {_BYTE.format("lang")} AS y, least(255, 8 * e + ((n >> (e - 3)) & 7))::INT AS z
-    FROM (SELECT *, length(bin(n)) - 1 AS e FROM (SELECT *, strlen(coalesce(text, '')) + 8 AS n FROM d9))
+    SELECT *, {_CELL.format("coalesce(source, '')")} AS x, {_CELL.format("coalesce(lang, '')")} AS y, {_CELL.format("strlen(coalesce(text, ''))")} AS z FROM d9
 ),
 ranked AS (SELECT *, row_number() OVER (ORDER BY h, md5(coalesce(text, '')), doc_id) - 1 AS r, count(*) OVER () AS n_all FROM ({_curve("SELECT * FROM cells")}))
 SELECT doc_id, text, lang, source, n_chars, (r * 24 // n_all)::INT AS shard, r - ((r * 24 // n_all) * n_all + 23) // 24 AS slot FROM ranked

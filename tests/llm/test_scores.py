@@ -1,6 +1,7 @@
 """Language model, token counts, URL filter, page texts, quality rules, mixing and sharding."""
 
 import itertools
+import json
 import math
 import random
 import time
@@ -141,6 +142,24 @@ def test_token_counts_equal_the_library(odd_docs, spark, monkeypatch):
     assert token_counts.token_counts(odd_docs.limit(0), open(path).read()).count() == 0
 
 
+def test_tokenizers_of_other_kinds_count_as_the_library(odd_docs, spark):
+    """Files whose pre-tokens are not the pattern's go to the library whole."""
+    spec = json.loads(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "use_regex": False}}):
+        text = json.dumps(spec | change)
+        docs = odd_docs.where("length(text) < 1000 or text is null")
+        library = Tokenizer.from_str(text)
+        want = Counter((r.doc_id, len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
+        assert Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(docs, text).collect()) == want
+
+
+def test_token_counts_shuffle_nothing(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    counted = token_counts.token_counts(docs, open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in token_counts.sampled_leaders(docs.select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_token_counts_of_the_table(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = {r.doc_id: (r.n_tokens, r.over_limit) for r in queries.op6_two_tier(spark, FOLDER).collect()}
@@ -338,6 +357,13 @@ def test_odd_rows_in_the_mix(odd_docs):
     assert mixed.columns == odd_docs.columns and mixed.where("text is null").count() == 0
 
 
+def test_rows_without_id_are_spread(make_docs):
+    docs = make_docs(*[(i if i % 3 else None, f"w{i} " * (5 + i % 7), "a") for i in range(3000)])
+    rows = apportion.mix(docs).collect()
+    assert len({r.spin for r in rows if r.doc_id is None}) == 1000
+    assert all(r.taken <= 3 * r.size for r in rows) and sum(r.taken for r in rows) == pytest.approx(rows[0].target, rel=0.01)
+
+
 def test_sainte_lague_equals_highest_quotients(spark):
     votes = {"a": 53_000, "b": 24_000, "c": 23_000, "d": 1}
     claims = spark.createDataFrame([(k, float(v), 7, 100) for k, v in votes.items()], "key string, votes double, total long, most long")
@@ -364,6 +390,23 @@ def test_shards_are_even_and_gapless(spark):
     assert {(r.shard, r.slot) for r in rows} == {(s, i) for s, n in counts.items() for i in range(n)}
 
 
+def test_shards_can_be_skipped(spark):
+    """Readers of one source, or of a tenth of the sizes, open few shards more by minimum and maximum than hold such rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = hilbert.shard_numbers(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    for value in (lambda r: r.source or "", lambda r: r.size):
+        shards = {}
+        for r in rows:
+            shards.setdefault(r.shard, []).append(value(r))
+        ranked = sorted(map(value, rows))
+        held = opened = 0
+        for k in range(10):
+            low, high = ranked[len(ranked) * k // 10], ranked[len(ranked) * (k + 1) // 10 - 1]
+            held += sum(any(low <= v <= high for v in s) for s in shards.values())
+            opened += sum(min(s) <= high and max(s) >= low for s in shards.values())
+        assert opened <= 1.5 * held and opened < 0.7 * 10 * 24, (held, opened)
+
+
 def test_odd_rows_in_shards(odd_docs):
     rows = hilbert.shard_numbers(odd_docs).collect()
     assert len(rows) == 11 and len({(r.shard, r.slot) for r in rows}) == 11
