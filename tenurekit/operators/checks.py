@@ -60,10 +60,14 @@ def snapshot_duplicates(snapshots: DataFrame) -> DataFrame:
 
 
 def involuntary_stop_check(snapshots: DataFrame, terms: DataFrame, cal: Calendar) -> DataFrame:
-    """Snapshots of silently ended terms whose horizon passes the end recorded at the source."""
+    """Snapshots of silently ended terms whose horizon passes the end recorded at the source.
+
+    Snapshots are listed from terms, so their estimated size is that of the terms; the hint keeps Catalyst from collecting
+    all of them to broadcast.
+    """
     ended = terms.filter(
         F.col("cancel_requested_at").isNull() & (as_date("term_ended_at") <= day(cal.label_cutoff))
     ).select(TERM, as_date("term_ended_at").alias("source_end"))
     late = F.date_add("snapshot_date", cal.horizon_days) > F.col("source_end")
-    joined = snapshots.select(TERM, "snapshot_date").join(ended, TERM)
+    joined = snapshots.select(TERM, "snapshot_date").hint("merge").join(ended, TERM)
     return run_checks(joined, {"involuntary_snapshot_on_or_after_term_end": late})
