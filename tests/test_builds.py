@@ -2,6 +2,7 @@
 
 import random
 import threading
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from tenurekit.config import TableNames
 from tenurekit.sources import files, tables
 from tenurekit.sources.builds import Build, build_all
-from tenurekit.sources.split_csv import read_split_csv
+from tenurekit.sources.split_csv import read_split_csv, records
+from tenurekit.sources.tables import order_report, write_counted
 
 
 def test_independent_builds_overlap_and_needs_come_first(spark):
@@ -133,3 +135,27 @@ def test_files_with_carriage_returns_and_without_rows(spark, tmp_path):
     assert [s.replace("\\r", "") for s in split] == [w.replace("\\r", "") for w in whole] and len(split) == 2
     (tmp_path / "e.csv").write_text("a,b\n")
     assert files.read_csv_strings(spark, str(tmp_path / "e.csv"), split=True).collect() == []
+
+
+def test_whole_lines_of_a_split_file_are_not_exchanged(spark, small_splits, tmp_path, capsys):
+    """Only pieces of records with line feeds are; whole lines are parsed where they are read."""
+    (tmp_path / "w.csv").write_text("a,b\n" + "".join(f'{i},"x ""{i}"""\n' for i in range(5000)))
+    assert read_split_csv(spark, str(tmp_path / "w.csv")).count() == 5000
+    records(spark, str(tmp_path / "w.csv")).where("text <> ''").explain("simple")
+    whole = capsys.readouterr().out.split("Union")[1].split("\n   +- ")[0]  # the first branch, above its join
+    assert "MapInArrow" in whole and "Window" not in whole.split("BroadcastExchange")[0]
+
+
+def test_sorted_writes_keep_no_second_copy(spark, tmp_path):
+    """Each row is written once and counted once, and the ranges are cut without a stored copy."""
+    from tenurekit.sources.scratch import shared_folder
+
+    def files_of(folder):
+        return {str(f) for f in Path(folder).rglob("*.parquet")}
+
+    before = files_of(shared_folder(spark))
+    rows = spark.range(0, 20_000, 1, 7).selectExpr("id % 11 AS k", "id AS v")
+    counts = write_counted(rows, "sorted_once", {"n": F.count("*"), "v": F.sum("v")}, storage_path=str(tmp_path / "s"), sort_by=["k", "v"])
+    assert counts == {"n": 20_000, "v": sum(range(20_000))}
+    assert files_of(shared_folder(spark)) == before
+    assert order_report(spark.table("sorted_once"), ["k", "v"]).first().asDict() == {"n_rows": 20_000, "n_unsorted": 0, "n_overlapping": 0}
