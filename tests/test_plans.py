@@ -1,5 +1,6 @@
 """Plan shape: what must hold at any size, read from the plans Spark prints."""
 
+import math
 import re
 
 import pytest
@@ -7,8 +8,10 @@ from conftest import DATA
 
 import __spark_entry__ as entry
 from tenurekit.config import TableNames
+from tenurekit.plans import lake as lake_module
 from tenurekit.plans.lake import SILVER_TABLES, Lake
 from tenurekit.plans.pipeline import build_silver
+from tenurekit.sources import standin
 from tenurekit.sources.casts import SOURCE_TABLES
 from tenurekit.sources.standin import CALENDAR, CONDITION
 from tenurekit.sources.tables import write_table
@@ -104,3 +107,60 @@ def test_stored_tables_answer_like_derived_ones(spark):
     for name in COMPARED:
         one, other = (sorted(map(str, analyses()[name](lake).collect())) for lake in (derived, stored))
         assert one == other, name
+
+
+def test_listed_snapshots_are_never_broadcast(spark, capsys):
+    """Their estimated size is that of their terms."""
+    plan = plan_of(QUERIES["q00_35_involuntary_stop_rule"](spark, DATA), capsys)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan.split("SortMergeJoin")[0]
+
+
+def _lines(spark, rows, tmp_path):
+    schema = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("hot", [0, 4, 1 << 16])
+def test_line_items_are_numbered_alike_on_both_paths(spark, monkeypatch, tmp_path, hot):
+    monkeypatch.setattr(standin, "HOT_ORDER", hot)
+    rows = [(o, n % 3, p, s) for o in (1, 2, 3, None) for n in range(2 * (o or 1)) for p, s in ((n, n), (n - 70, None), (n + 64, 1))]
+    rows += rows[::2] + [(5, None, 1, 1), (5, 1, None, 1)]
+    found = standin.StandIn(spark, _lines(spark, rows, tmp_path))["numbered_lines"]
+    key = lambda r: (r[1], math.fmod(r[2], 64), r[2], -1 if r[3] is None else r[3])
+    want = set()
+    for o in (1, 2, 3):
+        own = sorted({r for r in rows if r[0] == o}, key=key)
+        want |= {(o, r[2], r[3], i + 1, len(own)) for i, r in enumerate(own)}
+    got = [tuple(r) for r in found.select("l_orderkey", "p", "s", "n", "n_plans").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_plan_terms_exchange_the_lines_of_ordinary_orders_once(no_broadcast, capsys):
+    """One exchange of lines serves numbers, counts and the join to orders; the counted orders need their own."""
+    lines = Lake.from_standin(no_broadcast, DATA).source
+    ordinary = plan_of(lines._sql("subscription_plan_terms", {"numbered_lines": lines._cold_lines}), capsys)
+    by_line = [line for line in ordinary.splitlines() if "REPARTITION_BY_NUM" in line]
+    others = [line for line in ordinary.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" not in line]
+    assert len(set(re.sub(r".*Exchange|#\d+|plan_id=\d+", "", line) for line in by_line)) == 1 and len(others) <= 3
+
+
+def test_buckets_follow_the_number_of_terms(no_broadcast, monkeypatch):
+    """A bucket's snapshots must fit a task, however many terms there are."""
+    monkeypatch.setattr(lake_module, "BUCKET_TERMS", 50)
+    lake = Lake.from_standin(no_broadcast, DATA)
+    terms = lake.profile.count()
+    assert terms > 50 * int(no_broadcast.conf.get("spark.sql.shuffle.partitions"))
+    joined = lake.days.join(lake.profile, "subscription_term_id")
+    assert joined.hint("merge").rdd.getNumPartitions() == -(-terms // 50)
+
+
+def test_best_windows_take_the_tests_once(no_broadcast, capsys):
+    plan = plan_of(QUERIES["st3_best_windows"](no_broadcast, DATA), capsys)
+    assert len(re.findall("FileScan", plan)) == 2
+
+
+def test_deferred_days_are_not_exchanged_once_listed(no_broadcast, capsys):
+    """Rows meet by subscription before they are spread over snapshots."""
+    plan = plan_of(QUERIES["ft8_days_deferred_per_snapshot"](no_broadcast, DATA), capsys)
+    assert "Exchange" not in plan.split("Generate")[0]
