@@ -57,6 +57,12 @@ def sampled_leaders(docs: DataFrame) -> DataFrame:
     return docs.where(F.rand(6) < SAMPLE / max(1, docs.count())).mapInArrow(_leaders, "piece string, found bigint")
 
 
+def most_frequent(docs: DataFrame) -> list[str]:
+    """The TABLE most frequent leaders, added up by Spark: the driver gets no more than these."""
+    found = sampled_leaders(docs).groupBy("piece").agg(F.sum("found").alias("found"))
+    return [r.piece for r in found.orderBy(F.desc("found"), "piece").limit(TABLE).collect()]
+
+
 def splits_by_pattern(spec: dict) -> bool:
     """Whether a tokenizer's file asks for the pattern's pre-tokens and for nothing that changes the text or merges across them."""
     split = spec.get("pre_tokenizer") or {}
@@ -133,11 +139,7 @@ def token_counts(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found: Counter[str] = Counter()
-    if splits_by_pattern(json.loads(spec)):
-        for piece, n in sampled_leaders(docs).collect():  # about SAMPLE * LEADERS rows at most
-            found[piece] += n
-    pieces = sorted(found, key=lambda p: (-found[p], p))[:TABLE]
+    pieces = most_frequent(docs) if splits_by_pattern(json.loads(spec)) else []
     lengths = _Counter(spec, {}).counts(pieces) if pieces else []
     broadcast = spark.sparkContext.broadcast
     return docs.mapInArrow(_counts(broadcast(spec), broadcast((pieces, lengths))), "doc_id bigint, n_bytes bigint, n_tokens bigint")

@@ -457,3 +457,10 @@ def test_a_line_in_a_small_share_of_a_large_host_goes(make_docs):
     assert len(cleaned) == 1500 and not any("Subscribe" in x.text for x in cleaned.values())
     assert sum("nineteen times" in x.text for x in cleaned.values()) == 19 and all(x.n_chars == len(x.text) for x in cleaned.values())
     assert cleaned[0].row == "r" and cleaned[0].t == "t"
+
+
+def test_the_table_of_pieces_is_bounded_before_it_reaches_the_driver(spark, monkeypatch):
+    """Leaders are added up by Spark; ties follow the piece."""
+    monkeypatch.setattr(token_counts, "TABLE", 3)
+    docs = spark.createDataFrame([(i, "b a c" if i % 2 else "b a d") for i in range(8)], "doc_id bigint, text string")
+    assert token_counts.most_frequent(docs) == [" a", "b", " c"]
