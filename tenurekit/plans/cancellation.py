@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tenurekit.functions.buckets import dose_group, strength_group
 from tenurekit.functions.columns import as_date, count_where, days_between, is_false, ratio
 from tenurekit.operators import summaries as sm
-from tenurekit.operators.cohort import SUB, TERM
+from tenurekit.operators.cohort import SUB, TERM, restrict_to
 from tenurekit.operators.density import histogram
 from tenurekit.operators.lookback import CANCELED
 from tenurekit.plans.registry import named
@@ -39,12 +39,13 @@ def _(lake):
 
 
 def _failed_charges_by_attempt(lake):
-    """Subscriptions with an unpaid charge, by attempt. Charges fold to distinct attempts per
-    subscription before they meet the cohort."""
+    """Subscriptions with an unpaid charge, by attempt. Charges meet the cohort as they lie; what is left is dealt into small
+    pieces, each of which folds to distinct attempts per subscription in little memory and counts them as plain rows."""
+    by = ["attempt_number", "attempts_remaining"]
     unpaid = lake.cohort_rows("subscription_charges").filter(is_false("was_paid"))
-    attempts = unpaid.select(SUB, "attempt_number", "attempts_remaining").distinct()
-    rows = attempts.join(lake.typed.select(SUB), SUB, "left_semi")
-    return sm.counts(rows, ["attempt_number", "attempts_remaining"], distinct=SUB, n="n_subs").orderBy("attempt_number")
+    rows = restrict_to(unpaid.select(SUB, *by), lake.typed, hashed=True)
+    pieces = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said here, so that AQE does not merge them
+    return sm.counts(rows.repartition(pieces, SUB, *by).distinct(), by, n="n_subs").orderBy("attempt_number")
 
 
 named("q03_5_failed_charges_by_attempt_first_copy")(_failed_charges_by_attempt)

@@ -239,3 +239,19 @@ def test_spread_is_bounded_per_day(world, cal):
     spread = lookback.spread_over_snapshots(daily, frames["bounds"], "subscription_term_id", cal, 14)
     most = spread.groupBy("subscription_term_id", "day").count().agg(F.max("count")).first()[0]
     assert most <= 14 // 7 + 1
+
+
+def test_hot_rows_are_split_without_a_sort(spark, splitting, capsys):
+    """Many rows of a hot key pass a hash table of the cohort's keys; where they come out of a join by the key, that one is split too."""
+    hot = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000)
+    rows = spark.range(0, 300_000, 1, 8).select(hot.alias("subscription_id"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    terms = spark.range(5000).select(F.col("id").alias("subscription_id"), (F.col("id") % 2).alias("kept"))
+    people = spark.range(5000).select(F.col("id").alias("subscription_id"))
+    members = terms.filter("kept = 1").join(people, "subscription_id", "left_semi")
+    want = sum(1 for i in range(300_000) if (7 if i % 3 == 0 else i % 5000) % 2 == 1)
+    for given in (rows, rows.join(people.withColumn("y", F.rand(1)), "subscription_id")):
+        kept = cohort.restrict_to(given, members, hashed=True).agg(F.count("x"), F.max("x"))
+        assert kept.collect()[0][0] == want
+        kept.explain("simple")
+        final = capsys.readouterr().out.split("== Initial Plan ==")[0]
+        assert any("ShuffledHashJoin" in line and "skew=true" in line.lower() for line in final.splitlines()), final

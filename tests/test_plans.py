@@ -164,3 +164,11 @@ def test_deferred_days_are_not_exchanged_once_listed(no_broadcast, capsys):
     """Rows meet by subscription before they are spread over snapshots."""
     plan = plan_of(QUERIES["ft8_days_deferred_per_snapshot"](no_broadcast, DATA), capsys)
     assert "Exchange" not in plan.split("Generate")[0]
+
+
+def test_attempts_fold_in_small_pieces(no_broadcast, capsys):
+    """Charges meet the cohort without a sort of listed attempts, and no task folds more than one of the pieces."""
+    plan = plan_of(QUERIES["q03_7_failed_charges_by_attempt"](no_broadcast, DATA), capsys)
+    listed = plan[: plan.index("explode(sequence(1, num_charges")].splitlines()
+    assert sum("REPARTITION_BY_NUM" in line for line in listed) == 1 and sum("HashAggregate" in line for line in listed) == 4
+    assert sum("Sort " in line for line in listed) == 1
