@@ -172,3 +172,9 @@ def test_attempts_fold_in_small_pieces(no_broadcast, capsys):
     listed = plan[: plan.index("explode(sequence(1, num_charges")].splitlines()
     assert sum("REPARTITION_BY_NUM" in line for line in listed) == 1 and sum("HashAggregate" in line for line in listed) == 4
     assert sum("Sort " in line for line in listed) == 1
+
+
+def test_listed_charges_are_not_exchanged(no_broadcast, capsys):
+    plan = plan_of(QUERIES["sv6_charges"](no_broadcast, DATA), capsys)
+    listed = plan[: plan.index("explode(sequence(1, num_charges")]
+    assert "Exchange" not in listed and "Sort" not in listed and "ShuffledHashJoin" in listed
