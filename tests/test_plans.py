@@ -178,3 +178,9 @@ def test_listed_charges_are_not_exchanged(no_broadcast, capsys):
     plan = plan_of(QUERIES["sv6_charges"](no_broadcast, DATA), capsys)
     listed = plan[: plan.index("explode(sequence(1, num_charges")]
     assert "Exchange" not in listed and "Sort" not in listed and "ShuffledHashJoin" in listed
+
+
+def test_wide_invoices_are_not_sorted_for_the_cohort(no_broadcast, capsys):
+    plan = plan_of(QUERIES["sv7_invoices"](no_broadcast, DATA), capsys)
+    by_term = next(line for line in plan.splitlines() if "Join [subscription_term_id" in line)
+    assert "ShuffledHashJoin" in by_term and "LeftSemi" in by_term
