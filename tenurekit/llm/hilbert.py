@@ -100,7 +100,7 @@ def in_curve_order(frame: DataFrame, ties: list[str], shards: int = SHARDS) -> D
     order = ["_place", *ties]
     laid = frame.withColumn("_place", place).repartitionByRange(*order).sortWithinPartitions(*order)
     laid = laid.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
-    laid = staged(laid, "hilbert")
+    laid = staged(laid, "hilbert", "zstd")  # whole rows: they lie on disk beside the exchange that they came from
     parts = laid.groupBy("_part").agg(F.count("*").alias("_n"))
     so_far = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
     parts = parts.withColumns({"_before": so_far - F.col("_n"), "_all": F.sum("_n").over(Window.partitionBy())}).drop("_n")

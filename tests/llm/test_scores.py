@@ -464,3 +464,9 @@ def test_the_table_of_pieces_is_bounded_before_it_reaches_the_driver(spark, monk
     monkeypatch.setattr(token_counts, "TABLE", 3)
     docs = spark.createDataFrame([(i, "b a c" if i % 2 else "b a d") for i in range(8)], "doc_id bigint, text string")
     assert token_counts.most_frequent(docs) == [" a", "b", " c"]
+
+
+def test_whole_rows_on_the_curve_are_stored_small(make_docs):
+    docs = make_docs(*((i, f"text {i}") for i in range(50)))
+    files = [f for f in hilbert.sharded_documents(docs).inputFiles() if "hilbert-parts" not in f]
+    assert files and all(".zstd." in f for f in files)
