@@ -148,6 +148,52 @@ def test_passages_whose_parts_are_common(make_docs, n):
     assert found == {pair for a, b in whole.values() for pair in ((a, b), (b, a))}
 
 
+@pytest.mark.parametrize(("crowd", "common"), [(64, 64), (2, 2)])
+def test_equal_runs_join_texts_in_any_crowd(make_docs, monkeypatch, crowd, common):
+    """Texts that hold ever different parts of a few passages: two that share 50 words in a row reach each other, others do not."""
+    monkeypatch.setattr(chaining, "CROWD", crowd)
+    monkeypatch.setattr(chaining, "COMMON", common)
+    r = random.Random(crowd)
+    held = {}
+    for case in range(6):
+        passage = _text(r, 300, 10**6).split()
+        for k in range(60):
+            lo, n = r.randrange(240), r.randrange(32, 60)
+            held[100 * case + k] = (case, lo, min(300, lo + n), f"{_text(r, 30, 10**6)} {' '.join(passage[lo : lo + n])} {_text(r, 30, 10**6)}")
+    rows = repeated_passages(make_docs(*((i, t) for i, (*_, t) in held.items()))).collect()
+    label = {i: i for i in held}
+    for x in rows:
+        a, b = label[x.doc_id], label[x.other_id]
+        label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
+    want = {i: i for i in held}
+    for i, (case, lo, hi, _) in held.items():
+        for j, (other, low, high, _) in held.items():
+            if i < j and case == other and min(hi, high) - max(lo, low) >= 50:
+                a, b = want[i], want[j]
+                want = {k: min(a, b) if v in (a, b) else v for k, v in want.items()}
+    assert label == want
+    assert {x.doc_id: x.class_id for x in rows} == {i: label[i] for i in {x.doc_id for x in rows}}
+
+
+def test_words_that_differ_between_two_passages_cost_neither(make_docs):
+    r = random.Random(5)
+    first, second = _text(r, 200), _text(r, 200)
+    rows = repeated_passages(make_docs(*((i, f"{first} {_text(r, 300)} {second}") for i in (1, 2)))).collect()
+    assert {(x.doc_id, x.other_id) for x in rows} == {(1, 2), (2, 1)}
+    assert {(x.start // 100, x.n_words // 100) for x in rows} == {(0, 2), (5, 2)}
+
+
+def test_chains_without_a_choice_are_those_of_the_tree():
+    r = np.random.default_rng(8)
+    for _ in range(300):
+        n = r.integers(1, 12)
+        x, y = (np.sort(r.choice(307, n, replace=False)) for _ in range(2))
+        starts, choice = chaining._runs(np.zeros(n, int), x, y)
+        if not len(choice):
+            best = max(chaining.chains(x, y), key=len)
+            assert best in [list(range(lo, hi)) for lo, hi in zip(starts, [*starts[1:], n])]
+
+
 def test_recall_of_edited_passages(make_docs):
     """Every text has one of 60 passages of 70 words, edited at 5 %; texts that hold one are to be found with a partner."""
     r = random.Random(77)
