@@ -1,6 +1,7 @@
 """Jaccard join, chaining and winnowing against brute force, with skew, ties and odd rows."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,6 +11,7 @@ from tenurekit.llm import chaining, jaccard_join, winnowing
 from tenurekit.llm.chaining import repeated_passages
 from tenurekit.llm.components import components
 from tenurekit.llm.jaccard_join import jaccard_components, one_of_each
+from tenurekit.llm.scratch import staged
 from tenurekit.llm.winnowing import benchmark_spans, clean_documents, contamination
 from tenurekit.llm.words import word_hashes
 
@@ -183,6 +185,40 @@ def test_words_that_differ_between_two_passages_cost_neither(make_docs):
     assert {(x.start // 100, x.n_words // 100) for x in rows} == {(0, 2), (5, 2)}
 
 
+def test_no_passage_lies_within_another_of_the_same_texts(make_docs):
+    """Two short equal parts, and between them words of which every fifth differs: chains of either part reach over the other."""
+    r = random.Random(11)
+    texts = {}
+    for case in range(60):
+        parts = [_text(r, n, 10**6).split() for n in (r.randrange(16, 26), r.randrange(36, 48), r.randrange(15, 20))]
+        for side in range(2):
+            between = [w if k % 5 else f"d{side}x{case}x{k}" for k, w in enumerate(parts[1])]
+            texts[2 * case + side] = " ".join([_text(r, 30, 10**6), *parts[0], *between, *parts[2], _text(r, 70, 10**6)])
+    rows = repeated_passages(make_docs(*texts.items())).collect()
+    assert {(x.doc_id, x.other_id) for x in rows} == {(i, i ^ 1) for i in texts}
+    for x in rows:
+        for y in rows:
+            if (x.doc_id, x.other_id) == (y.doc_id, y.other_id) and x != y:
+                inside = y.start <= x.start and y.start + y.n_words >= x.start + x.n_words
+                assert not (inside and y.other_start <= x.other_start and y.other_start + y.other_words >= x.other_start + x.other_words)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def files():
+        found = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in found.split("\n") if "shuffle_" in f}
+
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    stored = staged(spark.range(10_000).selectExpr("id", "id % 100 as k").repartition("k").groupBy("k").count(), "cleanup")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert stored.count() == 100
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+
+
 def test_chains_without_a_choice_are_those_of_the_tree():
     r = np.random.default_rng(8)
     for _ in range(300):
