@@ -177,6 +177,40 @@ def test_equal_runs_join_texts_in_any_crowd(make_docs, monkeypatch, crowd, commo
     assert {x.doc_id: x.class_id for x in rows} == {i: label[i] for i in {x.doc_id for x in rows}}
 
 
+def test_edited_passages_of_a_crowd_are_found(make_docs, monkeypatch):
+    """48 words stand in 60 texts; each two of them also share the 20 words that follow, of which every fifth differs."""
+    monkeypatch.setattr(chaining, "CROWD", 4)
+    monkeypatch.setattr(chaining, "LEAST_TILE", 50, raising=False)
+    r = random.Random(21)
+    common, texts = _text(r, 48, 10**6), {}
+    for case in range(30):
+        tail = _text(r, 20, 10**6).split()
+        for side in range(2):
+            own = [w if k % 5 else f"d{side}x{case}x{k}" for k, w in enumerate(tail)]
+            texts[2 * case + side] = f"{_text(r, 30, 10**6)} {common} {' '.join(own)} {_text(r, 30, 10**6)}"
+    rows = repeated_passages(make_docs(*texts.items())).collect()
+    assert {(x.doc_id, x.other_id) for x in rows} == {(i, i ^ 1) for i in texts}
+    assert len(rows) == len(texts) and all(x.n_words >= 64 for x in rows)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_crowds_give_the_classes_of_all_pairs(make_docs, monkeypatch, seed):
+    """Edited parts of a few passages: classes do not depend on how many texts make a crowd."""
+    r = random.Random(seed)
+    texts = {}
+    for case in range(3):
+        passage = _text(r, 120, 10**6)
+        for k in range(40):
+            part = _edited(r, passage, 0.06).split()
+            lo, n = r.randrange(70), r.randrange(40, 60)
+            texts[100 * case + k] = f"{_text(r, 30, 10**6)} {' '.join(part[lo : lo + n])} {_text(r, 30, 10**6)}"
+    found = {}
+    for crowd in (10**6, 4):
+        monkeypatch.setattr(chaining, "CROWD", crowd)
+        found[crowd] = {x.doc_id: x.class_id for x in repeated_passages(make_docs(*texts.items())).collect()}
+    assert found[4] == found[10**6] and len(found[4]) > 20
+
+
 def test_words_that_differ_between_two_passages_cost_neither(make_docs):
     r = random.Random(5)
     first, second = _text(r, 200), _text(r, 200)
