@@ -121,6 +121,34 @@ def test_scores_equal_a_plain_model(spark, monkeypatch):
         assert rows[r.doc_id] == pytest.approx(total, rel=1e-5)
 
 
+def test_every_pass_takes_all_texts_and_every_word_has_states(spark, make_docs, monkeypatch):
+    """Long texts are part of all passes, and rare words have state-wise counts, too."""
+    monkeypatch.setattr(hmm, "TABLE", 100)
+    r = random.Random(3)
+    texts = [" ".join("w" + "".join(chr(97 + int(c)) for c in str(int(3000 * r.random() ** 3))) for _ in range(2_300)) for _ in range(14)]
+    docs = make_docs(*enumerate(texts)).withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+    seen, vocabulary = hmm.learn_vocabulary(docs)
+    shared = spark.sparkContext.broadcast(vocabulary)
+    coded = hmm.staged(docs.mapInArrow(hmm._code(shared), hmm._CODED), "test-coded")
+    model, states, _ = hmm.train(coded, vocabulary, shared)
+    sequences, first = [], []
+    for row in coded.where("not held_out").select("ids", "tail_shapes").collect():
+        of_id = np.concatenate((vocabulary.classes, 1 + hmm.OWN + np.frombuffer(row.tail_shapes, np.uint8).astype(np.uint16)))
+        ids = of_id[np.frombuffer(row.ids, np.int32)]
+        for at in range(0, len(ids), 1_000):
+            sequences.append(ids[at : at + 1_000])
+            first.append(at == 0)
+    unigram = vocabulary.unigram()
+    want = hmm.Model.random(unigram)
+    for _ in range(13):
+        want = want.refitted(hmm.expected_counts(want, sequences, np.array(first))[0], unigram)
+    assert np.allclose(model.moves, want.moves, rtol=1e-6) and np.allclose(model.emits, want.emits, rtol=1e-6)
+    own = set(vocabulary.words[vocabulary.own > 0].view(np.int64).tolist())
+    rare = {x.token: x.found for x in seen.where("shape >= 0").collect() if x.token not in own}
+    kept = {x.token: x.found for x in states.collect()}
+    assert kept == rare and min(rare.values()) == 1
+
+
 def test_odd_rows_in_the_model(odd_docs):
     assert hmm.scored(odd_docs.limit(0)).count() == 0
     rows = hmm.scored(odd_docs.where("doc_id is not null")).collect()
