@@ -3,11 +3,14 @@
 import random
 import threading
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tenurekit.config import TableNames
+from tenurekit.plans import analyses, ingest
+from tenurekit.plans.lake import Lake
 from tenurekit.sources import files, tables
 from tenurekit.sources.builds import Build, build_all
 from tenurekit.sources.split_csv import read_split_csv, records
@@ -159,3 +162,26 @@ def test_sorted_writes_keep_no_second_copy(spark, tmp_path):
     assert counts == {"n": 20_000, "v": sum(range(20_000))}
     assert files_of(shared_folder(spark)) == before
     assert order_report(spark.table("sorted_once"), ["k", "v"]).first().asDict() == {"n_rows": 20_000, "n_unsorted": 0, "n_overlapping": 0}
+
+
+def test_compressed_exports_are_cut_and_read_as_plain_ones(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "PART_ROWS", 100)
+    body = spark.range(0, 1_000, 1, 2).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit('a "b", c\n'), F.col("id").cast("string"))).alias("text"))
+    lake = SimpleNamespace(source={"t": body})
+    read = {}
+    for codec in (None, "gzip"):
+        path = ingest._export(lake, str(tmp_path / str(codec)), "t", codec)
+        read[codec] = sorted(map(str, read_split_csv(spark, path).collect()))
+        parts = [p for p in Path(path).iterdir() if p.name.startswith("part-")]
+        assert all(p.name.endswith(".gz") for p in parts) == bool(codec) and (len(parts) == 10 or not codec)
+    assert read["gzip"] == read[None] and len(read[None]) == 1_000
+
+
+def test_the_ingest_report_exports_compressed_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "fresh_folder", lambda *_: str(tmp_path / "ingest"))
+    report = analyses()["io7_io8_ingest_report"](Lake.from_standin(spark, "/root/testdata/sf0.001"))
+    parts = [p for p in tmp_path.rglob("part-*") if ".csv/" in str(p)]
+    assert parts and all(p.name.endswith(".csv.gz") for p in parts)
+    assert report.count() == 94
+    bronze = [p for p in (tmp_path / "ingest/bronze").rglob("part-*")]
+    assert bronze and all(".zstd." in p.name for p in bronze)
