@@ -2,6 +2,7 @@
 
 import random
 import threading
+import time
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -185,3 +186,20 @@ def test_the_ingest_report_exports_compressed_parts(spark, tmp_path, monkeypatch
     assert report.count() == 94
     bronze = [p for p in (tmp_path / "ingest/bronze").rglob("part-*")]
     assert bronze and all(".zstd." in p.name for p in bronze)
+
+
+def test_builds_leave_no_shuffle_files(spark, tmp_path):
+    def found():
+        files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "shuffle_" in f}
+
+    before, setting = found(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    rows = spark.range(20_000).select(F.hash("id").alias("k"))
+    run = {n: Build(lambda n=n: write_counted(rows, f"left_{n}", {"n": F.count("*")}, storage_path=str(tmp_path / n), sort_by=("k",))["n"]) for n in "ab"}
+    assert [o.result for o in build_all(spark, run).values()] == [20_000, 20_000]
+    for _ in range(50):
+        if not (left := found() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
